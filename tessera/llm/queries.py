@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, quality, secrets, sharding
 from tessera.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(secrets.KINDS))
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)], F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan_mix(docs)
@@ -22,9 +29,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *[F.col("_stats")[c].alias(c) for c in quality.COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
