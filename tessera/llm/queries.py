@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, secrets, sharding
+from tessera.llm import bpe, mixing, quality, secrets, sharding
 from tessera.llm.common import table
 
 
+def byte_bpe() -> str:
+    """The vocabulary file of the contract's queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["rank"] < len(secrets.KINDS))
@@ -18,6 +25,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)], F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).select("doc_id", "ids")
+    decoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), bpe.decode(F.col("ids"), byte_bpe()).alias("decoded"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan_mix(docs)
@@ -36,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_bpe": op3_bpe,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op10_quality": op10_quality,
