@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, quality, secrets, sharding
-from tessera.llm.common import table
+from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, tokenfiles
+from tessera.llm.common import shared_dir, table
 
 
 def byte_bpe() -> str:
@@ -37,6 +38,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op5_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), byte_bpe(), folder)
+    return tokenfiles.read(spark, folder).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), tokenfiles.crc32(F.col("ids")).alias("ids_crc32"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan_mix(docs)
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_tokenfiles": op5_tokenfiles,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op10_quality": op10_quality,
