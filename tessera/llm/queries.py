@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, tokenfiles
+from tessera.llm import bpe, covertree, langid, mixing, quality, secrets, sharding, tokenfiles
 from tessera.llm.common import shared_dir, table
 
 
@@ -55,6 +55,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
 
 
+def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *[F.col("_stats")[c].alias(c) for c in quality.COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokenfiles": op5_tokenfiles,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_covertree": op9_covertree,
     "op10_quality": op10_quality,
 }
 
