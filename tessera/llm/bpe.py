@@ -123,13 +123,18 @@ def _unframed(block: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
 
 
-def _distinct_words(of: Vocabulary, texts: list[str], slots: int) -> list[list[bytes]]:
-    """The distinct words of some texts by slot of the word table, sorted in each."""
-    seen: set[str] = set()
-    for t in texts:
-        seen.update(of.words(t))
+class _Numbers(dict):
+    """Numbers words in the order in which they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def _by_slot(words: dict[str, int] | set[str], slots: int) -> list[list[bytes]]:
+    """Distinct words by slot of the word table, sorted in each."""
     out: list[list[bytes]] = [[] for _ in range(slots)]
-    for w in seen:
+    for w in words:
         raw = w.encode()
         out[zlib.crc32(raw) % slots].append(raw)
     for x in out:
@@ -151,7 +156,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     rows = packed(docs, F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(n)).cast("int"), n)
 
     def ask(key, blocks):
-        by_slot = _distinct_words(vocabulary(path), _texts(unpacked(blocks)), n)
+        of, seen = vocabulary(path), set()
+        for t in _texts(unpacked(blocks)):
+            seen.update(of.words(t))
+        by_slot = _by_slot(seen, n)
         asked = [(k, x) for k, x in enumerate(by_slot) if x]
         return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([_framed(x) for _, x in asked], pa.binary())})
 
@@ -166,14 +174,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pa.table({"gid": asked.column("gid"), "slot": asked.column("slot"), "ids": pa.array(out, pa.binary())})
 
     def join(blocks, answers):
-        of, table = vocabulary(path), {}
+        of, numbers = vocabulary(path), _Numbers()
         found = unpacked(blocks)
-        texts = _texts(found)
-        by_slot = _distinct_words(of, texts, n)
+        placed = [np.array(list(map(numbers.__getitem__, of.words(t))), np.int32) for t in _texts(found)]
+        by_slot, table = _by_slot(numbers, n), [b""] * len(numbers)
         for slot, ids in zip(answers.column("slot").to_pylist(), answers.column("ids"), strict=True):
-            table.update(zip(by_slot[slot], _unframed(ids.as_py()), strict=True))
-        table = {w.decode(): ids for w, ids in table.items()}
-        encoded = [b"".join(map(table.__getitem__, of.words(t))) for t in texts]
+            for w, got in zip(by_slot[slot], _unframed(ids.as_py()), strict=True):
+                table[numbers[w.decode()]] = got
+        encoded = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
         offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
         return pa.table([*([] if found is None else found.columns), ids], names=[*(names if found is not None else []), "ids"])
