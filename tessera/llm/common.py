@@ -134,6 +134,12 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def strings(texts: pa.Array, most: int = 4 << 20):
+    """The texts one after the other, null as empty, of which few are Python strings at a time."""
+    for _, part in text_slices(texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary()), most):
+        yield from part.cast(pa.large_string()).to_pylist()
+
+
 def text_slices(texts: pa.Array, most: int = 4 << 20):
     """Cut an array of texts into runs of about `most` bytes, to bound the memory of what is made from each."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import strings
+
 # The kinds of secrets with a fixed shape, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -124,7 +126,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, float, int]]:
     """(start, end, encoding, p-value, evidence) of the tokens that no base span touches."""
-    out, k = [], 0
+    out = []
     ends = max((b[2] for b in base), default=0)
     for m in CANDIDATE.finditer(text):
         if m.start() < ends and any(b[0] < m.end() and m.start() < b[2] for b in base):
@@ -139,7 +141,7 @@ def evidence_column(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([[c[4] for c in candidates(t, base_spans(t))] if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([[c[4] for c in candidates(t, base_spans(t))] for t in strings(texts)], pa.list_(pa.int32()))
 
     return scores(text)
 
@@ -165,9 +167,9 @@ def find(text: Column, level: int, alpha: float = ALPHA) -> Column:
     def spans(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64()), ("kind", pa.string())]))
         out = []
-        for t in texts.to_pylist():
-            base = base_spans(t) if t else []
-            more = [(s, 3, e, name) for s, e, name, p, score in candidates(t or "", base) if p >= alpha and score >= level]
+        for t in strings(texts):
+            base = base_spans(t)
+            more = [(s, 3, e, name) for s, e, name, p, score in candidates(t, base) if p >= alpha and score >= level]
             out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in sorted(base + more)])
         return pa.array(out, kind)
 
