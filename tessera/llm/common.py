@@ -184,3 +184,51 @@ def unpacked(blocks: pa.Table) -> pa.Table | None:
     if not raw:
         return None
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in raw])
+
+
+def runs(batches, keys: int):
+    """Tables of whole runs of rows that agree in the first `keys` columns, from batches sorted by them.
+
+    Yields (table, where each run begins, with a closing total); only the last run of a batch is held back."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if held is None else pa.concat_tables([held, now])
+        begins = _run_begins(now, keys)
+        if len(begins) > 1:
+            yield now.slice(0, begins[-1]), begins
+            held = now.slice(begins[-1])
+        else:
+            held = now
+    if held is not None and held.num_rows:
+        yield held, np.append(_run_begins(held, keys), held.num_rows)
+
+
+def _run_begins(rows: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in range(keys):
+        x = rows.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def pairs_in_runs(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs i < j that lie in one run."""
+    sizes = np.diff(begins)
+    ahead = np.repeat(begins[1:], sizes) - np.arange(begins[0], begins[-1]) - 1  # how many follow in the same run
+    i = np.repeat(np.arange(begins[0], begins[-1]), ahead)
+    step = np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    return i, i + 1 + step
+
+
+def in_cells(rows: DataFrame, count: Column, key: Column, most: int) -> DataFrame:
+    """Rows of groups with the columns `cell_a`, `cell_b` and `part`.
+
+    A group of `count` rows is cut by `key` into parts of about `most`, and each row is sent to every pair of parts that
+    holds its own, so that each pair of rows of a group meets in exactly one cell (rows of different parts) or in the
+    cell of their own part. Small groups, nearly all, are one cell."""
+    parts = F.ceil(count / F.lit(most)).cast("int")
+    cut = rows.withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return cut.withColumn("cell_a", F.least("part", "_other")).withColumn("cell_b", F.greatest("part", "_other")).drop("_parts", "_other")

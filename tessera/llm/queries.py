@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, covertree, langid, mixing, quality, secrets, sharding, tokenfiles
+from tessera.llm import bpe, covertree, jaccard, langid, mixing, quality, secrets, sharding, tokenfiles
 from tessera.llm.common import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op5_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), tokenfiles.crc32(F.col("ids")).alias("ids_crc32"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan_mix(docs)
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_tokenfiles": op5_tokenfiles,
+    "op6_jaccard": op6_jaccard,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_covertree": op9_covertree,
