@@ -69,8 +69,10 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str, end: bytes, width: int, most: int = SAMPLE) -> bytes:
     """A dictionary from serialized id arrays of a bounded sample; too small a sample is itself the dictionary."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("_hash"))
-    samples = [_narrow(_encoded(r["text"], path, end), width) for r in short.orderBy("_hash", "text").limit(most).collect()]
+    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS) & F.col("doc_id").isNotNull())
+    picked = short.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most).distinct()
+    rows = short.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    samples = sorted(_narrow(_encoded(r["text"], path, end), width) for r in rows)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
