@@ -65,10 +65,11 @@ def build(x: np.ndarray, points: np.ndarray, least: int, most: int) -> Node:
         for node in level:
             if len(node.points) <= least:
                 continue
-            found = _net(x, node.points, node.center, radius, most - leaves + 1)
+            needed = math.ceil(len(node.points) / least)
+            found = _net(x, node.points, node.center, radius, min(most - leaves + 1, 2 * needed))
             if found is None:
-                # too many balls of this radius: take as many as are needed for the size, farthest first
-                found = _spread(x, node.points, node.center, min(most - leaves + 1, math.ceil(len(node.points) / least)))
+                # far more balls of this radius than units to make: as many as are needed, farthest first
+                found = _spread(x, node.points, node.center, min(most - leaves + 1, needed))
             centers, owner = found
             if len(centers) > 1:
                 node.children = [Node(c, node.points[owner == k], []) for k, c in enumerate(centers) if (owner == k).any()]
@@ -196,7 +197,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     lengths = [r["n"] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
     found = None
     for n in lengths:  # one, unless vectors of several lengths are mixed
-        part = _links(classes.filter(F.size("v") == n), n, threshold)
+        stored = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+        part = _links(classes.filter(F.size("v") == n), n, threshold, stored)
         found = part if found is None else found.unionByName(part)
     if found is None:
         links = spark.createDataFrame([], "class_id bigint, others bigint, component_id bigint")
@@ -211,8 +213,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(class_id, links, label) per class and pair of units in which it has links."""
+def _links(classes: DataFrame, n: int, threshold: float, stored: str) -> DataFrame:
+    """(class_id, links, label) per class and pair of units in which it has links; blocks hold numbers as `stored`."""
     spark = classes.sparkSession
     total = classes.count()
     unit = max(16, min(UNIT, UNIT_BYTES // (8 * n)))
@@ -238,7 +240,7 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     cut = placed.join(sizes, "leaf").withColumn("cut", F.pmod(F.xxhash64("class_id"), F.col("cuts")).cast("int"))
 
     def block(key, rows):
-        values = np.asarray(pa.concat_arrays([c.flatten() for c in rows.column("v").chunks])).astype("<f8")
+        values = np.asarray(pa.concat_arrays([c.flatten() for c in rows.column("v").chunks])).astype(stored)
         return pa.table({"leaf": key[0:1], "cut": key[1:2]} | {"ids": [rows.column("class_id").to_numpy().astype("<i8").tobytes()], "sizes": [rows.column("size").to_numpy().astype("<i8").tobytes()], "vs": [values.tobytes()]}, schema=pa.schema([("leaf", pa.int32()), ("cut", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vs", pa.binary())]))
 
     blocks = materialise(cut.groupBy("leaf", "cut").applyInArrow(block, "leaf int, cut int, ids binary, sizes binary, vs binary"), "vector-blocks")
@@ -249,17 +251,17 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     joined = units.join(left, ["leaf_a", "cut_a"]).join(right, ["leaf_b", "cut_b"])
 
     def compare(rows):
-        return pa.Table.from_batches(list(_compared(rows.to_pylist(), n, threshold)), schema=pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("label", pa.int64())]))
+        return pa.Table.from_batches(list(_compared(rows.to_pylist(), n, threshold, stored)), schema=pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("label", pa.int64())]))
 
     return joined.groupBy("leaf_a", "cut_a", "leaf_b", "cut_b").applyInArrow(compare, "class_id bigint, links bigint, label bigint")
 
 
-def _compared(rows: list[dict], n: int, threshold: float):
+def _compared(rows: list[dict], n: int, threshold: float, stored: str):
     for r in rows:
         same = (r["leaf_a"], r["cut_a"]) == (r["leaf_b"], r["cut_b"])
         ids_a, ids_b = (np.frombuffer(r[f"ids_{s}"], "<i8") for s in "ab")
         size_a, size_b = (np.frombuffer(r[f"sizes_{s}"], "<i8") for s in "ab")
-        x, y = (_unit(np.frombuffer(r[f"vs_{s}"], "<f8").reshape(-1, n)) for s in "ab")
+        x, y = (_unit(np.frombuffer(r[f"vs_{s}"], stored).reshape(-1, n)) for s in "ab")
         ids = ids_a if same else np.concatenate([ids_a, ids_b])
         shift = 0 if same else len(ids_a)
         links = np.zeros(len(ids), np.int64)
