@@ -114,13 +114,13 @@ def _texts(rows: pa.Table | None) -> list[str]:
     return [] if rows is None else [t or "" for t in rows.column("text").to_pylist()]
 
 
-def _framed(parts: list[bytes]) -> bytes:
+def framed(parts: list[bytes]) -> bytes:
     """Byte strings in one compressed block: their number and lengths, then the bytes."""
     head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
-def _unframed(block: bytes) -> list[bytes]:
+def unframed(block: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ends = (4 * (n + 1) + np.cumsum(np.frombuffer(raw, "<u4", n, 4))).tolist()
@@ -165,16 +165,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             seen.update(of.words(t))
         by_slot = _by_slot(seen, n)
         asked = [(k, x) for k, x in enumerate(by_slot) if x]
-        return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([_framed(x) for _, x in asked], pa.binary())})
+        return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([framed(x) for _, x in asked], pa.binary())})
 
     def answer(key, asked):
         of, table, out = vocabulary(path), {}, []
         for block in asked.column("words"):
-            words = _unframed(block.as_py())
+            words = unframed(block.as_py())
             for w in words:
                 if w not in table:
                     table[w] = of.encode_word(w.decode())
-            out.append(_framed([table[w] for w in words]))
+            out.append(framed([table[w] for w in words]))
         return pa.table({"gid": asked.column("gid"), "slot": asked.column("slot"), "ids": pa.array(out, pa.binary())})
 
     def join(blocks, answers):
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         placed = [np.array(list(map(numbers.__getitem__, of.words(t))), np.int32) for t in _texts(found)]
         by_slot, table = _by_slot(numbers, n), [b""] * len(numbers)
         for slot, ids in zip(answers.column("slot").to_pylist(), answers.column("ids"), strict=True):
-            for w, got in zip(by_slot[slot], _unframed(ids.as_py()), strict=True):
+            for w, got in zip(by_slot[slot], unframed(ids.as_py()), strict=True):
                 table[numbers[w.decode()]] = got
         encoded = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
         offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, covertree, jaccard, langid, mixing, quality, secrets, sharding, tokenfiles
+from tessera.llm import bpe, covertree, jaccard, langid, mixing, passages, quality, secrets, sharding, tokenfiles
 from tessera.llm.common import shared_dir, table
 
 
@@ -26,6 +26,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)], F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).select("doc_id", "ids")
     decoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), bpe.decode(F.col("ids"), byte_bpe()).alias("decoded"))
@@ -70,6 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_passages": op2_passages,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_tokenfiles": op5_tokenfiles,
