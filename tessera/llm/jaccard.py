@@ -23,8 +23,8 @@ FIRST = 4
 #: A pair is dropped once the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-9
 STEP = 16
-#: Rows of a cell; larger buckets and components are cut into cells.
-CELL = 128
+#: Rows of a cell's part; larger buckets and components are cut into cells.
+CELL = 256
 
 _RANDOM = np.random.default_rng(41)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -130,11 +130,11 @@ def _candidates(classes: DataFrame, first: int, last: int, groups: DataFrame | N
     rows = known.select(F.explode(F.slice("keys", first + 1, last - first)).alias("key"), "class_id", "group")
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("class_id"), 8)).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"))
     buckets = buckets.filter(F.col("low") != F.col("high")).groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", "members")
-    live = materialise(rows.join(buckets, "key"), "buckets")
+    live = materialise(rows.join(buckets.hint("merge"), "key"), "buckets")
     release(classes.sparkSession)
-    cells = in_cells(live.join(classes.select("class_id", "sketch"), "class_id"), F.col("members"), F.col("class_id"), CELL)
+    placed = _place(live, groups is not None).join(classes.select("class_id", "sketch").hint("merge"), "class_id")
     columns = ["key", "cell_a", "cell_b", "part", "class_id", "group", "sketch"]
-    cells = cells.select(columns).repartition(partitions(classes.sparkSession), "key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
+    cells = placed.select(columns).repartition(partitions(classes.sparkSession), "key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
 
     def compare(batches):
         for table, begins in runs(batches, 3):
@@ -150,6 +150,25 @@ def _candidates(classes: DataFrame, first: int, last: int, groups: DataFrame | N
     return cells.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _place(live: DataFrame, grouped: bool) -> DataFrame:
+    """Members of buckets with the cell and part in which each pair of different groups meets once.
+
+    Where groups are known, a bucket's largest one need not be compared with itself: it is only cut into parts, and the
+    other members are sent to each of them, so that a group of many copies and a few strays costs a row a copy."""
+    if not grouped:
+        return in_cells(live, F.col("members"), F.col("class_id"), CELL)
+    largest = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"))
+    told = live.join(largest.hint("merge"), "key").withColumn("parts", F.ceil(F.col("most.n") / F.lit(CELL)).cast("int"))
+    inside = F.col("group") == F.col("most.group")
+    rest = told.filter(~inside)
+    columns = ["key", "class_id", "group"]
+    own = told.filter(inside).select(*columns, F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part")).withColumns({"cell_a": F.col("part"), "cell_b": F.lit(-1)})
+    sent = rest.select(*columns, F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell_a")).withColumn("cell_b", F.lit(-1))
+    among = in_cells(rest.withColumn("others", F.col("members") - F.col("most.n")).filter("others > 1"), F.col("others"), F.col("class_id"), CELL)
+    names = [*columns, "part", "cell_a", "cell_b"]
+    return own.select(names).unionByName(sent.select(names)).unionByName(among.select(names))
+
+
 def _pieces(begins: np.ndarray, most: int = 1 << 20):
     """Cut runs into stretches with about `most` pairs."""
     pairs = np.cumsum(np.diff(begins) ** 2 // 2)
@@ -240,7 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     release(spark)
 
     members = containers.join(containers.groupBy("container").agg(F.count(F.lit(1)).alias("members")), "container").join(classes.select("class_id", "set_key", "size"), "class_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(materialise(members, "members"), "class_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(materialise(members, "members").hint("merge"), "class_id")
 
     def expand(batches):
         for batch in batches:
