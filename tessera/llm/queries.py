@@ -46,7 +46,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write(table(spark, sf_dir, "documents"), byte_bpe(), folder)
-    return tokenfiles.read(spark, folder).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), tokenfiles.crc32(F.col("ids")).alias("ids_crc32"))
+    return tokenfiles.summary(spark, folder)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import _flat, vocabulary, word_cache
+from tessera.llm.bpe import encoded, vocabulary
 from tessera.llm.common import partitions
 
 MAGIC = b"TSRTOK\x00\x01"
@@ -60,7 +60,7 @@ def _get(uri: str) -> bytes:
 
 
 def _encoded(text: str | None, path: str, end: bytes) -> bytes:
-    return b"".join(map(word_cache(path).__getitem__, vocabulary(path).words(text or ""))) + end
+    return encoded(text or "", path) + end
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
@@ -69,9 +69,8 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str, end: bytes, width: int, most: int = SAMPLE) -> bytes:
     """A dictionary from serialized id arrays of a bounded sample; too small a sample is itself the dictionary."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS) & F.col("doc_id").isNotNull())
-    picked = short.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most).distinct()
-    rows = short.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    picked = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most).distinct()
+    rows = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).dropDuplicates(["doc_id"]).collect()
     samples = sorted(_narrow(_encoded(r["text"], path, end), width) for r in rows)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -167,6 +166,9 @@ class Reader:
         self.counts = np.frombuffer(index, "<u4", n, 9 * n)
         self.begins = np.append(np.frombuffer(index, "<u8", n, 13 * n), np.uint64(begin)).astype(np.int64)
 
+    def names(self, a: int, b: int) -> pa.Array:
+        return pa.array(self.docs[a:b], pa.int64(), mask=self.null[a:b])
+
     def document(self, place: int) -> np.ndarray:
         frame = self.file.read_at(int(self.begins[place + 1] - self.begins[place]), int(self.begins[place]))
         return np.frombuffer(self.decompressor.decompress(frame), f"<u{self.width}")
@@ -191,25 +193,45 @@ class Reader:
             a = b
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of every document of a folder of token files; start counts the ids of all before it."""
+def _each_part(spark: SparkSession, folder: str, made, schema: str) -> DataFrame:
+    """What `made(reader, start)` yields for each part of a folder."""
     manifest = json.loads(_get(f"{folder}/manifest.json"))
 
     def read_parts(batches):
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Reader(folder, file)
-                for a, ids, counts in reader.blocks():
-                    ends = np.cumsum(counts)
-                    b = a + len(counts)
-                    docs = pa.array(reader.docs[a:b], pa.int64(), mask=reader.null[a:b])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.record_batch([docs, pa.array(start + ends - counts), lists], names=["doc_id", "start", "ids"])
-                    start += int(ends[-1])
+                yield from made(Reader(folder, file), start)
 
     files = [(p["file"], p["start"]) for p in manifest["parts"]]
-    listed = spark.createDataFrame(files, "file string, start bigint").repartition(max(1, len(files)))
-    return listed.mapInArrow(read_parts, "doc_id bigint, start bigint, ids array<int>")
+    return spark.createDataFrame(files, "file string, start bigint").repartition(max(1, len(files))).mapInArrow(read_parts, schema)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, ids) of every document of a folder of token files; start counts the ids of all before it."""
+
+    def made(reader: Reader, start: int):
+        for a, ids, counts in reader.blocks():
+            ends = np.cumsum(counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch([reader.names(a, a + len(counts)), pa.array(start + ends - counts), lists], names=["doc_id", "start", "ids"])
+            start += int(ends[-1])
+
+    return _each_part(spark, folder, made, "doc_id bigint, start bigint, ids array<int>")
+
+
+def summary(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its frame: the crc32 is that of its ids as
+    little-endian unsigned 32-bit integers."""
+
+    def made(reader: Reader, start: int):
+        for a, ids, counts in reader.blocks():
+            ends = np.cumsum(counts)
+            raw = memoryview(ids.astype("<u4").view(np.uint8))
+            sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            yield pa.record_batch([reader.names(a, a + len(counts)), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            start += int(ends[-1])
+
+    return _each_part(spark, folder, made, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def find(folder: str, doc_id: int) -> np.ndarray:
@@ -220,15 +242,3 @@ def find(folder: str, doc_id: int) -> np.ndarray:
             if not reader.null[-1] and reader.docs[-1] >= doc_id:
                 return reader.find(doc_id)
     raise KeyError(doc_id)
-
-
-def crc32(ids: Column) -> Column:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("bigint")
-    def crc(column: pa.Array) -> pa.Array:
-        values, offsets = _flat(column)
-        raw = memoryview(np.ascontiguousarray(values, "<i4").view(np.uint8))
-        return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.int64())
-
-    return crc(ids)
