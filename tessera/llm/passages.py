@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words. Rows without an id keep all words and make no others go; rows that share an id
     are one document to each other. An empty table gives no rows; columns of these three names are replaced."""
     n = partitions(docs.sparkSession)
-    slots, deals = 2 * n, 4 * n
+    slots, deals = n, 4 * n
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names = docs.columns
     rows = packed(docs, F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(deals)).cast("int"), deals)
