@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import packed, partitions, unpacked
+from tessera.llm.common import give_back, packed, partitions, unpacked
 
 # Fixed value: the token pattern of the byte-level pre-tokenizer; letters, by far the most frequent, are tried first.
 PATTERN = regex.compile(r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -177,6 +177,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             seen.update(of.words(t))
         by_slot = _by_slot(seen, n)
         asked = [(k, x) for k, x in enumerate(by_slot) if x]
+        del seen, by_slot
+        give_back()
         return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([framed(x) for _, x in asked], pa.binary())})
 
     def answer(key, asked):
@@ -187,6 +189,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 if w not in table:
                     table[w] = of.encode_word(w.decode())
             out.append(framed([table[w] for w in words]))
+        del table
+        give_back()
         return pa.table({"gid": asked.column("gid"), "slot": asked.column("slot"), "ids": pa.array(out, pa.binary())})
 
     def join(blocks, answers):
@@ -200,6 +204,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         encoded = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
         offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+        del numbers, by_slot, table, placed, encoded
+        give_back()
         return pa.table([*([] if found is None else found.columns), ids], names=[*(names if found is not None else []), "ids"])
 
     words = rows.groupBy("gid").applyInArrow(ask, "slot int, gid int, words binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -45,6 +47,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return memory that a finished batch or group held to the system, since a worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # only where the C library has it
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,14 +68,6 @@ def bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def large_text(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
-    """A column as one large_binary array with nulls as empty."""
-    col = batch.column(name)
-    if isinstance(col, pa.ChunkedArray):
-        col = pa.concat_arrays([c.cast(pa.large_string()) for c in col.chunks]) if col.num_chunks else pa.array([], pa.large_string())
-    return col.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -134,13 +135,13 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def strings(texts: pa.Array, most: int = 4 << 20):
+def strings(texts: pa.Array, most: int = 1 << 20):
     """The texts one after the other, null as empty, of which few are Python strings at a time."""
     for _, part in text_slices(texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary()), most):
         yield from part.cast(pa.large_string()).to_pylist()
 
 
-def text_slices(texts: pa.Array, most: int = 4 << 20):
+def text_slices(texts: pa.Array, most: int = 1 << 20):
     """Cut an array of texts into runs of about `most` bytes, to bound the memory of what is made from each."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     a = 0
@@ -173,6 +174,8 @@ def packed(df: DataFrame, group: Column, n: int) -> DataFrame:
                 blocks.append(sink.getvalue().to_pybytes())
                 gids.append(int(gid[part[0]]))
             yield pa.record_batch([pa.array(gids, pa.int32()), pa.array(blocks, pa.binary())], names=["gid", "block"])
+            del batch, blocks
+            give_back()
 
     keyed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], group.alias("gid"))
     return keyed.mapInArrow(pack, "gid int, block binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_cells, materialise, mix, ngram_hashes, pairs_in_runs, partitions, release, runs, text_slices, word_hashes
+from tessera.llm.common import give_back, in_cells, materialise, mix, ngram_hashes, pairs_in_runs, partitions, release, runs, text_slices, word_hashes
 from tessera.llm.components import connected_components, local_labels
 
 WORDS = 5
@@ -117,6 +117,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "set_key", "n", "sketch", "keys"])
+            del batch, bands, flat, lists
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_key binary, n bigint, sketch binary, keys array<bigint>")
 
@@ -275,6 +277,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     def verify(batches):
         for table, begins in runs(batches, 3):
             yield _verified(table, begins, threshold)
+            del table
+            give_back()
 
     found = materialise(cells.mapInArrow(verify, "class_id bigint, links bigint, label bigint"), "links")
     release(spark)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import framed, unframed
-from tessera.llm.common import ngram_hashes, packed, partitions, text_slices, unpacked, word_hashes
+from tessera.llm.common import give_back, ngram_hashes, packed, partitions, text_slices, unpacked, word_hashes
 
 #: Words of a window, and of the phrase by which windows are found.
 WINDOW, PHRASE = 13, 5
@@ -279,6 +279,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if found:
                 passages, at, lows = zip(*found, strict=True)
                 out.append((gid, framed(list(passages)), _zip(np.array(at, np.int32)), _zip(np.array([len(x) for x in lows], np.int32)), _zip(np.concatenate(lows))))
+        del known, held
+        give_back()
         return _table(out, ("gid", pa.int32()), *_PASSAGE_COLUMNS)
 
     def locate(blocks, passages):
@@ -297,6 +299,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             counts.append(len(words))
             removed.append(0 if gone is None else int(gone.sum()))
             kept.append((joined[1:-1] if gone is None else b" ".join(compress(words, (~gone).tolist()))).decode())
+        del machine, texts, lows
+        give_back()
         more = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
         return pa.table([*([] if found is None else found.columns), *more], names=[*([] if found is None else names), "n_words", "n_removed", "kept_text"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import large_text, ngram_hashes, text_slices, word_hashes
+from tessera.llm.common import give_back, ngram_hashes, text_slices, word_hashes
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -77,6 +77,8 @@ def statistics(text: Column) -> Column:
     def stats(texts: pa.Array) -> pa.Array:
         whole = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
         rows = [r for _, part in text_slices(whole) for r in _rows(part)]
+        del whole
+        give_back()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(COUNTS) + len(RATES))
         kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(RATES)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*COUNTS, *RATES])
