@@ -35,10 +35,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each document taken, and digests of the ids and of the text they decode to."""
-    found = bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe()).select("doc_id", "source", "ids")
-    found = found.withColumn("decoded", bpe.decode(F.col("ids"), byte_bpe())).withColumn("ids_sha256", bpe.digest(F.col("ids")))
-    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
+    """doc_id, source and ids of each document taken."""
+    return bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe()).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

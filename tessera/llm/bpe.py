@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -166,8 +167,28 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     them; the group then joins ids to its words by position. A word in a third of all texts is one row for each group,
     so no task grows with its frequency. Null and empty texts have no ids; repeated rows are rows of their own; a
     column named `ids` is replaced, all others stay."""
+
+    def lists(flat: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))]
+
+    return _by_word_table(docs, path, lists, {"ids": "array<int>"})
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """docs with `n_tokens`, `ids_sha256` and `decoded_sha256`: what `encode` gives and the text that `decode` makes of
+    it, as digests taken where the ids are joined, so that neither is sent anywhere."""
+
+    def digests(flat: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(flat, offsets, path)]
+        return [pa.array(np.diff(offsets), pa.int64()), pa.array(_digests(flat, offsets), pa.string()), pa.array(texts, pa.string())]
+
+    return _by_word_table(docs, path, digests, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})
+
+
+def _by_word_table(docs: DataFrame, path: str, made, columns: dict[str, str]) -> DataFrame:
+    """docs with the columns that `made(flat ids, offsets)` gives for each group of documents."""
     n = 2 * partitions(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop(*columns)
     names = docs.columns
     rows = packed(docs, F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(n)).cast("int"), n)
 
@@ -175,11 +196,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         of, seen = vocabulary(path), set()
         for t in _texts(unpacked(blocks)):
             seen.update(of.words(t))
-        by_slot = _by_slot(seen, n)
-        asked = [(k, x) for k, x in enumerate(by_slot) if x]
-        del seen, by_slot
+        asked = [(k, framed(x)) for k, x in enumerate(_by_slot(seen, n)) if x]
+        del seen
         give_back()
-        return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([framed(x) for _, x in asked], pa.binary())})
+        return pa.table({"slot": pa.array([k for k, _ in asked], pa.int32()), "gid": pa.array([key[0].as_py()] * len(asked), pa.int32()), "words": pa.array([x for _, x in asked], pa.binary())})
 
     def answer(key, asked):
         of, table, out = vocabulary(path), {}, []
@@ -201,16 +221,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for slot, ids in zip(answers.column("slot").to_pylist(), answers.column("ids"), strict=True):
             for w, got in zip(by_slot[slot], unframed(ids.as_py()), strict=True):
                 table[numbers[w.decode()]] = got
-        encoded = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
-        offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
-        del numbers, by_slot, table, placed, encoded
+        del numbers, by_slot
+        joined = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
+        del placed, table
+        offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in joined])])
+        more = made(np.frombuffer(b"".join(joined), "<u4"), offsets)
+        del joined
         give_back()
-        return pa.table([*([] if found is None else found.columns), ids], names=[*(names if found is not None else []), "ids"])
+        return pa.table([*([] if found is None else found.columns), *more], names=[*(names if found is not None else []), *columns])
 
     words = rows.groupBy("gid").applyInArrow(ask, "slot int, gid int, words binary")
     answers = words.groupBy("slot").applyInArrow(answer, "gid int, slot int, ids binary")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} {kind}" for c, kind in columns.items())])
     return rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(join, schema)
 
 
@@ -220,6 +242,21 @@ def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in ids])]) if ids.null_count else ids.offsets.to_numpy() - ids.offsets[0].as_py()
 
 
+def _decoded(values: np.ndarray, offsets: np.ndarray, path: str):
+    """The text of each run of ids: ids are joined to their pieces by position in the table of pieces."""
+    blob, begins = _pieces(path)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        parts = []
+        for k in range(a, b, 1 << 17):
+            some = values[k : min(b, k + (1 << 17))].astype(np.int64)
+            some = some[(some >= 0) & (some < len(begins) - 1)]
+            length = begins[some + 1] - begins[some]
+            ends = np.cumsum(length)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[some] - ends + length, length)
+            parts.append(blob[at].tobytes())
+        yield b"".join(parts).decode("utf-8", "replace")
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids: each id is joined to its piece and the pieces' bytes are read as UTF-8, with the
     replacement character for what is not UTF-8. The table of pieces has a row for each id of the vocabulary file, so
@@ -227,20 +264,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        blob, begins = _pieces(path)
-        values, offsets = _flat(column)
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            parts = []
-            for k in range(a, b, 1 << 18):
-                some = values[k : min(b, k + (1 << 18))]
-                some = some[(some >= 0) & (some < len(begins) - 1)]
-                length = begins[some + 1] - begins[some]
-                ends = np.cumsum(length)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[some] - ends + length, length)
-                parts.append(blob[at].tobytes())
-            out.append(b"".join(parts).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return pa.array(list(_decoded(*_flat(column), path)), pa.string())
 
     return text(ids)
 
@@ -250,15 +274,16 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary(path).pieces()
 
 
+def _digests(values: np.ndarray, offsets: np.ndarray) -> list[str]:
+    raw = np.ascontiguousarray(values, "<u4").view(np.uint8)
+    return [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def digest(ids: Column) -> Column:
     """SHA-256 in lowercase hex of ids as little-endian unsigned 32-bit integers."""
 
     @F.arrow_udf("string")
     def sha(column: pa.Array) -> pa.Array:
-        import hashlib
-
-        values, offsets = _flat(column)
-        raw = np.ascontiguousarray(values, "<i4").view(np.uint8)
-        return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+        return pa.array(_digests(*_flat(column)), pa.string())
 
     return sha(ids)

@@ -32,9 +32,7 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).select("doc_id", "ids")
-    decoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), bpe.decode(F.col("ids"), byte_bpe()).alias("decoded"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).drop("text")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,12 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     return out
 
 
+def all_spans(text: str, level: int, alpha: float = ALPHA) -> list[tuple[int, int, int, str]]:
+    """The base spans, and the tokens that pass the battery and reach the level of evidence, in order."""
+    base = base_spans(text)
+    return sorted(base + [(s, 3, e, name) for s, e, name, p, score in candidates(text, base) if p >= alpha and score >= level])
+
+
 def evidence_column(text: Column) -> Column:
     """The evidence of every candidate of a text."""
 
@@ -161,16 +167,14 @@ def discovery_level(docs: DataFrame, fdr: float = FDR) -> int:
 
 
 def find(text: Column, level: int, alpha: float = ALPHA) -> Column:
-    """All spans of a text: the base ones, and the tokens that pass the battery and reach the level of evidence."""
+    """All spans of a text, as an array of structs."""
 
     @F.arrow_udf(f"array<{SPAN}>")
     def spans(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64()), ("kind", pa.string())]))
         out = []
         for t in strings(texts):
-            base = base_spans(t)
-            more = [(s, 3, e, name) for s, e, name, p, score in candidates(t, base) if p >= alpha and score >= level]
-            out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in sorted(base + more)])
+            out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in all_spans(t, level, alpha)])
         return pa.array(out, kind)
 
     return spans(text)
@@ -189,22 +193,24 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     return docs.withColumn("secrets", find(F.col("text"), discovery_level(docs.select("text"), fdr)))
 
 
-def mask(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """docs with every secret of the text replaced by a mark and n_chars, where there is one, counted anew."""
+def _masked(text: str, spans: list[tuple[int, int, int, str]], mark: str) -> str:
+    parts, at = [], 0
+    for start, _, stop, _ in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, stop)
+    return "".join([*parts, text[at:]])
+
+
+def mask(docs: DataFrame, mark: str = "<secret>", fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
+    """docs with every secret of the text replaced by a mark and n_chars, where there is one, counted anew; null texts
+    stay null."""
+    level = discovery_level(docs.select("text"), fdr)
 
     @F.arrow_udf("string")
-    def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if found:
-                parts, at = [], 0
-                for s in found:
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], mark]
-                    at = max(at, s["stop"])
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    found = scan(docs).withColumn("text", masked("text", "secrets")).drop("secrets")
+    def masked(texts: pa.Array) -> pa.Array:
+        known = texts.is_valid().to_pylist()
+        return pa.array([_masked(t, all_spans(t, level, alpha), mark) if there else None for t, there in zip(strings(texts), known, strict=True)], pa.string())
+
+    found = docs.withColumn("text", masked("text"))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
