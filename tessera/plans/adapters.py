@@ -84,9 +84,9 @@ def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(outcome.isin("rejected", "api_error"), F.array(F.concat(F.lit("C"), F.pmod(k, F.lit(7)).cast("string")), F.concat(F.lit("D"), F.pmod(k, F.lit(5)).cast("string")))).otherwise(F.array().cast("array<string>")).alias("issue_codes"),
         F.array(F.concat(F.lit("msg "), F.pmod(k, F.lit(7)).cast("string"))).alias("issue_messages"),
         F.pmod(k, F.lit(500)).cast("string").alias("question_hash"),
-        F.when((outcome == "rejected") & (F.pmod(k, F.lit(4)) == 0), F.timestamp_seconds(F.unix_seconds(at) + 3600)).alias("validated_at"),
+        F.when((outcome == "rejected") & (F.pmod(k, F.lit(4)) == 0), at + F.expr("INTERVAL 1 HOUR")).alias("validated_at"),
         F.when(F.pmod(k, F.lit(8)) == 0, True).when(F.pmod(k, F.lit(12)) == 0, False).alias("validated_edited"),
-        F.when((outcome == "rejected") & (F.pmod(k, F.lit(6)) == 1), F.timestamp_seconds(F.unix_seconds(at) + 7200)).alias("dismissed_at"),
+        F.when((outcome == "rejected") & (F.pmod(k, F.lit(6)) == 1), at + F.expr("INTERVAL 2 HOURS")).alias("dismissed_at"),
     )
 
 
