@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import games
@@ -64,6 +65,46 @@ def game_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return normal, flat, games.answers(flat)
 
 
+def flat_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The games of `order_games` as they are stored flat, without the way through nested rows: (games, rounds, answers)
+    with the same columns and values."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    order = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).withColumn("pos", F.row_number().over(order) - 1)
+    player = F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(200)).cast("string"))
+    game = F.lpad(F.col("o_orderkey").cast("string"), 10, "0")
+    number = F.pmod("l_partkey", F.lit(100)).cast("string")
+    common = {
+        "game_id": game,
+        "mode": F.when(F.col("o_orderpriority") == "1-URGENT", "multiplayer").otherwise("single"),
+        "started_at": F.date_trunc("second", F.col("o_orderdate").cast("timestamp")),
+        "round": F.col("l_linenumber"),
+        "category": F.concat((F.pmod("l_partkey", F.lit(12)) + 1).cast("string"), F.lit(". Tema")),
+        "category_n": (F.pmod("l_partkey", F.lit(12)) + 1).cast("int"),
+        "format": F.concat("l_returnflag", "l_linestatus"),
+        "age_band": _pick(("6-9", "10-15", "15+", games.NO_AGE_BAND), F.pmod("l_suppkey", F.lit(4))),
+        "question": F.concat(F.lit("Quêstão <b>"), number, F.lit("</b>")),
+        "correct_answer": F.concat(F.lit("R"), number),
+        "knowledge_id": F.lit(None).cast("string"),
+        "question_key": F.concat(F.lit("questao "), number, F.lit("::r"), number),
+    }
+    columns = [c.alias(name) for name, c in common.items()]
+    rounds = joined.select(*columns, F.struct(game.alias("game"), F.col("pos").alias("round")).alias("ordinal"))
+    answers = joined.select(
+        *columns,
+        F.struct(game.alias("game"), F.col("pos").alias("round"), F.lit(0).alias("answer")).alias("ordinal"),
+        player.alias("player_id"),
+        F.when(F.pmod("o_custkey", F.lit(3)) > 0, F.concat(F.lit("Nick "), player)).otherwise("").alias("nickname"),
+        F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(4)).cast("string")).alias("selected_answer"),
+        (F.col("l_discount") >= 0.05).alias("correct"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_quantity") * 100).otherwise(0.0).alias("response_ms"),
+        F.col("l_shipdate").cast("timestamp").alias("answered_at"),
+    )
+    held = joined.groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(F.collect_list(F.lit(1)).alias("rounds"))
+    whole = held.select(game.alias("game_id"), common["mode"].alias("mode"), common["started_at"].alias("started_at"), F.date_add("o_orderdate", F.size("rounds")).cast("timestamp").alias("finished_at"), "rounds")
+    return whole, rounds, answers
+
+
 def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as generation telemetry."""
     e = table(spark, sf_dir, "events")

@@ -73,7 +73,7 @@ FROM x GROUP BY game_id
 """
 )
 def game_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.game_frames(spark, sf_dir)
+    normal, _, events = a.flat_frames(spark, sf_dir)
     return games.game_stats(normal, events).select("game_id", "mode", "rounds_total", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", "duration_ms")
 
 
@@ -86,12 +86,35 @@ SELECT count(*) AS games_total, sum(n)::BIGINT AS rounds_total, count(*) FILTER
   {PCT.format("sum(c)", "sum(n)")} AS accuracy_pct, floor(sum(n)::DOUBLE / count(*) * 10 + 0.5) / 10 AS avg_rounds_per_game FROM g
 """
 )
-def games_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_games_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `games_summary`, from nested games."""
     normal, _, events = a.game_frames(spark, sf_dir)
     row = games.games_summary(games.game_stats(normal, events))
     return row.select("games_total", "rounds_total", "single_games", "multiplayer_games", "answers_total", "correct_total", "accuracy_pct", "avg_rounds_per_game")
 
 
+ORACLE_SQL["games_summary"] = ORACLE_SQL["nested_games_summary"]
+
+
+@query()
+def games_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal, _, events = a.flat_frames(spark, sf_dir)
+    row = games.games_summary(games.game_stats(normal, events))
+    return row.select("games_total", "rounds_total", "single_games", "multiplayer_games", "answers_total", "correct_total", "accuracy_pct", "avg_rounds_per_game")
+
+
+@query(
+    ANSWERS
+    + """
+SELECT question_key, age_band, count(*) AS times_presented FROM x GROUP BY ALL
+"""
+)
+def nested_question_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question keys as normalised from nested games."""
+    _, flat, _ = a.game_frames(spark, sf_dir)
+    return flat.groupBy("question_key", "age_band").agg(F.count(F.lit(1)).alias("times_presented"))
+
+
 @query(
     ANSWERS
     + f"""
@@ -114,7 +137,7 @@ LEFT JOIN worst ON worst.player_id = p.player_id AND worst.k = 1
 """
 )
 def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, events = a.game_frames(spark, sf_dir)
+    _, _, events = a.flat_frames(spark, sf_dir)
     rows = games.player_stats(games.single_player(events))
     return rows.select("player_id", "games_played", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", "display_name", F.col("best_category.category").alias("best_category"), F.col("worst_category.category").alias("worst_category"))
 
@@ -131,7 +154,7 @@ FROM x JOIN t USING (category_n) GROUP BY category_n
 """
 )
 def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.game_frames(spark, sf_dir)
+    _, flat, events = a.flat_frames(spark, sf_dir)
     rows = games.category_stats(flat, events)
     top = F.array_join(F.transform("top_formats", lambda t: F.concat(t["format"], F.lit("="), t["count"].cast("string"))), ",")
     return rows.select("category_n", "rounds_presented", "answers_total", "correct_total", "accuracy_pct", top.alias("top_formats"))
@@ -146,7 +169,7 @@ SELECT age_band, count(*) AS rounds_presented, count(*) AS answers_total, count(
 """
 )
 def age_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.game_frames(spark, sf_dir)
+    _, flat, events = a.flat_frames(spark, sf_dir)
     return games.age_band_stats(flat, events).select("age_band", "rounds_presented", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", F.col("band_order").cast("int").alias("band_order"))
 
 
@@ -168,13 +191,13 @@ def _questions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(ANSWERS + QUESTIONS.format(keys="question_key"))
 def question_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.game_frames(spark, sf_dir)
+    _, flat, events = a.flat_frames(spark, sf_dir)
     return _questions(games.question_stats(flat, events), ["question_key"])
 
 
 @query(ANSWERS + QUESTIONS.format(keys="question_key, age_band"))
 def question_stats_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.game_frames(spark, sf_dir)
+    _, flat, events = a.flat_frames(spark, sf_dir)
     return _questions(games.question_stats(flat, events, by_age_band=True), ["question_key", "age_band"])
 
 
@@ -188,7 +211,7 @@ UNION ALL SELECT age_band, 'worst', question_key, acc FROM r WHERE w = 1
 """
 )
 def question_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.game_frames(spark, sf_dir)
+    _, flat, events = a.flat_frames(spark, sf_dir)
     rows = games.question_stats(flat, events, by_age_band=True)
     return games.extremes(rows, [F.col("answers_total").desc(), F.col("ordinal")], ["age_band"]).select("age_band", "extreme", "question_key", "accuracy_pct")
 
@@ -202,7 +225,7 @@ SELECT player_id, max(run) AS best_streak, arg_max(run, island) AS current_strea
 """
 )
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, events = a.game_frames(spark, sf_dir)
+    _, _, events = a.flat_frames(spark, sf_dir)
     return games.streaks(events).select("player_id", "best_streak", "current_streak")
 
 
@@ -215,19 +238,19 @@ UNION ALL SELECT game_id, 'match_devices', 1.0, sum(n)::BIGINT FROM r GROUP BY g
 """
 )
 def room_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.game_frames(spark, sf_dir)
+    normal, _, events = a.flat_frames(spark, sf_dir)
     return games.match_insights(normal, events).filter("type IN ('match_accuracy', 'match_devices')").select("game_id", "type", "value", "answers")
 
 
 @query()
 def match_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.game_frames(spark, sf_dir)
+    normal, _, events = a.flat_frames(spark, sf_dir)
     return games.match_insights(normal, events)
 
 
 @query()
 def global_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return games.global_insights(*a.game_frames(spark, sf_dir))
+    return games.global_insights(*a.flat_frames(spark, sf_dir))
 
 
 # --- series and telemetry --------------------------------------------------------------------------------------
