@@ -48,8 +48,12 @@ def release(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return memory that a finished batch or group held to the system, since a worker goes on to other stages."""
+    """Return memory that a finished batch or group held to the system, since a worker goes on to other stages.
+
+    From the first call on, Arrow takes its memory from the C library, whose freed pages can be given back."""
     pa.default_memory_pool().release_unused()
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)  # only where the C library has it
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_slices
+from tessera.llm.common import give_back, text_slices
 
 #: Hashed n-grams of one to three characters of the lower-cased text go to so many places each.
 PLACES = 1 << 14
@@ -184,6 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         found = []
         for _, part in text_slices(column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())):
             found += [shared.value.predict(t.decode()) for t in part.to_pylist()]
+        give_back()
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["lang", "score", "ambiguous"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings
+from tessera.llm.common import give_back, strings
 
 # The kinds of secrets with a fixed shape, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex")
@@ -147,7 +147,9 @@ def evidence_column(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([[c[4] for c in candidates(t, base_spans(t))] for t in strings(texts)], pa.list_(pa.int32()))
+        out = pa.array([[c[4] for c in candidates(t, base_spans(t))] for t in strings(texts)], pa.list_(pa.int32()))
+        give_back()
+        return out
 
     return scores(text)
 
@@ -175,6 +177,7 @@ def find(text: Column, level: int, alpha: float = ALPHA) -> Column:
         out = []
         for t in strings(texts):
             out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in all_spans(t, level, alpha)])
+        give_back()
         return pa.array(out, kind)
 
     return spans(text)
@@ -210,7 +213,9 @@ def mask(docs: DataFrame, mark: str = "<secret>", fdr: float = FDR, alpha: float
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
         known = texts.is_valid().to_pylist()
-        return pa.array([_masked(t, all_spans(t, level, alpha), mark) if there else None for t, there in zip(strings(texts), known, strict=True)], pa.string())
+        out = pa.array([_masked(t, all_spans(t, level, alpha), mark) if there else None for t, there in zip(strings(texts), known, strict=True)], pa.string())
+        give_back()
+        return out
 
     found = docs.withColumn("text", masked("text"))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
