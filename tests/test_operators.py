@@ -274,3 +274,79 @@ def test_a_log_is_appended_once(spark, tmp_path):
     for _ in range(2):
         rollups.append_parquet(rollups.once(spark.readStream.schema(calls.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4]
+
+
+# --- keys, histories, review queue, picks ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("geo|Lisboa|capital|de", "historia|lisboa|Capital|", True),
+        ("geo|Lisboa|capital|de", "geo|Porto|capital|de", False),
+        ("capital lisboa", "geo|Lisboa|capital|de", True),
+        ("lisboa", "geo|lisboa|capital|x", True),
+        ("rio", "rio tejo", True),
+        ("tejo", "rio tejo grande largo", False),
+        ("o rio tejo", "o rio tejo nasce", True),
+        ("", "", False),
+    ],
+)
+def test_keys_match(spark, a, b, same):
+    from tessera.functions import keys
+
+    assert spark.range(1).select(keys.keys_match(F.lit(a), F.lit(b))).first()[0] is same
+
+
+def test_ids_and_suffixes(spark):
+    from tessera.functions import keys
+
+    row = spark.range(1).select(keys.game_question_id(F.lit("rmq-3-10-15-1abc")).alias("a"), keys.game_question_id(F.lit("rmq-33-6-9-x")).alias("b"), keys.without_true_false(F.lit("O sol é uma estrela. Verdadeiro ou Falso?")).alias("c")).first()
+    assert row["a"][:] == (3, "10-15", "1abc") and row["b"] is None and row["c"] == "O sol é uma estrela"
+
+
+def test_snapshots_slices_and_runs(spark):
+    from tessera.operators import history
+
+    kind = "position int, q string, a string, question_hash string, ts timestamp"
+    day = lambda d: datetime(2024, 1, d)
+    df = spark.createDataFrame([(1, "q", "a", "h", day(20)), (2, "q", "a", "h", day(25)), (3, "x", "y", "", day(26)), (4, "x", "y", None, day(27)), (5, "o", "o", "old", datetime(2023, 1, 1))], kind)
+    assert sorted(r["position"] for r in history.snapshot(df, "2024-01-31 00:00:00").collect()) == [2, 4]
+    runs = spark.createDataFrame([("s", 1, "A"), ("s", 2, "B"), ("s", 3, "B"), ("t", 1, "A")], "k string, n int, f string")
+    assert rows(history.trailing_run(runs, "k", "n", "f"), "k", "f", "run") == [("s", "B", 2), ("t", "A", 1)]
+    assert rows(history.recent_slice(runs, "k", "n", 2), "k", "n") == [("s", 2), ("s", 3), ("t", 1)]
+    store = spark.createDataFrame([("s", ["q1", "q2"], ["a1"])], "k string, questions array<string>, answers array<string>")
+    assert rows(history.entries_from_parallel(store, {"questions": "q", "answers": "a"}), "position", "q") == [(0, "q1"), (1, "q2")]
+    calls = spark.createDataFrame([("c", datetime(2024, 1, 1, 0, 0, s)) for s in (0, 1, 2)] + [("c", datetime(2024, 1, 1, 0, 1, 1))], "client string, ts timestamp")
+    assert [r["allowed"] for r in history.over_limit(calls, "client", "ts", 2).orderBy("ts").collect()] == [True, True, False, True]
+
+
+def test_review_queue(spark):
+    from tessera.functions.text import question_hash
+    from tessera.operators import review
+
+    kind = "id int, ts timestamp, question_text string, answer_text string, issue_codes array<string>"
+    when = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, when, "q", "a", ["DIFFICULTY_RANGE"]), (2, when, "<b>q</b>", "a", ["DIFFICULTY_HARD"]), (3, when, "r", "a", ["OTHER", "DIFFICULTY_HARD"]), (4, when, "s", "a", ["DIFFICULTY_HARD"]), (5, when, "", "a", ["DIFFICULTY_HARD"])], kind)
+    done = spark.range(1).select(question_hash(F.lit("s"), F.lit("a")).alias("question_hash"))
+    assert rows(review.candidates(df, done), "id", "reason") == [(1, "queued"), (2, "skipped"), (3, "skipped"), (4, "already_reviewed"), (5, "skipped")]
+    queue = spark.createDataFrame([("a", "pending", 1), ("b", "approved", 1)], "question_hash string, status string, n int")
+    new = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2)], "question_hash string, n int")
+    assert rows(review.merge_queue(queue, new), "question_hash", "status", "n") == [("a", "pending", 2), ("b", "approved", 1), ("c", "pending", 2)]
+    fixed = spark.range(1).select(review.corrections({"d": F.lit(4), "f": F.lit("x")}, {"d": F.lit(2), "f": F.lit("x")}).alias("c")).first()["c"]
+    assert [tuple(x) for x in fixed] == [("d", "4", "2")]
+
+
+def test_picks(spark):
+    from tessera.operators import picks
+
+    drawn = [picks.weighted(spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 9.0)], "k string, w double"), "k", "w", s).first()["k"] for s in range(30)]
+    assert "a" not in drawn and drawn.count("c") > drawn.count("b") > 0
+    df = spark.createDataFrame([(["x", "y", "y"],), (["x"],), ([],), (["y", "y"],)], "r array<string>")
+    assert [r[0] for r in df.select(picks.pool(("x", "y", "z"), F.col("r"), 2)).collect()] == [["x", "z"], ["y", "z"], ["x", "y", "z"], ["x", "z"]]
+    models = spark.createDataFrame([("p", 1, "p1", 1, False), ("p", 1, "p2", 2, False), ("q", 2, "q1", 1, False), ("r", 3, "r1", 1, True)], "provider string, provider_order int, model string, model_order int, is_open boolean")
+    line = lambda **o: [r["model"] for r in picks.interleaved(models, **o).orderBy("position").collect()]
+    assert line() == ["p1", "q1", "p2"] and line(priority="q") == ["q1", "p1", "p2"] and line(one_each=True) == ["p1", "q1"]
+    cover = spark.createDataFrame([(1, "6-9", 3), (2, "6-9", 1), (1, "15+", 0)], "category int, age string, count int")
+    assert picks.sparse_cell(cover, 1).first()["age"] == "15+" and picks.sparse_cell(cover, 1, "15+", balance=True).first()["category"] == 2
+    assert spark.range(1).select(picks.least_used_position(F.array(*[F.lit(x) for x in (0, 1, 3, 0)]), 4, F.lit(7))).first()[0] == 2
