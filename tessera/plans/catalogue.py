@@ -641,7 +641,7 @@ def bank_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BANK.format(days=30) + """
-SELECT 'k' || p_partkey AS knowledge_id FROM part WHERE p_partkey < 600 AND p_partkey % 13 > 0 AND 0.8 + (p_partkey % 20) / 100 >= 0.85
+SELECT 'k' || p_partkey AS knowledge_id FROM part WHERE p_partkey % 13 > 0 AND 0.8 + (p_partkey % 20) / 100 >= 0.85
   AND 'k' || p_partkey NOT IN (SELECT knowledge_id FROM bank WHERE knowledge_id IS NOT NULL AND valid AND list_contains(ages, '15+'))
 """)
 def unmaterialised_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,7 +675,7 @@ WITH facts AS (
   SELECT p_partkey AS k, 'k' || p_partkey AS knowledge_id, CASE WHEN p_partkey % 2 = 0 THEN 'curiosidade surpreendente' ELSE 'adivinha tradicional' END AS topic,
     trim(regexp_replace(regexp_replace(strip_accents(lower(p_name || ' ' || p_type || ' ' || p_brand || ' lote' || (p_partkey % 50))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key,
     ['Wikidata', 'manual', 'sample', 'outro'][p_partkey % 4 + 1] AS source, p_partkey % 9 AS priority, p_partkey % 13 > 0 AS is_active, 'Resposta ' || (p_partkey % 150) AS answer
-  FROM part WHERE p_partkey < 600
+  FROM part
 ), words AS (SELECT k, knowledge_id, topic, is_active, list_distinct(list_filter(string_split(key, ' '), lambda w: length(w) > 2)) AS w FROM facts)
 """
 
@@ -728,7 +728,7 @@ def rejected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT CASE WHEN p_partkey % 13 = 0 OR p_partkey % 29 = 0 THEN 'blocked_or_superseded' WHEN 0.8 + (p_partkey % 20) / 100 < 0.85 THEN 'confidence_below_minimum'
   WHEN (p_size % 20 + 1) <> 20 AND 0.8 + (p_partkey % 20) / 100 < 0.92 THEN 'source_not_allowed' WHEN p_partkey % 4 = 3 AND 0.8 + (p_partkey % 20) / 100 < 0.92 THEN 'source_not_allowed' END AS reason, count(*) AS n
-FROM part WHERE p_partkey < 600 GROUP BY ALL
+FROM part GROUP BY ALL
 """)
 def policy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = knowledge.policy(F.col("category_n"), F.lit("RESPOSTA_DIRETA"), F.col("source"), F.col("confidence"), F.col("is_active"), F.col("superseded_by"))
