@@ -64,15 +64,17 @@ def similar_pairs(records: DataFrame, text: str, id_col: str = "knowledge_id", t
     """(a, b, similarity) with a before b of records whose token sets are similar, within equal blocks if one is given.
 
     Two sets reach the threshold only if they share one of their rarest tokens: as many as could be missing, and one.
-    Pairs are looked for through those and verified on the sets."""
+    Pairs are looked for through those and verified on the sets. The first token that two sets share must leave enough
+    words after it on either side, which rules out most pairs before they are made distinct."""
     base = records.select(F.col(id_col).alias("id"), (F.col(block) if block else F.lit("")).alias("block"), tokens(normalize_key(F.col(text))).alias("words")).filter(F.size("words") > 0)
     each = base.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
     rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
-    prefix = each.join(rare, "word").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "block", "word", "n")
-    left, right = (prefix.select(F.col("id").alias(x), "block", "word", F.col("n").alias(f"n_{x}")) for x in "ab")
+    prefix = each.join(rare, "word").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "block", "word", "n", "rank")
+    left, right = (prefix.select(F.col("id").alias(x), "block", "word", F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("rank")).alias(f"after_{x}")) for x in "ab")
     sized = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold)
-    found = left.join(right, ["block", "word"]).filter(sized).select("a", "b").distinct()
+    enough = 1 + F.least("after_a", "after_b") >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    found = left.join(right, ["block", "word"]).filter(sized & enough).select("a", "b").distinct()
     sets = base.select("id", "words")
     full = found.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return full.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold)
