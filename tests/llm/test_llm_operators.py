@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, covertree, jaccard, langid, mixing, passages, quality, queries, secrets, sharding, tokenfiles
+from tessera.llm import bpe, components, covertree, jaccard, langid, mixing, passages, quality, queries, secrets, sharding, tokenfiles
 from tessera.llm.common import materialise, shared_dir
 from tessera.llm.components import connected_components
 
@@ -348,6 +348,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_fingerprint_of_many_edges(spark):
+    n = 20_000_000
+    edges = spark.range(1, n + 1).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = components._fingerprint(edges)
+    assert found[0] == n and found == components._fingerprint(edges.coalesce(3))
+    other = edges.withColumn("b", F.when(F.col("a") == 7, F.lit(1)).otherwise(F.col("b")).cast("long"))
+    assert found[0] == components._fingerprint(other)[0] and found != components._fingerprint(other)
+
+
 # --- 7: mixing -------------------------------------------------------------------------------------------------
 
 
