@@ -123,6 +123,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_key binary, n bigint, sketch binary, keys array<bigint>")
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(key, members) of the buckets of (key, class_id, group) with several groups, one of those with the same members.
+
+    Members are told by the sums of both signed halves of their hashes: repeated ids do not cancel out, and sums of 32
+    bits in 64 hold two thousand million members whatever the hashes are, and far more as these fall to both sides."""
+    hashed = F.xxhash64("class_id")
+    high, low = F.shiftright(hashed, 32), F.shiftright(F.shiftleft(hashed, 32), 32)
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(high).alias("mark_high"), F.sum(low).alias("mark_low"), F.min("group").alias("low"), F.max("group").alias("high"))
+    return buckets.filter(F.col("low") != F.col("high")).groupBy("members", "mark_high", "mark_low").agg(F.min("key").alias("key")).select("key", "members")
+
+
 def _candidates(classes: DataFrame, first: int, last: int, groups: DataFrame | None, threshold: float, tolerance: float) -> DataFrame:
     """Edges (a, b) that join the pairs of classes which share one of the bands and are not pruned.
 
@@ -130,9 +141,7 @@ def _candidates(classes: DataFrame, first: int, last: int, groups: DataFrame | N
     pairs of different groups. Buckets with the same members as another are looked at once."""
     known = classes.withColumn("group", F.col("class_id")) if groups is None else classes.join(groups, "class_id", "left").withColumn("group", F.coalesce("group", "class_id"))
     rows = known.select(F.explode(F.slice("keys", first + 1, last - first)).alias("key"), "class_id", "group")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("class_id"), 8)).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"))
-    buckets = buckets.filter(F.col("low") != F.col("high")).groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", "members")
-    live = materialise(rows.join(buckets.hint("merge"), "key"), "buckets")
+    live = materialise(rows.join(_buckets(rows).hint("merge"), "key"), "buckets")
     release(classes.sparkSession)
     placed = _place(live, groups is not None).join(classes.select("class_id", "sketch").hint("merge"), "class_id")
     columns = ["key", "cell_a", "cell_b", "part", "class_id", "group", "sketch"]

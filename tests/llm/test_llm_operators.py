@@ -332,6 +332,15 @@ def test_pruning_keeps_pairs_at_the_threshold():
         assert low <= len(i) / 4000 <= high
 
 
+def test_buckets_of_many_members(spark):
+    n = 1_000_000
+    ids = spark.range(n).select(F.explode(F.array(*[F.lit(k) for k in (3, 1, 2)])).alias("key"), F.col("id").alias("class_id"))
+    ids = ids.withColumn("class_id", F.when((F.col("key") == 2) & (F.col("class_id") == 9), n).otherwise(F.col("class_id")))
+    few = spark.createDataFrame([(4, 5), (4, 5), (4, 7), (5, 8), (5, 8), (5, 7), (6, 1), (7, 1)], "key long, class_id long")
+    found = jaccard._buckets(ids.unionByName(few).withColumn("group", F.col("class_id")))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, n), (2, n), (4, 3), (5, 3)]
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 380)] + [(5, 5), (None, 3)]
