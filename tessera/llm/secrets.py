@@ -38,6 +38,11 @@ ENCODINGS = (
 ALPHA = 0.01
 #: Chance that two neighbouring characters of ordinary text (names, slugs, numbered words) differ in class.
 CHANGE = 0.15
+#: How often letters come in ordinary text, in thousandths of a percent of all letters (English; others are near).
+LETTERS = dict(zip(LOWER, (8167, 1492, 2782, 4253, 12702, 2228, 2015, 6094, 6966, 153, 772, 4025, 2406, 6749, 7507, 1929, 95, 5987, 6327, 9056, 2758, 978, 2360, 150, 1974, 74), strict=True))
+#: Decimal logarithm of a character's share in its class in ordinary text.
+ORDINARY = {c: math.log10(n / sum(LETTERS.values())) for c, n in LETTERS.items()} | {c: -1.0 for c in DIGITS} | {c: -math.log10(4) for c in "+/-_"}
+ORDINARY |= {c.upper(): ORDINARY[c] for c in LOWER}
 #: False-discovery rate among the tokens reported as random.
 FDR = 0.01
 #: Evidence is kept in tenths of a decade, up to this many.
@@ -91,17 +96,17 @@ def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def evidence(core: str) -> int:
-    """Tenths of decades of evidence against ordinary text: minus the logarithm of a bound on the chance of as many
-    changes between character classes in ordinary text of this length. The bound falls with length, so short tokens
-    need a far more even mix than long ones, and no length is favoured."""
-    m = len(core) - 1
-    changes = sum(_class(a) != _class(b) for a, b in zip(core, core[1:], strict=False))
-    rate = changes / m
-    if rate <= CHANGE:
-        return 0
-    bound = rate * math.log(rate / CHANGE) + ((1 - rate) * math.log((1 - rate) / (1 - CHANGE)) if rate < 1 else 0.0)
-    return min(BINS, int(10 * m * bound / math.log(10)))
+def evidence(core: str, alphabet: str, p: float) -> int:
+    """Tenths of decades of evidence against ordinary text: the likelihood ratio of uniform characters of the encoding
+    to ordinary text, lowered by the battery's p-value and by the number of encodings, of which the fitting one is
+    picked. Ordinary text keeps its class of characters but for CHANGE and draws letters as usual texts do. Under it, a
+    ratio of r or more has a probability of 1 / r at most, at every length and for every encoding."""
+    kinds = [_class(c) for c in core]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    text = -math.log10(4) + changes * math.log10(CHANGE / 3) + (len(core) - 1 - changes) * math.log10(1 - CHANGE)
+    text += sum(ORDINARY[c] for c in core)
+    ratio = -len(core) * math.log10(len(alphabet)) - text + math.log10(max(p, 1e-300)) - math.log10(len(ENCODINGS))
+    return max(0, min(BINS, int(10 * ratio)))
 
 
 @lru_cache(1 << 14)
@@ -113,7 +118,8 @@ def judge(token: str) -> tuple[str, float, int] | None:
     letters = set(core)
     for name, alphabet in ENCODINGS:
         if letters <= set(alphabet):
-            return name, randomness(core, alphabet), evidence(core)
+            p = randomness(core, alphabet)
+            return name, p, evidence(core, alphabet, p)
     return None
 
 

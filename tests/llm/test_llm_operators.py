@@ -116,6 +116,17 @@ def test_random_tokens_are_found_and_ordinary_ones_are_not(spark):
     assert not [k for k in found if k >= 30]
 
 
+@pytest.mark.parametrize("length, least", [(16, 0.6), (20, 0.8), (24, 0.9), (32, 0.95), (48, 0.95), (64, 0.95)])
+def test_every_encoding_gives_evidence(length, least):
+    r = random.Random(length)
+    plain = ["https/example/path/to/some/page2024/article", "internationalization2", "2024-05-06-the-quick-brown-fox", "ordinarylowercasewordsjoined1", "ORDINARY_UPPER_CASE_WORDS_2", "order-number-20240506123456"]
+    assert max(secrets.judge(t)[2] for t in plain) < 20
+    for name, alphabet in secrets.ENCODINGS:
+        tokens = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(400)]
+        found = [f for t in tokens if (f := secrets.judge(t)) is not None]
+        assert np.mean([score >= 30 for _, _, score in found]) >= least, (name, len(alphabet), length)
+
+
 def test_battery_is_calibrated_on_random_strings():
     r = random.Random(2)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(800)]
