@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import give_back, text_slices
@@ -16,8 +17,10 @@ from tessera.llm.common import give_back, text_slices
 PLACES = 1 << 14
 ORDERS = (1, 2, 3)
 FEATURES = PLACES * len(ORDERS)
-#: Learned from at most so many labelled documents, those with the least hash of the id.
+#: Learned from at most so many labelled documents, an equal share for each language, those with the least hash of the id.
 SAMPLE = 20_000
+#: A language's share is this at least, however many languages there are.
+LEAST_SHARE = 100
 #: The sampled texts are summed in so many tasks.
 SPREAD = 16
 #: A learned code is searched for among so many seeded draws.
@@ -118,12 +121,25 @@ class Model:
 SHARPNESS = 12.0
 
 
+def _sample(docs: DataFrame, most: int) -> DataFrame:
+    """The ids of a language's rows with the least hashes, as many for each language.
+
+    Rows are first cut to the ranges of hashes that hold them, by counts of 256 ranges a language, so that what is
+    ranked is a small part of a large language."""
+    rows = docs.select("doc_id", "lang").withColumn("_hash", F.xxhash64("doc_id", F.lit(11))).withColumn("_range", F.shiftright("_hash", 56))
+    counts = rows.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    share = max(most // max(1, counts.select("lang").distinct().count()), LEAST_SHARE)
+    before = F.sum("_n").over(W.partitionBy("lang").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    needed = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < share).select("lang", "_range")
+    ranked = rows.join(F.broadcast(needed), ["lang", "_range"]).withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("_hash", "doc_id")))
+    return ranked.filter(F.col("_at") <= share).select("doc_id")
+
+
 def language_profiles(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, how many documents each has, mean gram shares of each) from (doc_id, text, lang) rows with a
-    language. At most `most` rows are used. A language's profile weighs every document alike, so that a few very long
+    language. At most `most` rows are used, or LEAST_SHARE a language if that is more. A language's profile weighs every document alike, so that a few very long
     ones do not rule it; what reaches the driver is one row of FEATURES numbers a language and partition."""
-    sample = docs.select("doc_id", "lang").withColumn("_hash", F.xxhash64("doc_id", F.lit(11))).orderBy("_hash", "lang").limit(most)
-    picked = F.broadcast(sample.select("doc_id").distinct())  # at most `most` ids
+    picked = F.broadcast(_sample(docs, most).distinct())
 
     def add(batches):
         sums: dict[str, np.ndarray] = {}

@@ -278,6 +278,13 @@ def test_languages_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (600, 601, 602)} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, "kato miru", "aa") for k in range(3000)] + [(3000 + k, "schei tzung", "bb") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, n, _ = langid.language_profiles(frame, 200)
+    assert languages == ["aa", "bb"] and n.tolist() == [100, 3]
+
+
 def test_codes_correct_errors():
     for n in (2, 3, 4, 5, 9, 40):
         c = langid.code(n).astype(int)
