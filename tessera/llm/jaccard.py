@@ -18,6 +18,8 @@ THRESHOLD = 0.8
 #: 32 bands of 4 MinHash values: a pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: Thresholds at which a pair shares no band with a probability above this are refused.
+MISS = 1e-6
 #: Bands of the first round; pairs it has joined are not looked for in the others.
 FIRST = 4
 #: A pair is dropped once the posterior probability of reaching the threshold is below this.
@@ -255,7 +257,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     says whether that is the row itself.
 
     Texts of one to four words are one shingle. Null and empty texts, and rows without an id, link with nothing. Rows
-    that share an id count as that many documents and fare alike if their texts do. An empty table gives no rows."""
+    that share an id count as that many documents and fare alike if their texts do. An empty table gives no rows. A
+    threshold that the bands cannot serve is refused."""
+    if not 0 < threshold <= 1 or (1 - threshold**ROWS) ** BANDS > MISS:
+        raise ValueError(f"at a threshold of {threshold} the bands miss more than {MISS} of the pairs" if 0 < threshold <= 1 else f"{threshold} is no threshold")
     spark = docs.sparkSession
     signed = materialise(signatures(docs), "signatures")
     sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -337,6 +337,12 @@ def test_jaccard_links_and_groups_equal_brute_force(spark, rows, clashing, monke
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == groups
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.6, 0.7, 1.1])
+def test_thresholds_that_the_bands_miss_are_refused(empty, threshold):
+    with pytest.raises(ValueError):
+        jaccard.near_duplicates(empty, threshold)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = jaccard.least_matches()
     assert (np.diff(need) >= 0).all() and need[0] <= 8 and need[-1] > 60
