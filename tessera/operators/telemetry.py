@@ -43,12 +43,10 @@ def normalize_events(events: DataFrame) -> DataFrame:
 
 def stats_input(events: DataFrame, accepted: int = NEWEST_ACCEPTED, reviewable: int = NEWEST_REVIEWABLE) -> DataFrame:
     """What statistics are computed on: the newest accepted events and the newest reviewable ones, each to its cap, once
-    an id. Events of other outcomes are left out. The caps are the feature; the ranking runs in two ordered windows."""
-    kind = F.when(F.col("outcome") == "accepted", "accepted").when(F.col("outcome").isin(*OUTCOMES[1:]), "reviewable")
-    newest = F.row_number().over(W.partitionBy("_kind").orderBy(F.col("ts").desc(), F.col("id")))
-    capped = events.withColumn("_kind", kind).filter("_kind IS NOT NULL").withColumn("_at", newest)
-    kept = capped.filter(F.col("_at") <= F.when(F.col("_kind") == "accepted", accepted).otherwise(reviewable))
-    return kept.drop("_kind", "_at").dropDuplicates(["id"])
+    an id. Events of other outcomes are left out. The caps are the feature; each kind is ranked on its
+    own, the tasks keeping no more than the cap."""
+    newest = lambda kept, cap: events.filter(kept).orderBy(F.col("ts").desc(), F.col("id")).limit(cap)
+    return newest(F.col("outcome") == "accepted", accepted).unionByName(newest(F.col("outcome").isin(*OUTCOMES[1:]), reviewable)).dropDuplicates(["id"])
 
 
 def trim(events: DataFrame, most: int, ts: str = "ts", key: str = "id") -> DataFrame:

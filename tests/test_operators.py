@@ -350,3 +350,14 @@ def test_picks(spark):
     cover = spark.createDataFrame([(1, "6-9", 3), (2, "6-9", 1), (1, "15+", 0)], "category int, age string, count int")
     assert picks.sparse_cell(cover, 1).first()["age"] == "15+" and picks.sparse_cell(cover, 1, "15+", balance=True).first()["category"] == 2
     assert spark.range(1).select(picks.least_used_position(F.array(*[F.lit(x) for x in (0, 1, 3, 0)]), 4, F.lit(7))).first()[0] == 2
+
+
+def test_stats_input_is_a_top_k_of_each_kind(spark):
+    from tessera.operators import telemetry
+
+    rows = [(f"{k:03}", k // 3, ["accepted", "rejected", "parse_error", "other", None][k % 5]) for k in range(200)]
+    got = telemetry.stats_input(spark.createDataFrame(rows, "id string, ts long, outcome string"), 7, 9)
+    newest = lambda kinds, cap: sorted((r for r in rows if r[2] in kinds), key=lambda r: (-r[1], r[0]))[:cap]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(newest(["accepted"], 7) + newest(["rejected", "parse_error", "api_error"], 9))
+    plan = got._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
