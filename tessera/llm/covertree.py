@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
-from tessera.llm.components import connected_components, local_labels
+from tessera.llm.components import local_labels, named_components
 
 #: The upper levels are built over at most so many vectors, those with the least hash; every vector is then placed.
 SAMPLE = 2048
@@ -188,12 +188,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     Equal vectors are one class and are compared once, with their number as weight. Classes are placed in the leaves of
     a cover tree over a bounded sample; leaves are cut into units, and each pair of units that the dual traversal
-    cannot rule out is one small task. Null, zero and non-finite vectors link with nothing, nor do vectors of different
-    lengths; an empty table gives no rows; rows of one id are one class member each."""
+    cannot rule out is one small task. Null, zero and non-finite vectors and rows without an id link with nothing, nor
+    do vectors of different lengths; such rows are kept. Rows that share an id are vectors of their own, each with the
+    links of its own. Other columns are not looked at; an empty table gives no rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = usable(F.col("v")) & F.col("id").isNotNull()
-    classes = materialise(rows.filter(sound).groupBy("v").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")), "vector-classes")
+    # classes have numbers of their own, since several may have the same least id; they are settled once written
+    equal = rows.filter(sound).groupBy("v").agg(F.min("id").cast("long").alias("least_id"), F.count(F.lit(1)).alias("size"))
+    classes = materialise(equal.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     lengths = [r["n"] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
     found = None
     for n in lengths:  # one, unless vectors of several lengths are mixed
@@ -205,12 +208,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     else:
         found = materialise(found, "vector-links")
         links = found.groupBy("class_id").agg(F.sum("links").cast("long").alias("others"))
-        parts = connected_components(found.select(F.col("class_id").alias("a"), F.col("label").alias("b")))
-        links = links.join(parts.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
-    by_class = classes.join(links, "class_id", "left").select(F.col("v").alias("w"), "class_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+        parts = named_components(found.select(F.col("class_id").alias("a"), F.col("label").alias("b")), classes.select(F.col("class_id").alias("node"), F.col("least_id").alias("name")))
+        links = links.join(parts.select(F.col("node").alias("class_id"), F.col("name").alias("component_id")), "class_id", "left")
+    by_class = classes.join(links, "class_id", "left").select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
     out = rows.join(by_class, sound & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _links(classes: DataFrame, n: int, threshold: float, stored: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import give_back, in_cells, materialise, mix, ngram_hashes, pairs_in_runs, partitions, release, runs, text_slices, word_hashes
-from tessera.llm.components import connected_components, local_labels
+from tessera.llm.components import connected_components, join_named, local_labels, named_components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -25,8 +25,9 @@ FIRST = 4
 #: A pair is dropped once the posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-9
 STEP = 16
-#: Rows of a cell's part; larger buckets and components are cut into cells.
-CELL = 256
+#: Rows of a cell's part in which pairs are looked for, and in which they are verified; larger buckets and containers
+#: are cut into cells.
+CELL, VERIFIED = 256, 1024
 
 _RANDOM = np.random.default_rng(41)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -103,9 +104,14 @@ def prune(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float,
     return i, j
 
 
+def _text_key() -> list:
+    """Two hashes of a text, which tell the rows of one id apart."""
+    return [F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_key, n, sketch, keys) of (doc_id, text): a digest of the shingle set, its size, MinHash values cut
-    to a byte each, and the keys of the bands."""
+    """(doc_id, text_a, text_b, set_key, n, sketch, keys) of (doc_id, text): two hashes of the text, a digest of the
+    shingle set, its size, MinHash values cut to a byte each, and the keys of the bands."""
 
     def sign(batches):
         for batch in batches:
@@ -118,11 +124,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands.append(_band_keys(values))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], names=["doc_id", "set_key", "n", "sketch", "keys"])
-            del batch, bands, flat, lists
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
+            yield pa.record_batch(columns, names=["doc_id", "text_a", "text_b", "set_key", "n", "sketch", "keys"])
+            del batch, bands, flat, lists, columns
             give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_key binary, n bigint, sketch binary, keys array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", *_text_key()).mapInArrow(sign, f"doc_id {kind}, text_a bigint, text_b bigint, set_key binary, n bigint, sketch binary, keys array<bigint>")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -202,69 +210,100 @@ def _star(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of some sets, from blocks of their incidence matrix."""
     k = len(sets)
-    out = np.zeros((k, k), np.int64)
+    out = np.zeros((k, k), np.int32)
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(k), [len(s) for s in sets])
     shared = np.bincount(at, minlength=len(values)) > 1
     place = np.cumsum(shared) - 1
     keep = shared[at]
     column, owner = place[at[keep]], owner[keep]
-    for a in range(0, int(shared.sum()), 8192):
-        here = (column >= a) & (column < a + 8192)
-        block = np.zeros((k, min(8192, int(shared.sum()) - a)), np.float32)
+    wide = 4096
+    for a in range(0, int(shared.sum()), wide):
+        here = (column >= a) & (column < a + wide)
+        block = np.zeros((k, min(wide, int(shared.sum()) - a)), np.float32)
         block[owner[here], column[here] - a] = 1
-        out += (block @ block.T).astype(np.int64)
+        out += (block @ block.T).astype(np.int32)
     return out
 
 
-def _verified(rows: pa.Table, begins: np.ndarray, threshold: float) -> pa.RecordBatch:
-    """(class_id, links, label): exact links within each cell, weighted by the sizes of the classes."""
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some pairs of sets: one by one if they are few, else all at once."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    return _intersections(sets)[i, j].astype(np.int64)
+
+
+def _survivors(sketches: np.ndarray, part: np.ndarray | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell that are not pruned; with `part`, those of rows of different parts."""
+    k, found = len(sketches), []
+    step = max(1, (1 << 18) // k)
+    for a in range(0, k, step):
+        i = np.repeat(np.arange(a, min(a + step, k)), k)
+        j = np.tile(np.arange(k), min(a + step, k) - a)
+        on = i < j if part is None else (i < j) & (part[i] != part[j])
+        found.append(prune(sketches, i[on], j[on], threshold, tolerance))
+    return tuple(np.concatenate([f[side] for f in found]) for side in (0, 1))
+
+
+def _verified(rows: pa.Table, begins: np.ndarray, threshold: float, tolerance: float) -> pa.RecordBatch:
+    """(class_id, links, label): the links within each cell, weighted by the sizes of the classes. Pairs are compared
+    by their MinHash values first; those that are not pruned are verified on the sets."""
     ids, part, size = (rows.column(c).to_numpy() for c in ("class_id", "part", "size"))
     own = rows.column("cell_a").to_numpy() == rows.column("cell_b").to_numpy()
-    blobs = rows.column("shingles")
-    out: list[tuple] = []
+    blobs, values = rows.column("shingles"), rows.column("sketch")
+    out: list[pa.RecordBatch] = []
+    names = ["class_id", "links", "label"]
     for a, b in zip(begins[:-1], begins[1:], strict=True):
-        _, first = np.unique(ids[a:b], return_index=True)  # repeated rows of one document count once
+        _, first = np.unique(ids[a:b], return_index=True)  # repeated rows of one class count once
         at = first + a
         if len(at) < 2:
             continue
+        sketches = np.frombuffer(b"".join(values[int(k)].as_py() for k in at), np.uint8).reshape(-1, HASHES)
+        i, j = _survivors(sketches, None if own[a] else part[at], threshold, tolerance)
+        used, places = np.unique(np.concatenate([i, j]), return_inverse=True)
+        if not len(used):
+            continue
+        at, i, j = at[used], places[: len(i)], places[len(i) :]
         sets = [np.frombuffer(blobs[int(k)].as_py(), np.uint64) for k in at]
         n = np.array([len(s) for s in sets])
-        if len(at) == 2:
-            common = np.diag(n)
-            common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-        else:
-            common = _intersections(sets)
-        linked = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
-        linked &= own[a] | (part[at][:, None] != part[at][None, :])
-        np.fill_diagonal(linked, False)
-        i, j = np.nonzero(linked)
+        common = _common(sets, i, j)
+        linked = common >= threshold * (n[i] + n[j] - common) - 1e-9
+        i, j = i[linked], j[linked]
         if len(i):
             label = local_labels(len(at), i, j)
-            links = linked @ size[at]
-            out += [(int(ids[at[k]]), int(links[k]), int(ids[at[label[k]]])) for k in np.unique(i)]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["class_id", "links", "label"])
+            links = np.bincount(i, size[at[j]], len(at)) + np.bincount(j, size[at[i]], len(at))
+            some = np.unique(np.concatenate([i, j]))
+            out.append(pa.record_batch([pa.array(x, pa.int64()) for x in (ids[at[some]], links[some].astype(np.int64), ids[at[label[some]]])], names=names))
+    empty = pa.record_batch([pa.array([], pa.int64())] * 3, names=names)
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else empty
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links, group_id, kept) of every row of (doc_id, text).
 
-    Documents with one set of five-word shingles are a class, named by its least doc_id. Classes that share a MinHash
+    Documents with one set of five-word shingles are a class; class_id is its least doc_id. Classes that share a MinHash
     band are compared value by value and dropped when it becomes improbable that they reach the threshold; what is
-    left joins classes into containers, in which every pair is verified on the shingle sets. n_links counts the other
-    documents at or above the threshold, copies included; group_id is the least doc_id reachable by links, and kept
-    says whether that is the row itself.
+    left joins classes into containers, whose pairs are compared in the same way and, unless dropped, verified on the
+    shingle sets. n_links counts the other documents at or above the threshold, copies included; group_id is the least
+    doc_id reachable by links, and kept says whether that is the row's own.
 
     Texts of one to four words are one shingle. Null and empty texts, and rows without an id, link with nothing. Rows
-    that share an id count as that many documents and fare alike if their texts do. An empty table gives no rows. A
-    threshold that the bands cannot serve is refused."""
+    that share an id count as that many documents: each has the class, links and group of its own text, whatever the
+    others hold. Other columns are not looked at. An empty table gives no rows. A threshold that the bands cannot serve
+    is refused."""
+    return _linked(docs, threshold, tolerance).select("doc_id", "class_id", "n_links", "group_id", "kept")
+
+
+def _linked(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """What `near_duplicates` returns, with the hashes of the text."""
     if not 0 < threshold <= 1 or (1 - threshold**ROWS) ** BANDS > MISS:
         raise ValueError(f"at a threshold of {threshold} the bands miss more than {MISS} of the pairs" if 0 < threshold <= 1 else f"{threshold} is no threshold")
     spark = docs.sparkSession
     signed = materialise(signatures(docs), "signatures")
     sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = materialise(signed.filter(sound).groupBy("set_key").agg(F.min("doc_id").cast("long").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    # classes have numbers of their own, since several may have the same least id; they are settled once written
+    sets = signed.filter(sound).groupBy("set_key").agg(F.min("doc_id").cast("long").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    classes = materialise(sets.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     release(spark)
 
     edges = materialise(_candidates(classes, 0, FIRST, None, threshold, tolerance), "candidates")
@@ -274,39 +313,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     containers = connected_components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("container"))
     release(spark)
 
-    members = containers.join(containers.groupBy("container").agg(F.count(F.lit(1)).alias("members")), "container").join(classes.select("class_id", "set_key", "size"), "class_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(materialise(members, "members").hint("merge"), "class_id")
+    sizes = containers.groupBy("container").agg(F.count(F.lit(1)).alias("members"), F.count(F.lit(1)).alias("held"))
+    members = join_named(containers, sizes, "container", "held", containers.count()).join(classes.select("class_id", "least_id", "set_key", "size", "sketch"), "class_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least_id"), "text").join(materialise(members, "members").hint("merge"), "least_id")
+    carried = ["container", "members", "class_id", "size", "sketch"]
 
     def expand(batches):
         for batch in batches:
             found = list(text_shingles(batch.column("text")))
             keep = [k for k, (s, key) in enumerate(zip(found, batch.column("set_key").to_pylist(), strict=True)) if digest(s) == key]
-            kept = batch.select(["container", "members", "class_id", "size"]).take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*kept.columns, pa.array([found[k].tobytes() for k in keep], pa.binary())], names=[*kept.schema.names, "shingles"])
+            kept = batch.select(carried).take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([*kept.columns, pa.array([found[k].tobytes() for k in keep], pa.binary())], names=[*carried, "shingles"])
 
-    sets = texts.mapInArrow(expand, "container bigint, members bigint, class_id bigint, size bigint, shingles binary")
-    cells = in_cells(sets, F.col("members"), F.col("class_id"), CELL).select("container", "cell_a", "cell_b", "part", "class_id", "size", "shingles")
+    filled = texts.mapInArrow(expand, "container bigint, members bigint, class_id bigint, size bigint, sketch binary, shingles binary")
+    cells = in_cells(filled, F.col("members"), F.col("class_id"), VERIFIED).select("container", "cell_a", "cell_b", "part", "class_id", "size", "sketch", "shingles")
     cells = cells.repartition(partitions(spark), "container", "cell_a", "cell_b").sortWithinPartitions("container", "cell_a", "cell_b")
 
     def verify(batches):
         for table, begins in runs(batches, 3):
-            yield _verified(table, begins, threshold)
+            yield _verified(table, begins, threshold, tolerance)
             del table
             give_back()
 
     found = materialise(cells.mapInArrow(verify, "class_id bigint, links bigint, label bigint"), "links")
     release(spark)
     links = found.groupBy("class_id").agg(F.sum("links").alias("others"))
-    final = connected_components(found.select(F.col("class_id").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    by_class = classes.select("set_key", "class_id", "size").join(links, "class_id", "left").join(final, "class_id", "left")
-    by_class = by_class.select("set_key", "class_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    final = named_components(found.select(F.col("class_id").alias("a"), F.col("label").alias("b")), classes.select(F.col("class_id").alias("node"), F.col("least_id").alias("name")))
+    by_class = classes.select("set_key", "class_id", "least_id", "size").join(links, "class_id", "left").join(final.select(F.col("node").alias("class_id"), F.col("name").alias("group_id")), "class_id", "left")
+    by_class = by_class.select("set_key", "least_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("group_id", "least_id").alias("group_id"))
     key = F.when(sound, F.col("set_key"))
-    out = signed.select("doc_id", key.alias("set_key")).join(by_class, "set_key", "left")
+    out = signed.select("doc_id", "text_a", "text_b", key.alias("set_key")).join(by_class, "set_key", "left")
     group = F.coalesce("group_id", "doc_id")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_a", "text_b", F.coalesce("least_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents of which another one of the same group, with a smaller id, stays."""
-    gone = near_duplicates(docs.select("doc_id", "text"), threshold).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialise(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs, with all their columns, without the rows of which a near-duplicate with a smaller id is there: of each group
+    the rows with its least id stay. Of rows that share an id, each goes or stays by its own text; rows without an id
+    or without words stay. An empty table stays empty."""
+    gone = _linked(docs.select("doc_id", "text"), threshold, tolerance).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_a").alias("gone_a"), F.col("text_b").alias("gone_b")).distinct()
+    gone = materialise(gone, "duplicates")
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_a"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["gone_b"])
+    return docs.join(gone, same, "left_anti")

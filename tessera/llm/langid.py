@@ -191,8 +191,9 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `lang_pred`, `score` (0 to 1) and `ambiguous`, from the text alone.
 
-    Null texts and texts without a letter are `und` with score 0. Equal texts fare alike; earlier columns of these
-    names are replaced. The model's size is fixed by its parameters and the number of languages; it is broadcast."""
+    Null and empty texts and texts without a letter are `und` with score 0, and so is every text where no language was
+    learned. Texts are read whole. Equal texts and repeated rows fare alike; of equally near languages the first in
+    code-point order wins; an empty table stays empty. Earlier columns of these names are replaced, all others stay. The model's size is fixed by its parameters and the number of languages; it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
@@ -204,8 +205,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["lang", "score", "ambiguous"])
 
-    found = docs.withColumn("_guess", guess(F.col("text")))
-    return found.withColumns({"lang_pred": F.col("_guess")["lang"], "score": F.col("_guess")["score"], "ambiguous": F.col("_guess")["ambiguous"]}).drop("_guess")
+    added = ("lang_pred", "score", "ambiguous")
+    kept = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
+    found = docs.select(kept.alias("row"), guess(docs["text"]).alias("guess"))
+    return found.select("row.*", *[F.col("guess")[kind].alias(c) for c, kind in zip(added, ("lang", "score", "ambiguous"), strict=True)])
 
 
 def held_out(doc_id: Column) -> Column:

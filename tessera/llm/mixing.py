@@ -52,22 +52,24 @@ def seeded_uniform(key: Column, seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with _size, _source_size, _target, _rate and _copies.
+    """(row, size, source_size, target, rate, copies) of every row of docs, of which `row` holds all columns, whatever
+    their names.
 
     A source's repetition rate is target / size; a document is taken floor(rate) times and once more with the
     remaining fraction as probability, decided by a hash of its id and the seed. Null text has size 0; a null source
     is a source of its own; a source without words has rate 0; equal ids are decided alike; an empty table stays empty."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = materialise(source_targets(sized.select("source", F.col("_size").alias("size")), weights, share, most), "mix-targets")
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("size"))
+    targets = materialise(source_targets(sized.select(F.col("row.source").alias("source"), "size"), weights, share, most), "mix-targets")
+    targets = targets.select("source", "source_size", "target")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    extra = (seeded_uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rate", rate).withColumn("_copies", F.floor("_rate").cast("int") + extra)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    extra = (seeded_uniform(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
+    found = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
+    return found.withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("int") + extra)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as `plan_mix` takes it, with the columns it came with."""
-    planned = plan_mix(docs, **options).filter("_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    planned = plan_mix(docs, **options).filter("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -202,11 +202,14 @@ def base_failed(stats: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """docs with `_stats`, `_base_failed`, `_rule` (the rule that rejects, or null) and `_kept`.
+    """(row, stats, base_failed, rule, kept) of every row of docs, of which `row` holds all columns, whatever their
+    names; `rule` is the learned rule that rejects it, or null.
 
-    Every row is judged by its own text: null and empty texts fail the base rule, repeated rows fare alike, and without
-    usable labels only the base rule holds. Columns of docs with these names are replaced."""
+    Every row is judged by its own whole text: null and empty texts fail the base rule, equal texts and repeated rows
+    fare alike, and without usable labels only the base rule holds. An empty table gives no rows. Labels without an id
+    or a value teach nothing; ids with several labels teach each of them."""
     rules = learn_rules(docs, labels, most)
-    found = docs.withColumn("_stats", statistics(F.col("text")))
-    found = found.withColumn("_base_failed", base_failed(F.col("_stats"))).withColumn("_rule", verdict(F.col("_stats"), rules))
-    return found.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull())
+    found = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), statistics(docs["text"]).alias("stats"))
+    stats = F.col("stats")
+    found = found.select("row", "stats", base_failed(stats).alias("base_failed"), verdict(stats, rules).alias("rule"))
+    return found.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

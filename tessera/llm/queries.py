@@ -54,11 +54,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan_mix(docs)
-    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return planned.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.shard(docs.select("doc_id", sharding.size(docs["text"]).alias("size"), sharding.checksum(docs["text"]).alias("text_crc32")), "doc_id", "text_crc32", "size")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
 
 
@@ -68,7 +69,7 @@ def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *[F.col("_stats")[c].alias(c) for c in quality.COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    return found.select("row.doc_id", *[F.col("stats")[c].alias(c) for c in quality.COUNTS], "base_failed", "kept", "rule")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, strings
+from tessera.llm.common import give_back, strings, text_slices
 
 # The kinds of secrets with a fixed shape, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex")
@@ -38,11 +39,14 @@ ENCODINGS = (
 ALPHA = 0.01
 #: Chance that two neighbouring characters of ordinary text (names, slugs, numbered words) differ in class.
 CHANGE = 0.15
-#: How often letters come in ordinary text, in thousandths of a percent of all letters (English; others are near).
+#: What is known of ordinary text before any is read: how often letters come, in thousandths of a percent of all letters
+#: (English; others are near), counted as so many letters.
 LETTERS = dict(zip(LOWER, (8167, 1492, 2782, 4253, 12702, 2228, 2015, 6094, 6966, 153, 772, 4025, 2406, 6749, 7507, 1929, 95, 5987, 6327, 9056, 2758, 978, 2360, 150, 1974, 74), strict=True))
-#: Decimal logarithm of a character's share in its class in ordinary text.
-ORDINARY = {c: math.log10(n / sum(LETTERS.values())) for c, n in LETTERS.items()} | {c: -1.0 for c in DIGITS} | {c: -math.log10(4) for c in "+/-_"}
-ORDINARY |= {c.upper(): ORDINARY[c] for c in LOWER}
+PRIOR_LETTERS = 2000
+#: Letters of ordinary text are drawn evenly with this chance, so that a rare pair of letters alone shows little.
+EVEN = 0.1
+#: Decimal logarithm of a character's share in its class, letters apart.
+SHARES = dict.fromkeys(DIGITS, -1.0) | dict.fromkeys("+/-_", -math.log10(4))
 #: False-discovery rate among the tokens reported as random.
 FDR = 0.01
 #: Evidence is kept in tenths of a decade, up to this many.
@@ -96,31 +100,99 @@ def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def evidence(core: str, alphabet: str, p: float) -> int:
-    """Tenths of decades of evidence against ordinary text: the likelihood ratio of uniform characters of the encoding
-    to ordinary text, lowered by the battery's p-value and by the number of encodings, of which the fitting one is
-    picked. Ordinary text keeps its class of characters but for CHANGE and draws letters as usual texts do. Under it, a
-    ratio of r or more has a probability of 1 / r at most, at every length and for every encoding."""
-    kinds = [_class(c) for c in core]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    text = -math.log10(4) + changes * math.log10(CHANGE / 3) + (len(core) - 1 - changes) * math.log10(1 - CHANGE)
-    text += sum(ORDINARY[c] for c in core)
-    ratio = -len(core) * math.log10(len(alphabet)) - text + math.log10(max(p, 1e-300)) - math.log10(len(ENCODINGS))
-    return max(0, min(BINS, int(10 * ratio)))
-
-
-@lru_cache(1 << 14)
-def judge(token: str) -> tuple[str, float, int] | None:
-    """(encoding, p-value of randomness, evidence against text) of a candidate, or None if it has not both digits and letters."""
-    core = token.rstrip("=")
-    if not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
-        return None
-    letters = set(core)
-    for name, alphabet in ENCODINGS:
-        if letters <= set(alphabet):
-            p = randomness(core, alphabet)
-            return name, p, evidence(core, alphabet, p)
-    return None
+@dataclass
+class Text:
+    """Ordinary text as a null hypothesis: a character's class stays but for CHANGE, and letters follow each other as
+    they do in the corpus. Logarithms are decimal."""
+
+    letter: np.ndarray  # of each letter's share
+    pair: np.ndarray  # of how much more often a letter comes after another than its share says
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Text:
+        """From 27 x 26 counts of a letter (a to z) after a letter or, in the last row, after anything else."""
+        prior = np.array([LETTERS[c] for c in LOWER], float)
+        prior /= prior.sum()
+        total = counts.sum(0) + PRIOR_LETTERS * prior
+        share = (1 - EVEN) * total / total.sum() + EVEN / 26
+        after = counts[:26] + PRIOR_LETTERS * prior
+        after = (1 - EVEN) * after / after.sum(1, keepdims=True) + EVEN / 26
+        return Text(np.log10(share), np.log10(after / share))
+
+    def uniformity(self, core: str, k: int) -> float:
+        """Evidence of the composition: the logarithm of the ratio of even shares in the encoding to ordinary ones."""
+        ordinary = sum(SHARES.get(c, 0.0) if not c.isalpha() else float(self.letter[ord(c.lower()) - 97]) for c in core)
+        return len(core) * (math.log10(4) - math.log10(k)) - ordinary
+
+    def runs(self, core: str) -> float:
+        """Evidence of the runs of classes: that of classes which do not heed each other against ones that stay."""
+        kinds = [_class(c) for c in core]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+        stays = len(core) - 1 - changes
+        return -changes * math.log10(4 * CHANGE / 3) - stays * math.log10(4 * (1 - CHANGE))
+
+    def serial(self, core: str) -> float:
+        """Evidence of the pairs of neighbouring letters: that of letters which do not heed each other."""
+        x = [ord(c.lower()) - 97 if c.isalpha() else -1 for c in core]
+        return -sum(float(self.pair[a, b]) for a, b in zip(x, x[1:], strict=False) if a >= 0 and b >= 0)
+
+    def evidence(self, core: str, alphabet: str, p: float) -> int:
+        """Tenths of decades of evidence against ordinary text, from the battery alone: the evidence of its three
+        statistics, whose sum is the likelihood ratio of even characters of the encoding to ordinary text, lowered by
+        the p-value of evenness and by the number of encodings, of which the fitting one is picked.
+
+        Under ordinary text a ratio of r or more has a probability of 1 / r at most, at every length and for every
+        encoding, and whatever the other tokens are; so 1 / ratio serves as a p-value."""
+        ratio = self.uniformity(core, len(alphabet)) + self.runs(core) + self.serial(core)
+        return max(0, min(BINS, int(10 * (ratio + math.log10(max(p, 1e-300)) - math.log10(len(ENCODINGS))))))
+
+
+class Judge(dict):
+    """(encoding, p-value of evenness, evidence against text) of candidates, each judged once; None for mere numbers."""
+
+    def __init__(self, text: Text):
+        super().__init__()
+        self.text = text
+
+    def __missing__(self, token: str) -> tuple[str, float, int] | None:
+        core = token.rstrip("=")
+        letters, found = set(core), None
+        if any(c.isalpha() for c in letters):
+            for name, alphabet in ENCODINGS:
+                if letters <= set(alphabet):
+                    p = randomness(core, alphabet)
+                    found = f"random-{name}", p, self.text.evidence(core, alphabet, p)
+                    break
+        if len(self) < 1 << 14:
+            self[token] = found
+        return found
+
+
+_FOLD = np.full(256, 26, np.uint16)
+_FOLD[97:123] = _FOLD[65:91] = np.arange(26)
+
+
+def ordinary_text(docs: DataFrame) -> Text:
+    """The null hypothesis from all texts of (text): how often letters follow each other, a table of 27 x 26 counts."""
+
+    def count(batches):
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            whole = batch.column(0).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+            for _, part in text_slices(whole):
+                for t in part:
+                    x = _FOLD[np.frombuffer(t.as_buffer(), np.uint8)] if len(t.as_buffer()) else np.zeros(0, np.uint16)
+                    total += np.bincount(np.concatenate([[26], x[:-1]]).astype(np.int32) * 27 + x if len(x) else [], minlength=27 * 27).astype(np.int64)
+            del batch, whole
+            give_back()
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["place", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()  # 729 rows at most
+    counts = np.zeros(27 * 27)
+    for r in rows:
+        counts[r["place"]] = r["n"]
+    return Text.of(counts.reshape(27, 27)[:, :26])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -130,59 +202,71 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, float, int]]:
+def candidates(text: str, base: list[tuple[int, int, int, str]], judge: Judge) -> list[tuple[int, int, str, float, int]]:
     """(start, end, encoding, p-value, evidence) of the tokens that no base span touches."""
     out = []
     ends = max((b[2] for b in base), default=0)
     for m in CANDIDATE.finditer(text):
         if m.start() < ends and any(b[0] < m.end() and m.start() < b[2] for b in base):
             continue
-        if (found := judge(m.group())) is not None:
+        if (found := judge[m.group()]) is not None:
             out.append((m.start(), m.end(), *found))
     return out
 
 
-def all_spans(text: str, level: int, alpha: float = ALPHA) -> list[tuple[int, int, int, str]]:
-    """The base spans, and the tokens that pass the battery and reach the level of evidence, in order."""
-    base = base_spans(text)
-    return sorted(base + [(s, 3, e, name) for s, e, name, p, score in candidates(text, base) if p >= alpha and score >= level])
+@dataclass
+class Rule:
+    """What a corpus tells of ordinary text, and the evidence from which a token is reported."""
 
+    text: Text
+    level: int
+    alpha: float = ALPHA
 
-def evidence_column(text: Column) -> Column:
+    def spans(self, text: str, judge: Judge) -> list[tuple[int, int, int, str]]:
+        """The base spans, and the tokens that pass the battery and reach the level of evidence, in order."""
+        base = base_spans(text)
+        return sorted(base + [(s, 3, e, name) for s, e, name, p, score in candidates(text, base, judge) if p >= self.alpha and score >= self.level])
+
+
+def evidence_column(text: Column, ordinary: Text) -> Column:
     """The evidence of every candidate of a text."""
 
     @F.arrow_udf("array<int>")
     def scores(texts: pa.Array) -> pa.Array:
-        out = pa.array([[c[4] for c in candidates(t, base_spans(t))] for t in strings(texts)], pa.list_(pa.int32()))
+        judge = Judge(ordinary)
+        out = pa.array([[c[4] for c in candidates(t, base_spans(t), judge)] for t in strings(texts)], pa.list_(pa.int32()))
         give_back()
         return out
 
     return scores(text)
 
 
-def discovery_level(docs: DataFrame, fdr: float = FDR) -> int:
-    """The least evidence at which the Benjamini-Hochberg rule over all candidates of all documents reports a token.
+def learn(docs: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> Rule:
+    """The rule for a corpus: ordinary text is learned from all of it, and the Benjamini-Hochberg rule over all its
+    candidates sets the least evidence at which a token is reported.
 
-    What reaches the driver is a histogram of at most BINS + 1 rows. With no candidates, or none that stands out, the
-    level is above every possible value."""
-    rows = docs.select(F.explode(evidence_column(F.col("text"))).alias("evidence")).groupBy("evidence").count().collect()
+    What reaches the driver is a table of letter pairs and a histogram of at most BINS + 1 rows. With no candidates, or
+    none that stands out, the level is above every possible value."""
+    text = ordinary_text(docs)
+    rows = docs.select(F.explode(evidence_column(F.col("text"), text)).alias("evidence")).groupBy("evidence").count().collect()
     total, above, level = sum(r["count"] for r in rows), 0, BINS + 1
     for r in sorted(rows, key=lambda r: -r["evidence"]):
         above += r["count"]
         if 10 ** (-r["evidence"] / 10) <= fdr * above / total:
             level = r["evidence"]
-    return level
+    return Rule(text, level, alpha)
 
 
-def find(text: Column, level: int, alpha: float = ALPHA) -> Column:
+def find(text: Column, rule: Rule) -> Column:
     """All spans of a text, as an array of structs."""
 
     @F.arrow_udf(f"array<{SPAN}>")
     def spans(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64()), ("kind", pa.string())]))
+        judge = Judge(rule.text)
         out = []
         for t in strings(texts):
-            out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in all_spans(t, level, alpha)])
+            out.append([{"start": s, "rank": r, "stop": e, "kind": k} for s, r, e, k in rule.spans(t, judge)])
         give_back()
         return pa.array(out, kind)
 
@@ -195,11 +279,13 @@ def written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs with the column `secrets`: the spans of secrets in code points, end exclusive, by start and kind.
+    """docs with the column `secrets`: the spans of secrets in code points, end exclusive, by start and kind. Kinds of
+    the fixed shapes are KINDS; what the battery adds is called random- and the encoding.
 
-    Null and empty texts have none. The same token is judged alike wherever it stands. An earlier column of that name
-    is replaced; all others stay."""
-    return docs.withColumn("secrets", find(F.col("text"), discovery_level(docs.select("text"), fdr)))
+    Null and empty texts have none; very long ones are scanned whole. The same token is judged alike wherever it
+    stands, and repeated rows fare alike. An empty table stays empty. An earlier column of that name is replaced; all
+    others stay."""
+    return docs.withColumn("secrets", find(F.col("text"), learn(docs.select("text"), fdr)))
 
 
 def _masked(text: str, spans: list[tuple[int, int, int, str]], mark: str) -> str:
@@ -212,14 +298,17 @@ def _masked(text: str, spans: list[tuple[int, int, int, str]], mark: str) -> str
 
 
 def mask(docs: DataFrame, mark: str = "<secret>", fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
-    """docs with every secret of the text replaced by a mark and n_chars, where there is one, counted anew; null texts
-    stay null."""
-    level = discovery_level(docs.select("text"), fdr)
+    """docs with every secret of the text replaced by a mark and n_chars, where there is one, counted anew. Spans that
+    touch share a mark.
+
+    Null texts stay null and empty ones empty; repeated rows fare alike; an empty table stays empty; all other columns
+    are left as they are, whatever their names."""
+    rule = learn(docs.select("text"), fdr, alpha)
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        known = texts.is_valid().to_pylist()
-        out = pa.array([_masked(t, all_spans(t, level, alpha), mark) if there else None for t, there in zip(strings(texts), known, strict=True)], pa.string())
+        known, judge = texts.is_valid().to_pylist(), Judge(rule.text)
+        out = pa.array([_masked(t, rule.spans(t, judge), mark) if there else None for t, there in zip(strings(texts), known, strict=True)], pa.string())
         give_back()
         return out
 

@@ -58,37 +58,48 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
     return int(permute(np.array([slot * shards + shard]), n, seed, inverse=True)[0])
 
 
-def number_rows(df: DataFrame, *keys: Column | str, name: str = "row") -> DataFrame:
-    """Rows with dense numbers from 0 in the order of the keys, without a single-task window.
+def number_rows(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """(content, number) of every row: a struct of all its columns, whatever their names, and dense numbers from 0 in
+    the order of the keys, without a single-task window.
 
     Rows are range partitioned and sorted; a row's number is its place in its partition plus the rows of the
     partitions before, of which there are as many as shuffle partitions. Ties in all keys may swap among themselves."""
     spark = df.sparkSession
     n = partitions(spark)
-    sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    placed = materialise(sorted_.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = [(r["_part"], r["count"]) for r in placed.groupBy("_part").count().orderBy("_part").collect()]  # a row a partition
+    keyed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("content"), *[(df[f"`{k}`"] if isinstance(k, str) else k).alias(f"key_{i}") for i, k in enumerate(keys)])
+    names = [f"key_{i}" for i in range(len(keys))]
+    sorted_ = keyed.repartitionByRange(n, *names).sortWithinPartitions(*names)
+    placed = materialise(sorted_.select("content", F.monotonically_increasing_id().alias("at")), "numbered").select("content", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = [(r["part"], r["count"]) for r in placed.groupBy("part").count().orderBy("part").collect()]  # a row a partition
     starts, total = [], 0
     for part, count in counts:
         starts.append((part, total))
         total += count
-    offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
-    return placed.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_at", "_part", "_place", "_start")
+    offsets = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
+    return placed.join(offsets, "part").select("content", (F.col("start") + F.col("place")).alias("number"))
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 23) -> DataFrame:
-    """(doc_id, size, text_crc32, row, shard, slot) of every row.
+def size(text: Column) -> Column:
+    """Bytes of a text and one more; null has none."""
+    return (F.octet_length(F.coalesce(text, F.lit("")).cast("binary")) + 1).cast("long")
 
-    Row numbers follow doc_id (nulls first), then the text's checksum and size, so they depend on the rows only; null
-    texts have no bytes; repeated rows are rows of their own; an empty table gives an empty result."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    numbered = number_rows(small, "doc_id", "text_crc32", "size")
+
+def checksum(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def shard(docs: DataFrame, *keys: Column | str, shards: int = 16, seed: int = 23) -> DataFrame:
+    """docs with `row`, `shard` and `slot`; earlier columns of these names are replaced, all others stay.
+
+    Row numbers follow the keys, by default doc_id (nulls first), then the text's checksum and size, so they depend on
+    the rows only; null texts have no bytes; repeated rows are rows of their own; an empty table gives an empty result."""
+    docs = docs.drop("row", "shard", "slot")
+    numbered = number_rows(docs, *(keys or ("doc_id", checksum(docs["text"]), size(docs["text"]))))
     n = numbered.count()
 
     @F.pandas_udf("long")
     def place(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
-    placed = numbered.withColumn("_place", place("row"))
-    return placed.withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("long")).drop("_place")
+    placed = numbered.select("content", "number", place("number").alias("place"))
+    return placed.select("content.*", F.col("number").alias("row"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))

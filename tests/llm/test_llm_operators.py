@@ -44,6 +44,19 @@ def corpus() -> list[tuple]:
     return [*rows, rows[20], rows[20], (None, texts[20], "en", "a", 0), (None, None, None, None, None)]
 
 
+CLASHES = [
+    *("ids", "secrets", "n_words", "kept_text", "score", "lang_pred", "gid", "block", "slot", "row", "shard", "set_key", "keys", "_size", "c0"),
+    *("_source", "_rate", "_copies", "_copy", "_target", "size", "source_size", "target", "copies", "_stats", "_kept", "kept", "stats", "rule", "_guess", "guess"),
+    *("content", "key_0", "at", "part", "place", "number", "text_a", "gone_id", "least_id", "class_id", "group_id", "held_out", "ambiguous", "round_trip", "n_tokens", "words"),
+]
+
+
+def own_columns_stay(found, replaced=()):
+    """Every clashing column that the operator does not say it replaces holds what it held."""
+    names = [n for n in CLASHES if n not in replaced]
+    assert found.filter(" OR ".join(f"`{n}` IS DISTINCT FROM 'own {n}'" for n in names)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def rows():
     return corpus()
@@ -57,8 +70,7 @@ def docs(spark, rows):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """Columns named as those that operators add or use inside."""
-    names = ["ids", "secrets", "n_words", "kept_text", "score", "lang_pred", "gid", "block", "slot", "row", "shard", "set_key", "keys", "_size", "c0"]
-    return docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    return docs.withColumns({n: F.lit(f"own {n}") for n in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -116,15 +128,76 @@ def test_random_tokens_are_found_and_ordinary_ones_are_not(spark):
     assert not [k for k in found if k >= 30]
 
 
-@pytest.mark.parametrize("length, least", [(16, 0.6), (20, 0.8), (24, 0.9), (32, 0.95), (48, 0.95), (64, 0.95)])
+PLAIN = [
+    *("https/example/path/to/some/page2024/article", "internationalization2", "internationalization", "2024-05-06-the-quick-brown-fox", "ordinarylowercasewordsjoined1"),
+    *("ORDINARY_UPPER_CASE_WORDS_2", "order-number-20240506123456", "CamelCaseIdentifierNumber12", "CamelCaseIdentifierNameOf", "antidisestablishmentarianism"),
+    *("Donaudampfschifffahrtsgesellschaft", "a" * 27 + "1", "v1-release-candidate-number-12"),
+]
+
+
+@pytest.mark.parametrize("length, least", [(16, 0.7), (20, 0.85), (24, 0.9), (32, 0.95), (48, 0.95), (64, 0.95)])
 def test_every_encoding_gives_evidence(length, least):
     r = random.Random(length)
-    plain = ["https/example/path/to/some/page2024/article", "internationalization2", "2024-05-06-the-quick-brown-fox", "ordinarylowercasewordsjoined1", "ORDINARY_UPPER_CASE_WORDS_2", "order-number-20240506123456"]
-    assert max(secrets.judge(t)[2] for t in plain) < 20
+    judge = secrets.Judge(secrets.Text.of(np.zeros((27, 26))))
+    assert max(judge[t][2] for t in PLAIN) < 20
+    for _, alphabet in secrets.ENCODINGS:
+        found = [judge["".join(r.choice(alphabet) for _ in range(length))] for _ in range(400)]
+        assert np.mean([f is not None and f[1] >= secrets.ALPHA and f[2] >= 30 for f in found]) >= least, (alphabet, length)
+
+
+def test_the_battery_adds_up_to_the_likelihood_ratio():
+    r = random.Random(11)
+    counts = np.random.default_rng(1).integers(0, 90, (27, 26))
+    text = secrets.Text.of(counts)
+    for _ in range(50):
+        core = "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(r.randrange(16, 50)))
+        kinds = ["d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else "m" for c in core]
+        log = np.log10(1 / 4)
+        for k, c in enumerate(core):
+            if k:
+                log += np.log10(secrets.CHANGE / 3 if kinds[k] != kinds[k - 1] else 1 - secrets.CHANGE)
+            if not c.isalpha():
+                log += np.log10(0.1 if c.isdigit() else 0.25)
+            elif k and core[k - 1].isalpha():
+                log += text.letter[ord(c.lower()) - 97] + text.pair[ord(core[k - 1].lower()) - 97, ord(c.lower()) - 97]
+            else:
+                log += text.letter[ord(c.lower()) - 97]
+        assert abs(text.uniformity(core, 64) + text.runs(core) + text.serial(core) - (-len(core) * np.log10(64) - log)) < 1e-9
+
+
+def test_letter_pairs_are_counted_over_whole_texts(spark):
+    frame = spark.createDataFrame([("Abé ba",), (None,), ("",), ("aB" * 200_000,)], "text string")
+    counts = np.zeros((27, 26))
+    for word in ("ab", "ba", "ab" * 200_000):
+        last = 26
+        for c in word:
+            counts[last, ord(c) - 97] += 1
+            last = ord(c) - 97
+    expected, found = secrets.Text.of(counts), secrets.ordinary_text(frame)
+    assert np.allclose(expected.letter, found.letter) and np.allclose(expected.pair, found.pair)
+
+
+def test_planted_secrets_and_false_discoveries(spark):
+    """Per encoding and length: the share of planted tokens found, and of what is found beside them."""
+    r = random.Random(21)
+    rows, planted = [], {}
     for name, alphabet in secrets.ENCODINGS:
-        tokens = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(400)]
-        found = [f for t in tokens if (f := secrets.judge(t)) is not None]
-        assert np.mean([score >= 30 for _, _, score in found]) >= least, (name, len(alphabet), length)
+        for length in (20, 32, 48):
+            for _ in range(12):
+                token = "".join(r.choice(alphabet) for _ in range(length))
+                planted[len(rows)] = (name, length)
+                rows.append((len(rows), f"{prose(len(rows), 30)} {token} {prose(len(rows) + 7000, 5)}"))
+    for t in PLAIN * 30:
+        rows.append((len(rows), f"{prose(len(rows), 30)} {t}"))
+    found = {x["doc_id"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["secrets"]}
+    for length, least in ((20, 0.85), (32, 0.95), (48, 0.95)):
+        assert np.mean([k in found for k, (_, n) in planted.items() if n == length]) >= least
+    assert len(found - set(planted)) <= 0.02 * len(found)
+
+
+def test_secrets_leave_clashing_columns(clashing):
+    own_columns_stay(secrets.scan(clashing), ["secrets"])
+    own_columns_stay(secrets.mask(clashing))
 
 
 def test_battery_is_calibrated_on_random_strings():
@@ -166,6 +239,7 @@ def repeats_by_hand(rows: list[tuple], window: int = 13) -> Counter:
 
 def test_passages_equal_brute_force(spark, rows, clashing):
     found = passages.remove_repeats(clashing)
+    own_columns_stay(found, ["n_words", "kept_text"])
     assert found.columns == [c for c in clashing.columns if c not in ("n_words", "kept_text")] + ["n_words", "n_removed", "kept_text"]
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect())
     assert got == repeats_by_hand(rows)
@@ -227,6 +301,21 @@ def test_encode_and_decode_equal_the_library(spark, tokenizer, rows):
         assert got[k]["sha"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[k]["gid"] == k
 
 
+def test_encoding_leaves_clashing_columns(clashing, rows):
+    path = queries.byte_bpe()
+    own_columns_stay(bpe.encode(clashing, path), ["ids"])
+    own_columns_stay(bpe.round_trip(clashing, path), ["n_tokens"])
+    found = bpe.encode_checked(clashing, path)
+    own_columns_stay(found, ["ids", "round_trip"])
+    assert found.filter("round_trip").count() == len(rows)
+
+
+def test_token_files_of_clashing_columns(spark, clashing, rows):
+    folder = f"{shared_dir(spark)}/clashing"
+    tokenfiles.write(clashing, queries.byte_bpe(), folder)
+    assert tokenfiles.summary(spark, folder).count() == len(rows)
+
+
 def test_token_files_round_trip(spark, tokenizer, rows, docs):
     folder = f"{shared_dir(spark)}/files"
     manifest = tokenfiles.write(docs, queries.byte_bpe(), folder)
@@ -278,6 +367,53 @@ def test_languages_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (600, 601, 602)} == {"und"}
 
 
+def test_predictions_equal_a_plain_decoding(spark):
+    """Every n-gram hashed, every bit and every codeword one by one."""
+    frame = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+
+    def plain(text: str | None) -> tuple[str, float, bool]:
+        chars: list[int] = []
+        for c in text or "":
+            if c.isalpha():
+                chars.append(ord(c.lower()[0]))
+            elif chars and chars[-1]:
+                chars.append(0)
+        if not any(chars):
+            return "und", 0.0, True
+        chars = [0, *chars]
+        grams = Counter()
+        for order in (1, 2, 3):
+            for k in range(len(chars) - order + 1):
+                h = 0
+                for x in chars[k : k + order]:
+                    h = (h * 1_000_003 + x + 1) % (1 << 64)
+                grams[(h * 0x9E3779B97F4A7C15) % (1 << 64) >> 50, order] += 1
+        losses = []
+        for word in model.codewords:
+            loss = 0.0
+            for b, bit in enumerate(word):
+                margin = sum(n * float(model.weights[(order - 1) * (1 << 14) + place, b]) for (place, order), n in grams.items()) / sum(grams.values()) + model.bias[b]
+                loss += np.log1p(np.exp(-bit * 12.0 * margin)) * model.trust[b]
+            losses.append(loss)
+        p = np.exp(min(losses) - np.array(losses))
+        p /= p.sum()
+        order = sorted(range(len(p)), key=lambda k: (-p[k], k))
+        return model.languages[order[0]], float(p[order[0]]), bool(p[order[0]] < 3 * p[order[1]])
+
+    some = [r for r in langid.predict(frame, model).collect() if r["doc_id"] is None or r["doc_id"] % 10 == 0]
+    assert len(some) > 50
+    for r in some:
+        lang, score, ambiguous = plain(r["text"])
+        assert (r["lang_pred"], r["ambiguous"]) == (lang, ambiguous) and abs(r["score"] - score) < 1e-6
+
+
+def test_predictions_leave_clashing_columns(clashing, rows):
+    found = langid.predict(clashing, langid.fit(clashing))
+    own_columns_stay(found, ["lang_pred", "score", "ambiguous"])
+    assert found.count() == len(rows)
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(k, "kato miru", "aa") for k in range(3000)] + [(3000 + k, "schei tzung", "bb") for k in range(3)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -329,14 +465,39 @@ def links_by_hand(rows: list[tuple], threshold: Fraction = Fraction(4, 5)):
 
 def test_jaccard_links_and_groups_equal_brute_force(spark, rows, clashing, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)  # so that groups are cut into cells
+    monkeypatch.setattr(jaccard, "VERIFIED", 8)
+    monkeypatch.setattr(components, "HUB", 4)
     got = Counter((r["doc_id"], r["n_links"], r["group_id"]) for r in jaccard.near_duplicates(clashing).collect())
     assert got == links_by_hand(rows)
     kept = jaccard.deduplicate(clashing)
     assert kept.columns == clashing.columns
+    own_columns_stay(kept)
     groups = {g for _, _, g in got if g is not None}
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == groups
 
 
+def test_rows_that_share_an_id_fare_by_their_own_texts(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (5, c), (9, None), (9, c), (9, ""), (7, b + " y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(frame).select("doc_id", "n_links", "group_id").collect()) == links_by_hand(rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.deduplicate(frame).collect())
+    assert kept == Counter([(1, a), (5, b), (5, c), (9, None), (9, "")])
+
+
+def test_many_rows_that_share_ids(spark):
+    r = random.Random(12)
+    bases = [prose(k, 40).split() for k in range(12)]
+    rows = []
+    for _ in range(160):
+        words = list(r.choice(bases))
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "changed"
+        rows.append((r.randrange(40), " ".join(words)))
+    got = Counter(tuple(x) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links", "group_id").collect())
+    assert got == links_by_hand(rows)
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.5, 0.6, 0.7, 1.1])
 def test_thresholds_that_the_bands_miss_are_refused(empty, threshold):
     with pytest.raises(ValueError):
@@ -365,9 +526,11 @@ def test_buckets_of_many_members(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, n), (2, n), (4, 3), (5, 3)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.HUB, 2])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB", hub)
     r = random.Random(6)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 380)] + [(5, 5), (None, 3)]
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 380)] + [(5, 5), (None, 3)] + [(400, k) for k in range(401, 460)]
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     group = {}
     for a, b in edges:
@@ -417,19 +580,20 @@ def test_mixing_targets_and_copies(spark, rows, clashing):
         sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").encode().split())
     target = targets_by_hand(sizes)
     for r in got:
-        assert r["_size"] == len((r["text"] or "").encode().split()) and r["_source_size"] == sizes[r["source"]]
-        assert abs(r["_target"] - target[r["source"]]) < 1e-6 and 0 <= r["_copies"] <= 2
+        assert r["size"] == len((r["row"]["text"] or "").encode().split()) and r["source_size"] == sizes[r["row"]["source"]]
+        assert abs(r["target"] - target[r["row"]["source"]]) < 1e-6 and 0 <= r["copies"] <= 2
     emitted = mixing.mix(clashing)
     assert emitted.columns == clashing.columns
-    assert Counter(r["doc_id"] for r in emitted.collect()) == sum((Counter({r["doc_id"]: r["_copies"]}) for r in got), Counter())
+    own_columns_stay(emitted)
+    assert Counter(r["doc_id"] for r in emitted.collect()) == sum((Counter({r["row"]["doc_id"]: r["copies"]}) for r in got), Counter())
 
 
 def test_mixing_comes_near_its_targets(spark):
     r = random.Random(1)
     frame = spark.createDataFrame([(k, prose(k, r.randrange(1, 30)), r.choice("aaabcdefg")) for k in range(4000)], "doc_id long, text string, source string")
-    got = mixing.plan_mix(frame).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("target")).collect()
+    got = mixing.plan_mix(frame).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(x["taken"] - x["target"]) < 0.12 * x["target"] for x in got)
-    a, b = ({(x["doc_id"], x["_copies"]) for x in mixing.plan_mix(frame.repartition(n)).collect()} for n in (1, 7))
+    a, b = ({(x["row"]["doc_id"], x["copies"]) for x in mixing.plan_mix(frame.repartition(n)).collect()} for n in (1, 7))
     assert a == b
 
 
@@ -446,7 +610,9 @@ def test_permutation_and_inverse():
 
 
 def test_shards_are_even_gapless_and_computable(spark, rows, clashing):
-    got = sharding.shard(clashing, shards=7).collect()
+    placed = sharding.shard(clashing, shards=7)
+    own_columns_stay(placed, ["row", "shard", "slot"])
+    got = placed.collect()
     n = len(rows)
     assert sorted(r["row"] for r in got) == list(range(n))
     held = [r["doc_id"] for r in sorted(got, key=lambda r: r["row"])]
@@ -456,8 +622,9 @@ def test_shards_are_even_gapless_and_computable(spark, rows, clashing):
         assert slots == list(range(len(slots))) and abs(len(slots) - n / 7) < 1
     for r in got:
         assert sharding.row_at(r["shard"], r["slot"], n, 7, 23) == r["row"]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
     expected = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == expected
+    assert Counter(tuple(r) for r in clashing.select("doc_id", sharding.size(F.col("text")), sharding.checksum(F.col("text"))).collect()) == expected
     again = sharding.shard(clashing.repartition(5), shards=7)
     assert {(r["row"], r["shard"], r["slot"]) for r in again.collect()} == {(r["row"], r["shard"], r["slot"]) for r in got}
 
@@ -500,10 +667,17 @@ def test_cover_tree_equals_brute_force(spark, unit, monkeypatch):
         r = got[i]
         assert r["n_links"] == links[i], i
         assert r["component_id"] == (root(i) if i is not None else None)
-        assert r["kept"] == (root(i) == i if i is not None else None)
+        assert r["kept"] == (i is None or root(i) == i)
     assert sum(links.values()) > 400
 
 
+def test_vectors_that_share_an_id(spark):
+    u, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, u), (5, [1.0, 0.1, 0.0]), (5, w), (7, [0.0, 1.0, 0.1]), (5, w), (None, w)]
+    got = Counter(tuple(r) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(1, 1, 1, True), (5, 1, 1, False), (5, 2, 5, True), (7, 2, 5, False), (5, 2, 5, True), (None, 0, None, True)])
+
+
 def test_node_pairs_are_pruned():
     r = np.random.default_rng(0)
     x = covertree._unit(np.concatenate([r.normal(size=(1, 16)) * 4 + r.normal(size=(100, 16)) * 0.1 for _ in range(8)]))
@@ -556,9 +730,10 @@ def test_rules_are_learned_and_hold_on_other_rows(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("quality", F.lit("own"))
     found = quality.judged(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     known = {k for k, *_ in labels}
-    got = [r for r in found.collect() if r["doc_id"] not in known]
-    assert np.mean([r["_kept"] == (r["doc_id"] % 3 == 0) for r in got]) > 0.97
-    assert all(r["_rule"] is None or " " in r["_rule"] for r in got) and any(r["_rule"] for r in got)
+    got = [r for r in found.collect() if r["row"]["doc_id"] not in known]
+    assert np.mean([r["kept"] == (r["row"]["doc_id"] % 3 == 0) for r in got]) > 0.97
+    assert all(r["rule"] is None or " " in r["rule"] for r in got) and any(r["rule"] for r in got)
+    assert all(r["row"]["quality"] == "own" for r in got)
 
 
 def test_decision_list_is_ordered_and_pruned():
@@ -573,11 +748,13 @@ def test_decision_list_is_ordered_and_pruned():
     assert quality.learn(x, r.random(3000) < 0.3, r.random(3000) < 1 / 3) == []
 
 
-def test_without_labels_only_the_base_rule_holds(spark, docs):
+def test_without_labels_only_the_base_rule_holds(spark, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for r in quality.judged(docs, none).collect():
+    found = quality.judged(clashing, none)
+    own_columns_stay(found.select("row.*"))
+    for r in found.select("row.text", F.col("kept").alias("verdict")).collect():
         n, _, _, _, repeats = stats_by_hand(r["text"])
-        assert r["_kept"] == (n >= 20 and 100 * repeats <= 30 * n)
+        assert r["verdict"] == (n >= 20 and 100 * repeats <= 30 * n)
 
 
 # --- empty tables, and all queries together --------------------------------------------------------------------
@@ -629,3 +806,25 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     tokenizer = Tokenizer.from_file(queries.byte_bpe())
     assert all(ids[d] == tokenizer.encode(masked[d], add_special_tokens=False).ids for d in ids)
     assert Counter(r["doc_id"] for r in seen["encoded"].collect()) == taken
+    assert all(r["round_trip"] for r in seen["encoded"].collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, rows, clashing, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 1, 0), (None, 0, 0), (6, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        nothing, found = stage(spark, empty, str(tmp_path)), stage(spark, clashing, str(tmp_path))
+        assert nothing.count() == 0
+        if name == "encoded":
+            assert found.filter("round_trip").count() == len(rows)
+            continue
+        assert found.columns == clashing.columns and nothing.columns == empty.columns
+        own_columns_stay(found)
+        texts = {r["text"] for r in found.collect()}
+        if name == "secret_scans":
+            assert texts == {r[1] for r in rows} and found.count() == len(rows)
+        elif name == "near_duplicates":
+            assert {None, "", " \n\t ", "two words", "x" * 300_000} <= texts
+        elif name == "quality_rules":
+            assert not {None, "", "one", "two words"} & texts
