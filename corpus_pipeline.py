@@ -15,28 +15,44 @@ from tessera.llm.queries import byte_bpe
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("_kept").select(*docs.columns)
+    """Documents that the base rule and the learned decision list keep.
+
+    Null, empty and short texts go; repeated rows and equal texts fare alike; rows without an id are judged by their
+    text. Without usable labels the base rule alone decides. No documents, no rows. Other columns stay as they are."""
+    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id."""
+    """Of each group of near-duplicates the rows with its least doc_id.
+
+    Null and empty texts and rows without an id stay; rows that share an id go or stay by their own texts, and repeated
+    rows together. No documents, no rows. Other columns stay as they are."""
     return jaccard.deduplicate(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts masked and n_chars counted anew."""
-    return secrets.mask(docs).select(*docs.columns)
+    """All documents, with every secret in their texts masked and n_chars counted anew.
+
+    Null texts stay null, empty ones empty; repeated rows and equal texts fare alike. No documents, no rows. Other
+    columns stay as they are."""
+    return secrets.mask(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks, none to two times."""
+    """Documents as often as their source's target asks, none to two times.
+
+    A null source is one of its own; a null or empty text has size 0 and follows its source's rate; a source without
+    words goes; equal ids are decided alike. No documents, no rows. Other columns stay as they are."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and ids of each document taken."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), byte_bpe()).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens, ids and round_trip of each document taken: its ids, and whether decoding them gives its
+    text again.
+
+    Null and empty texts have no ids; repeated rows are rows of their own. No documents, no rows."""
+    found = bpe.encode_checked(docs.select("doc_id", "source", "text"), byte_bpe())
+    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
