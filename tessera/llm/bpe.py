@@ -167,15 +167,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     them; the group then joins ids to its words by position. A word in a third of all texts is one row for each group,
     so no task grows with its frequency. Null and empty texts have no ids; repeated rows are rows of their own; an empty
     table stays empty; a column named `ids` is replaced, all others stay."""
-    return _by_word_table(docs, path, lambda flat, offsets, texts: [_lists(flat, offsets)], {"ids": "array<int>"})
+    return _by_word_table(docs, path, lambda flat, offsets, marks: [_lists(flat, offsets)], {"ids": "array<int>"})
 
 
 def encode_checked(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` as `encode` gives them and `round_trip`: whether decoding them gives the text again (null counts
     as empty). Of the decoded text nothing is sent anywhere."""
 
-    def checked(flat: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[pa.Array]:
-        same = [a == b for a, b in zip(_decoded(flat, offsets, path), texts, strict=True)]
+    def checked(flat: np.ndarray, offsets: np.ndarray, marks: list[bytes]) -> list[pa.Array]:
+        same = [_mark(t) == m for t, m in zip(_decoded(flat, offsets, path), marks, strict=True)]
         return [_lists(flat, offsets), pa.array(same, pa.bool_())]
 
     return _by_word_table(docs, path, checked, {"ids": "array<int>", "round_trip": "boolean"})
@@ -186,19 +186,23 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     it, as digests taken where the ids are joined, so that neither is sent anywhere. Rows fare as under `encode`;
     columns of these names are replaced."""
 
-    def digests(flat: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[pa.Array]:
+    def digests(flat: np.ndarray, offsets: np.ndarray, marks: list[bytes]) -> list[pa.Array]:
         decoded = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(flat, offsets, path)]
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(_digests(flat, offsets), pa.string()), pa.array(decoded, pa.string())]
 
     return _by_word_table(docs, path, digests, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
+def _mark(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def _by_word_table(docs: DataFrame, path: str, made, columns: dict[str, str]) -> DataFrame:
-    """docs with the columns that `made(flat ids, offsets, texts)` gives for each group of documents.
+    """docs with the columns that `made(flat ids, offsets, digests of the texts)` gives for each group of documents.
 
     Groups travel as compressed blocks, and a group asks for its distinct words only: a row for each word and document
     would shuffle several times the input (the README has figures)."""
@@ -231,8 +235,10 @@ def _by_word_table(docs: DataFrame, path: str, made, columns: dict[str, str]) ->
     def join(blocks, answers):
         of, numbers = vocabulary(path), _Numbers()
         found = unpacked(blocks)
-        texts = _texts(found)
-        placed = [np.array(list(map(numbers.__getitem__, of.words(t))), np.int32) for t in texts]
+        placed, marks = [], []
+        for t in _texts(found):
+            placed.append(np.array(list(map(numbers.__getitem__, of.words(t))), np.int32))
+            marks.append(_mark(t))
         by_slot, table = _by_slot(numbers, n), [b""] * len(numbers)
         for slot, ids in zip(answers.column("slot").to_pylist(), answers.column("ids"), strict=True):
             for w, got in zip(by_slot[slot], unframed(ids.as_py()), strict=True):
@@ -241,8 +247,8 @@ def _by_word_table(docs: DataFrame, path: str, made, columns: dict[str, str]) ->
         joined = [b"".join(map(table.__getitem__, at.tolist())) for at in placed]
         del placed, table
         offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in joined])])
-        more = made(np.frombuffer(b"".join(joined), "<u4"), offsets, texts)
-        del joined, texts
+        more = made(np.frombuffer(b"".join(joined), "<u4"), offsets, marks)
+        del joined
         give_back()
         return pa.table([*([] if found is None else found.columns), *more], names=[*(names if found is not None else []), *columns])
 

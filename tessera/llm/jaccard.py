@@ -151,7 +151,9 @@ def _candidates(classes: DataFrame, first: int, last: int, groups: DataFrame | N
     pairs of different groups. Buckets with the same members as another are looked at once."""
     known = classes.withColumn("group", F.col("class_id")) if groups is None else classes.join(groups, "class_id", "left").withColumn("group", F.coalesce("group", "class_id"))
     rows = known.select(F.explode(F.slice("keys", first + 1, last - first)).alias("key"), "class_id", "group")
-    live = materialise(rows.join(_buckets(rows).hint("merge"), "key"), "buckets")
+    buckets = materialise(_buckets(rows), "buckets")
+    held = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    live = materialise(join_named(rows, buckets.withColumn("held", F.col("members")), "key", "held", held), "bucket-members")
     release(classes.sparkSession)
     placed = _place(live, groups is not None).join(classes.select("class_id", "sketch").hint("merge"), "class_id")
     columns = ["key", "cell_a", "cell_b", "part", "class_id", "group", "sketch"]
@@ -178,8 +180,8 @@ def _place(live: DataFrame, grouped: bool) -> DataFrame:
     other members are sent to each of them, so that a group of many copies and a few strays costs a row a copy."""
     if not grouped:
         return in_cells(live, F.col("members"), F.col("class_id"), CELL)
-    largest = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"))
-    told = live.join(largest.hint("merge"), "key").withColumn("parts", F.ceil(F.col("most.n") / F.lit(CELL)).cast("int"))
+    largest = live.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("held"))
+    told = join_named(live, materialise(largest, "largest-groups"), "key", "held", live.count()).withColumn("parts", F.ceil(F.col("most.n") / F.lit(CELL)).cast("int"))
     inside = F.col("group") == F.col("most.group")
     rest = told.filter(~inside)
     columns = ["key", "class_id", "group"]
@@ -354,4 +356,4 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     gone = _linked(docs.select("doc_id", "text"), threshold, tolerance).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_a").alias("gone_a"), F.col("text_b").alias("gone_b")).distinct()
     gone = materialise(gone, "duplicates")
     same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_a"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["gone_b"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")  # rows to drop grow with the documents
