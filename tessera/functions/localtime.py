@@ -49,3 +49,36 @@ def day_end(day: Column, zone: str = ZONE) -> Column:
 def hour_start(key: Column, zone: str = ZONE) -> Column:
     """The first instant of a local hour; of an hour that comes twice, the earlier one."""
     return F.to_utc_timestamp(F.try_to_timestamp(key, F.lit("yyyy-MM-dd'T'HH")), zone)
+
+
+def add_days(day: Column, n: int) -> Column:
+    """The key of the local day n days after another."""
+    return F.date_format(F.date_add(day.cast("date"), n), "yyyy-MM-dd")
+
+
+LOCAL_TEXT = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2}))?)?)?$"
+
+
+def local_parts(text: Column) -> Column:
+    """(day, hour, minute, second) of a local time written as a day with or without hour, minute and second; what is not
+    there is null, and so is the whole if it is written otherwise."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    number = lambda k: F.regexp_extract(t, LOCAL_TEXT, k).try_cast("int")
+    return F.when(t.rlike(LOCAL_TEXT), F.struct(F.regexp_extract(t, LOCAL_TEXT, 1).alias("day"), number(2).alias("hour"), number(3).alias("minute"), number(4).alias("second")))
+
+
+def instant(text: Column, zone: str = ZONE) -> Column:
+    """The instant at which a written local time begins."""
+    p = local_parts(text)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    start = hour_start(F.concat(p["day"], F.lit("T"), F.lpad(zero(p["hour"]).cast("string"), 2, "0")), zone)
+    return F.timestamp_seconds(F.unix_seconds(start) + zero(p["minute"]) * 60 + zero(p["second"]))
+
+
+def exclusive_end(text: Column, zone: str = ZONE) -> Column:
+    """The instant at which what a written local time names is over: its second, minute or hour, as far as it is written,
+    or its day; midnight stands for its day."""
+    p = local_parts(text)
+    midnight = (F.coalesce(p["hour"], F.lit(0)) == 0) & (F.coalesce(p["minute"], F.lit(0)) == 0) & (F.coalesce(p["second"], F.lit(0)) == 0)
+    step = F.when(p["second"].isNotNull(), 1).when(p["minute"].isNotNull(), 60).otherwise(3600)
+    return F.when(midnight, day_end(p["day"].try_cast("date"), zone)).otherwise(F.timestamp_seconds(F.unix_seconds(instant(text, zone)) + step))

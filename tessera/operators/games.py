@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.functions.lineage import cut
 from tessera.functions.numbers import count_where, percent, rounded_mean
 
 DEFAULT_PLAYER = "local"
@@ -97,6 +98,30 @@ def answers(flat: DataFrame) -> DataFrame:
     )
 
 
+def date_label(ts: Column, zone: str = "Europe/Lisbon") -> Column:
+    """A local time as it is shown: day, month, year, hour and minute."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "dd/MM/yyyy, HH:mm")
+
+
+def match_labels(games: DataFrame) -> DataFrame:
+    """(game_id, mode, name, date, room_code, title) of normalized games: rooms go by their host, single games by their
+    session."""
+    many = F.col("mode") == "multiplayer"
+    host = F.coalesce(F.try_element_at(F.filter("players", lambda p: p["isHost"]), F.lit(1)), F.try_element_at("players", F.lit(1)))
+    name = F.when(many, F.coalesce(text.nullif_empty(host["nickname"]), text.nullif_empty(host["playerId"]), F.lit("Multijogador"))).otherwise(F.coalesce("session_name", F.lit("Individual")))
+    room = F.when(many, text.nullif_empty(F.upper(F.trim("room_code"))))
+    date = date_label(F.col("started_at"))
+    title = F.concat_ws(" · ", name, F.concat(F.lit("Sala "), room), date)
+    return games.select("game_id", "mode", name.alias("name"), date.alias("date"), room.alias("room_code"), title.alias("title"))
+
+
+def all_stats(games: DataFrame, flat: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """Every table of the statistics by its name; match and global insights among them."""
+    stats = game_stats(games, events)
+    alone = single_player(events)
+    return {"summary": games_summary(stats), "games": stats, "labels": match_labels(games), "players": player_stats(alone), "streaks": streaks(alone), "categories": category_stats(flat, events), "age_bands": age_band_stats(flat, events), "questions": question_stats(flat, events), "questions_by_age": question_stats(flat, events, by_age_band=True), "match_insights": match_insights(games, events), "global_insights": global_insights(games, flat, events)}
+
+
 def single_player(events: DataFrame) -> DataFrame:
     return events.filter(F.col("mode") != "multiplayer")
 
@@ -239,7 +264,8 @@ def match_insights(games: DataFrame, events: DataFrame) -> DataFrame:
 
     In single games: accuracy and pace of players, the dominated category and the longest run; in multiplayer ones the
     accuracy, pace and number of devices of the room; in both the hardest round and the round that split the players.
-    accuracy_leader names the player with most answers."""
+    accuracy_leader names the player with most answers. The events are read by each insight, so they are written once."""
+    events = cut(events)
     stats = game_stats(games, events)
     found = [_insight(stats.filter("answers_total = 0"), "info", F.lit("no answers"), F.col("rounds_total"), F.lit(0))]
     room = stats.filter("mode = 'multiplayer' AND answers_total > 0")
@@ -279,7 +305,8 @@ def match_insights(games: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def global_insights(games: DataFrame, flat: DataFrame, events: DataFrame) -> DataFrame:
-    """Insights over all games, with the thresholds of 3 and 5 answers."""
+    """Insights over all games, with the thresholds of 3 and 5 answers. Rounds and events are written once."""
+    flat, events = cut(flat.drop("answers")), cut(events)
     stats = game_stats(games, events)
     total = games_summary(stats)
     found = [
@@ -288,7 +315,6 @@ def global_insights(games: DataFrame, flat: DataFrame, events: DataFrame) -> Dat
     ]
     pace = _paced(events.agg(*_pace(), F.count(F.lit(1)).alias("k")))
     found.append(_insight(pace.filter("avg_response_ms IS NOT NULL"), "global_pace", F.lit(None), F.col("avg_response_ms"), F.col("k")))
-    everything = W.partitionBy(F.lit(1))
 
     def first(df: DataFrame, *order: Column) -> DataFrame:
         return df.orderBy(*order).limit(1)
@@ -342,3 +368,16 @@ def merge_answer_events(history: DataFrame, events: DataFrame) -> DataFrame:
     joined = history.join(given, ["match_id", "round"], "full_outer")
     empty = F.coalesce(F.size("answers"), F.lit(-1)) <= 0
     return joined.select("match_id", "round", F.coalesce("category", "_category").alias("category"), F.coalesce("question", "_question").alias("question"), F.coalesce("correctAnswer", "_correct_answer").alias("correctAnswer"), F.coalesce("ageBand", "_age_band").alias("ageBand"), F.when(empty, F.col("_answers")).otherwise(F.coalesce("_answers", "answers")).alias("answers"))
+
+
+def enrich_with_events(games: DataFrame, events: DataFrame) -> DataFrame:
+    """Nested games with the answers that flat answer events (match_id and the columns of `merge_answer_events`) add to
+    their rounds; games that only the events know are left out."""
+    fields = ["round", "category", "categoryN", "format", "difficulty", "ageBand", "question", "correctAnswer", "questionHash", "knowledgeId", "options", "answers"]
+    history = games.select(F.col("id").alias("match_id"), F.explode("rounds").alias("r")).select("match_id", *[F.col(f"r.{f}").alias(f) for f in fields])
+    known = events.join(games.select(F.col("id").alias("match_id")), "match_id", "left_semi")
+    merged = merge_answer_events(history.select("match_id", "round", "category", "question", "correctAnswer", "ageBand", "answers"), known)
+    told = history.select("match_id", "round", *[F.col(f) for f in fields if f not in merged.columns])
+    rounds_ = merged.join(told, ["match_id", "round"], "left").groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f) for f in fields]))).alias("_rounds"))
+    joined = games.join(rounds_, games["id"] == rounds_["match_id"], "left")
+    return joined.withColumn("rounds", F.coalesce("_rounds", "rounds")).select(*games.columns)

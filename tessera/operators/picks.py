@@ -84,3 +84,24 @@ def least_used_position(history: Column, size: int, seed: Column) -> Column:
     """The place at which answers stood least often, by the seed among equals."""
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.struct(F.size(F.filter(history, lambda h: h == p)).alias("n"), F.xxhash64(p, seed).alias("r"), p.alias("p")))
     return F.array_min(counts)["p"]
+
+
+def shuffled(values: Column, key: Column, seed: int) -> Column:
+    """An array in an order that depends on key, seed and values alone."""
+    return F.transform(F.array_sort(F.transform(values, lambda v, i: F.struct(F.xxhash64(key, v, i, F.lit(seed)).alias("r"), i.alias("i"), v.alias("v")))), lambda x: x["v"])
+
+
+def assemble_options(answer: Column, distractors: Column, key: Column, seed: int) -> Column:
+    """The answer and the first three distractors that differ from it, shuffled; null if there are fewer."""
+    a = F.trim(F.coalesce(answer, F.lit("")))
+    wrong = F.slice(F.filter(F.transform(distractors, lambda d: F.trim(d)), lambda d: (d != "") & (F.lower(d) != F.lower(a))), 1, 3)
+    return F.when(F.size(wrong) == 3, shuffled(F.concat(F.array(a), wrong), key, seed))
+
+
+def difficulty(age_band: Column, last: Column, key: Column, seed: int) -> Column:
+    """A level within the range of the age band, at random but not the last one."""
+    from tessera.operators.items import difficulty_range
+
+    low, high = difficulty_range(age_band)
+    levels = F.filter(F.sequence(low, high), lambda d: ~d.eqNullSafe(last))
+    return F.element_at(levels, (F.pmod(F.xxhash64(key, F.lit(seed)), F.size(levels)) + 1).cast("int"))

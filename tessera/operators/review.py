@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import count_where
 from tessera.functions.text import question_hash, strip_tags
+from tessera.operators.items import only_difficulty
 from tessera.operators.telemetry import is_open
 
-#: The codes that speak of difficulty alone.
-DIFFICULTY_CODES = ("DIFFICULTY_RANGE", "DIFFICULTY_TRIVIAL", "DIFFICULTY_HARD", "DIFFICULTY_MISMATCH")
-
-
-def only_difficulty(codes: Column) -> Column:
-    return (F.size(codes) > 0) & F.forall(codes, lambda c: c.isin(*DIFFICULTY_CODES))
-
-
 def wanted(codes: Column, issue_code: str | None = None) -> Column:
     """Whether a rejected event belongs in the queue: by a code, or else because only its difficulty was wrong."""
     return F.array_contains(codes, issue_code) if issue_code else only_difficulty(codes)

@@ -38,20 +38,31 @@ def key_of(ts: Column, unit: str, zone: str = ZONE) -> Column:
 
 
 def fill(counts: DataFrame, grid: DataFrame, *values: str) -> DataFrame:
-    """The grid with the values of `counts` by key, zero where there are none; the grid is small, so it is the broadcast side."""
+    """The grid with the values of `counts` by key, zero where there are none; both have a row for each step."""
     filled = grid.join(counts, "key", "left")
     return filled.select("key", "position", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
+def within(events: DataFrame, ts: str, as_of: str, steps: int, unit: str) -> DataFrame:
+    """events from a while before the first step of a calendar to a while after its last: a bound on the column itself, so
+    that it reaches the scan. The slack is a day, more than any zone and clock change is off."""
+    hours = steps * {"day": 24, "hour": 1}.get(unit, 0) if unit in ("day", "hour") else steps * int(unit) / 60
+    slack = int(hours) + 48
+    now = F.lit(as_of).cast("timestamp")
+    kind = events.schema[ts].dataType.simpleString()
+    low, high = (now - F.expr(f"INTERVAL {slack} HOURS")).cast(kind), (now + F.expr("INTERVAL 48 HOURS")).cast(kind)
+    return events.filter((F.col(ts) >= low) & (F.col(ts) <= high))
+
+
 def series(events: DataFrame, ts: str, as_of: str, steps: int, unit: str = "day", zone: str = ZONE) -> DataFrame:
     """(key, count): events by local day, hour or bucket, zero-filled; events outside the range are left out."""
-    counts = events.groupBy(key_of(F.col(ts), unit, zone).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    counts = within(events, ts, as_of, steps, unit).groupBy(key_of(F.col(ts), unit, zone).alias("key")).agg(F.count(F.lit(1)).alias("count"))
     return fill(counts, calendar(events.sparkSession, as_of, steps, unit, zone), "count").select("key", "count")
 
 
 def stacked(events: DataFrame, ts: str, by: str, as_of: str, steps: int, unit: str = "day", zone: str = ZONE) -> DataFrame:
     """(key, by_value map, count): as `series`, with counts by the values of a column."""
-    counts = events.groupBy(key_of(F.col(ts), unit, zone).alias("key"), F.coalesce(by, F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = within(events, ts, as_of, steps, unit).groupBy(key_of(F.col(ts), unit, zone).alias("key"), F.coalesce(by, F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     maps = counts.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("by_value"), F.sum("n").alias("count"))
     grid = calendar(events.sparkSession, as_of, steps, unit, zone)
     empty = F.create_map().cast("map<string,bigint>")

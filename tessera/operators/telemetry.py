@@ -50,9 +50,39 @@ def stats_input(events: DataFrame, accepted: int = NEWEST_ACCEPTED, reviewable:
 
 
 def trim(events: DataFrame, most: int, ts: str = "ts", key: str = "id") -> DataFrame:
-    """The newest `most` events: the retention of an append-only log."""
-    gone = events.select(key, ts).orderBy(F.col(ts).desc(), F.col(key)).offset(most).select(key)
-    return events.join(gone, key, "left_anti")
+    """The newest `most` events, of equally old ones those with the least key: the retention of an append-only log.
+
+    The last one to stay is found by a distributed top-k; then every event is held against it where it lies, so that
+    nothing but its time and key is sent anywhere. Events without a time are the oldest."""
+    dated = F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(-(1 << 40))))
+    newest = events.select(dated.alias("cut_ts"), F.col(key).alias("cut_key")).orderBy(F.col("cut_ts").desc(), "cut_key").limit(most)
+    last = newest.groupBy("cut_ts").agg(F.max("cut_key").alias("cut_key")).orderBy("cut_ts").limit(1)
+    stays = (dated > F.col("cut_ts")) | ((dated == F.col("cut_ts")) & (F.col(key) <= F.col("cut_key")))
+    return events.join(F.broadcast(last), stays, "left_semi")
+
+
+def clear(events: DataFrame) -> DataFrame:
+    """The log after it was emptied: its columns and no rows."""
+    return events.limit(0)
+
+
+def with_columns(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """rows of an older or newer schema with just the wanted columns, cast to their types; missing ones are null."""
+    return rows.select(*[(F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)).alias(c) for c, kind in wanted.items()])
+
+
+def to_rows(events: DataFrame) -> DataFrame:
+    """Normalised events as they are stored: empty texts are null, numbers are whole."""
+    plain = lambda c: text.nullif_empty(F.col(c)).alias(c)
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("int").alias(c)
+    return events.select("id", F.col("ts").alias("event_ts"), "outcome", "category", plain("format_id"), whole("attempt"), "issue_codes", "issue_messages", plain("provider"), plain("model"), "source", F.coalesce(text.nullif_empty(F.col("game_mode")), F.lit("local")).alias("game_mode"))
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """Stored rows as events: null texts are empty, a missing source is ai and a missing mode local."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    return rows.select("id", F.col("event_ts").alias("ts"), "outcome", "category", empty("format_id"), "attempt", listed("issue_codes"), listed("issue_messages"), empty("provider"), empty("model"), F.coalesce("source", F.lit("ai")).alias("source"), F.coalesce("game_mode", F.lit("local")).alias("game_mode"))
 
 
 def _outcomes() -> list[Column]:

@@ -1,4 +1,5 @@
-"""Item validation: rules give arrays of issues, issues give layer scores; content safety; rules mined from evaluations."""
+"""What follows from the issues of items (scores, overrides), repetition, content safety, rules mined from evaluations and
+reports. The rules themselves are in `tessera.operators.items`."""
 
 from __future__ import annotations
 
@@ -10,123 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.numbers import clamp, count_where
-from tessera.operators.bank import TWO_ANSWERS, valid_options_strict
+from tessera.functions.numbers import count_where
+from tessera.operators import items
+from tessera.operators.items import ISSUE
 
-# The points of each layer, the range of difficulties and the limits of lengths by age band, and the
-# thresholds of repetition, near-equal options and rule mining.
+# The points of each layer, and the thresholds of repetition and rule mining.
 LAYERS = {"structural": 10, "format": 12, "age": 12, "difficulty": 8, "category": 8, "ptPt": 10, "semantic": 15, "repetition": 13, "mcOptions": 12}
-DIFFICULTIES = {"6-9": (1, 3), "10-15": (2, 4), "15+": (2, 5)}
-QUESTION_LENGTH = {"6-9": 140, "10-15": 200, "15+": 260}
-GAP_LENGTHS = {"6-9": (105, 12), "10-15": (125, 14), "15+": (145, 16)}
-CURIOSITY_LENGTH = 200
-REPEATED_TEXT, REPEATED_LAST, LEAKED_TOKENS = 0.55, 8, 0.7
-NEAR_EDIT, NEAR_LENGTH = 1, 0.9
+REPEATED_TEXT, REPEATED_LAST = 0.55, 8
 MEDIUM_EVIDENCE, HIGH_EVIDENCE = 3, 8
-DIFFICULTY_CODES = ("DIFFICULTY_RANGE", "DIFFICULTY_TRIVIAL", "DIFFICULTY_HARD", "DIFFICULTY_MISMATCH")
-ENGLISH = ("the", "of", "and", "is", "are", "was", "what", "which", "who", "where", "when", "how", "in", "to", "for", "with")
-ISSUE = "struct<code:string,layer:string,message:string>"
-
-
-def issue(code: str, layer: str, message: str, when: Column) -> Column:
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(layer).alias("layer"), F.lit(message).alias("message")))
-
-
-def issues(*found: Column) -> Column:
-    """The issues that hold, each message once, in their order."""
-    held = F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{ISSUE}>")
-    none = F.array().cast(f"array<{ISSUE}>")
-    return F.aggregate(held, none, lambda kept, x: F.when(F.exists(kept, lambda y: y["message"] == x["message"]), kept).otherwise(F.concat(kept, F.array(x))))
-
-
-def by_age(table: dict, age: Column, position: int | None = None) -> Column:
-    out = F.lit(None)
-    for band, value in table.items():
-        out = F.when(age == band, F.lit(value if position is None else value[position])).otherwise(out)
-    return out
-
-
-def token_share(answer: Column, question: Column) -> Column:
-    """Share of the answer's words that the question holds."""
-    a, q = text.tokens(text.normalize_key(answer)), text.tokens(text.normalize_key(question))
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, q)) / F.size(a)).otherwise(0.0)
-
-
-def leaked(question: Column, answer: Column) -> Column:
-    """Whether the question gives its answer away: contains it, or most of its words."""
-    a = text.normalize_key(answer)
-    held = F.concat(F.lit(" "), text.normalize_key(question), F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
-    return (F.length(a) > 2) & ~a.isin(*TWO_ANSWERS) & (held | (token_share(answer, question) >= LEAKED_TOKENS))
-
-
-def near_equal_options(options: Column) -> Column:
-    """Whether two options differ by one letter at most and hardly in length; years are exempt."""
-    keys = F.transform(options, text.option_key)
-    pair = lambda a, b: (a != b) & ~a.rlike(r"^\d+$") & (F.levenshtein(a, b) <= NEAR_EDIT) & (F.least(F.length(a), F.length(b)) >= NEAR_LENGTH * F.greatest(F.length(a), F.length(b)))
-    return F.exists(keys, lambda a: F.exists(keys, lambda b: pair(a, b)))
-
-
-def obvious_option(options: Column, answer: Column) -> Column:
-    """Whether the answer is more than twice as long as the others are on average."""
-    others = F.filter(options, lambda o: text.normalize(o) != text.normalize(answer))
-    mean = F.aggregate(others, F.lit(0.0), lambda s, o: s + F.length(o), lambda s: s / F.size(others))
-    return (F.size(others) > 0) & (F.length(answer) > 2 * mean) & (F.length(answer) > 20)
-
-
-def foreign_script(x: Column) -> Column:
-    return x.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsCyrillic}\p{IsArabic}\p{IsHangul}]")
-
-
-def mostly_english(x: Column) -> Column:
-    """Whether half of four words or more are English function words."""
-    words = F.split(text.normalize_key(x), " ")
-    return (F.size(words) >= 4) & (F.size(F.filter(words, lambda w: w.isin(*ENGLISH))) >= 0.5 * F.size(words))
-
-
-def estimate_difficulty(question: Column, answer: Column) -> Column:
-    """A guess from 1 to 5 by length of the question, long words, numbers and length of the answer."""
-    words = F.split(text.normalize_key(question), " ")
-    long_ = F.size(F.filter(words, lambda w: F.length(w) >= 10))
-    return clamp(1 + (F.size(words) > 12).cast("int") + (F.size(words) > 20).cast("int") + (long_ >= 2).cast("int") + (F.size(text.years(question)) > 0).cast("int") + (F.size(F.split(F.trim(answer), r"\s+")) >= 3).cast("int"), 1, 5).cast("int")
-
-
-def format_issues(q: Column, a: Column, options: Column, clues: Column, format_: Column, age: Column) -> list[Column]:
-    of = lambda *names: format_.isin(*names)
-    keys = F.transform(clues, text.normalize_key)
-    answer = text.normalize_key(a)
-    before = F.length(F.regexp_extract(q, r"^(.*?)_{2,}", 1))
-    labels = F.transform(options, text.normalize)
-    return [
-        issue("FORMAT_TF_ANSWER", "format", "a resposta tem de ser verdadeiro ou falso", of("VERDADEIRO_FALSO", "CURIOSIDADE") & ~text.normalize(a).isin(*TWO_ANSWERS)),
-        issue("FORMAT_TF_OPTIONS", "format", "as opções têm de ser verdadeiro e falso", of("VERDADEIRO_FALSO", "CURIOSIDADE") & ~((F.size(labels) == 2) & F.array_contains(labels, TWO_ANSWERS[0]) & F.array_contains(labels, TWO_ANSWERS[1]))),
-        issue("FORMAT_CURIOSITY_LONG", "format", "curiosidade demasiado longa", of("CURIOSIDADE") & (F.length(q) > CURIOSITY_LENGTH)),
-        issue("FORMAT_CLUES_FEW", "format", "faltam pistas", of("ADIVINHA") & (F.size(clues) < 2)),
-        issue("FORMAT_CLUES_REPEATED", "format", "pistas repetidas", of("ADIVINHA") & (F.size(F.array_distinct(keys)) < F.size(keys))),
-        issue("FORMAT_CLUES_LEAK", "format", "uma pista revela a resposta", of("ADIVINHA") & (answer != "") & F.exists(keys, lambda c: F.contains(c, answer))),
-        issue("FORMAT_GAP_MISSING", "format", "falta o espaço no fim da frase", of("COMPLETA") & ~q.rlike(r"_{2,}\s*[.?!…]*\s*$")),
-        issue("FORMAT_GAP_LONG", "format", "frase demasiado longa", of("COMPLETA") & ((F.length(q) > by_age(GAP_LENGTHS, age, 0)) | (before < by_age(GAP_LENGTHS, age, 1)))),
-    ]
-
-
-def all_issues(q: Column, a: Column, options: Column, clues: Column, format_: Column, age: Column, difficulty: Column, is_mc: Column, *more: Column) -> Column:
-    """The issues of an item, without those that need other items."""
-    both = F.concat_ws(" ", q, a)
-    low, high = by_age(DIFFICULTIES, age, 0), by_age(DIFFICULTIES, age, 1)
-    found = [
-        issue("STRUCTURE_INCOMPLETE", "structural", "estrutura incompleta", (F.trim(q) == "") | (F.trim(a) == "")),
-        *format_issues(q, a, options, clues, format_, age),
-        issue("AGE_TOO_LONG", "age", "pergunta demasiado longa para a idade", F.length(q) > by_age(QUESTION_LENGTH, age)),
-        issue("DIFFICULTY_RANGE", "difficulty", "dificuldade fora da faixa", ~difficulty.between(low, high)),
-        issue("DIFFICULTY_MISMATCH", "difficulty", "dificuldade diferente da estimada", F.abs(estimate_difficulty(q, a) - difficulty) >= 3),
-        issue("PT_SCRIPT", "ptPt", "escrita inválida", foreign_script(both)),
-        issue("PT_ENGLISH", "ptPt", "texto em inglês", mostly_english(both)),
-        issue("SEMANTIC_LEAK", "semantic", "a pergunta revela a resposta", leaked(q, a)),
-        issue("MC_INVALID", "mcOptions", "opções inválidas", is_mc & ~valid_options_strict(options, format_, a)),
-        issue("MC_NEAR_DUPLICATE", "mcOptions", "opções quase iguais", is_mc & near_equal_options(options)),
-        issue("MC_OBVIOUS", "mcOptions", "resposta demasiado óbvia", is_mc & obvious_option(options, a)),
-        *more,
-    ]
-    return issues(*found)
 
 
 def has_layer(found: Column, layer: str) -> Column:
@@ -147,25 +39,35 @@ def score(found: Column) -> Column:
 
 
 def only_difficulty(found: Column) -> Column:
-    return (F.size(found) > 0) & F.forall(found, lambda i: i["code"].isin(*DIFFICULTY_CODES))
-
-
-def drop_overridden(items: DataFrame, overrides: DataFrame, column: str = "issues", key: str = "id") -> DataFrame:
-    """items with the issues that no override matches; an override's null code, message, age or format matches all. The
-    table of overrides is small and is the broadcast side."""
-    each = items.select(key, "age_band", "format", F.posexplode(column).alias("pos", "i"))
-    o = F.broadcast(overrides.select(*[F.col(c).alias(f"o_{c}") for c in ("code", "message", "age_band", "format")]))
-    free = lambda c, x: F.col(f"o_{c}").isNull() | (F.col(f"o_{c}") == x)
-    left = each.join(o, free("code", F.col("i.code")) & free("message", F.col("i.message")) & free("age_band", F.col("age_band")) & free("format", F.col("format")), "left_anti")
-    kept = left.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i"))), lambda x: x["i"]).alias("_kept"))
-    return items.join(kept, key, "left").withColumn(column, F.coalesce("_kept", F.array().cast(f"array<{ISSUE}>"))).drop("_kept")
-
-
-def repeated_texts(items: DataFrame, question: str = "question", part: str = "session", order: str = "position") -> DataFrame:
-    """items with `repeats`: whether a question is similar to one of the last eight of its session."""
+    return items.only_difficulty(F.transform(found, lambda i: i["code"]))
+
+
+def drop_overridden(judged: DataFrame, overrides: DataFrame, column: str = "issues", key: str = "id") -> DataFrame:
+    """judged items with the issues that no override matches; an override's null code, message, age or format matches all.
+
+    An override says in `mask` which of the four it names; for each of the masks in use there is an equi-join on what
+    those name, so nothing has to be small enough to be broadcast."""
+    parts = {"code": F.col("i.code"), "message": F.col("i.message"), "age_band": F.col("age_band"), "format": F.col("format")}
+    bits = [F.when(F.col(c).isNotNull(), 1 << k).otherwise(0) for k, c in enumerate(parts)]
+    named = overrides.select(*parts, sum(bits[1:], bits[0]).alias("mask"))
+    masks = sorted(r["mask"] for r in named.select("mask").distinct().collect())  # sixteen at most
+    each = judged.select(key, "age_band", "format", F.posexplode(column).alias("pos", "i"))
+    for mask in masks:
+        keys = [c for k, c in enumerate(parts) if mask >> k & 1]
+        chosen = named.filter(F.col("mask") == mask).select(*[F.col(c).alias(f"o_{c}") for c in keys], F.lit(1).alias("o_any")).distinct()
+        same = F.lit(1) == F.col("o_any")
+        for c in keys:
+            same = same & (parts[c] == F.col(f"o_{c}"))
+        each = each.join(chosen, same, "left_anti") if keys else each.limit(0)
+    kept = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i"))), lambda x: x["i"]).alias("_kept"))
+    return judged.join(kept, key, "left").withColumn(column, F.coalesce("_kept", F.array().cast(f"array<{ISSUE}>"))).drop("_kept")
+
+
+def repeated_texts(asked: DataFrame, question: str = "question", part: str = "session", order: str = "position") -> DataFrame:
+    """asked with `repeats`: whether a question is similar to one of the last eight of its session."""
     words = text.tokens(text.normalize_key(F.col(question)))
     recent = F.collect_list("_words").over(W.partitionBy(part).orderBy(order).rowsBetween(-REPEATED_LAST, -1))
-    held = items.withColumn("_words", words).withColumn("_recent", recent)
+    held = asked.withColumn("_words", words).withColumn("_recent", recent)
     return held.withColumn("repeats", F.exists("_recent", lambda w: text.jaccard(w, F.col("_words")) >= REPEATED_TEXT)).drop("_words", "_recent")
 
 
@@ -232,6 +134,27 @@ def layer_outcome(engine: Column, human: Column, most: Column) -> Column:
     )
 
 
+def layer_matrix(engine: Column, human: Column) -> Column:
+    """Of each layer that either side gives points for: (layer, engine, human, most, result); a person who says nothing
+    of a layer agrees with the engine."""
+    rows = []
+    for layer, most in LAYERS.items():
+        motor, said = (F.try_element_at(m, F.lit(layer)).cast("double") for m in (engine, human))
+        person = F.coalesce(said, motor)
+        row = F.struct(F.lit(layer).alias("layer"), motor.alias("engine"), person.alias("human"), F.lit(most).alias("most"), layer_outcome(motor, person, F.lit(most)).alias("result"))
+        rows.append(F.when(motor.isNotNull() | said.isNotNull(), row))
+    return F.array_compact(F.array(*rows))
+
+
+def rules_by_category(rules: DataFrame) -> DataFrame:
+    """(group, rules, evidence) of active rules by the category of their scope: rules of layers are `motor`, those
+    without a category `*`; in each the high ones first, then by evidence and confidence."""
+    group = F.when(F.col("type") == "layer", "motor").otherwise(F.coalesce(text.nullif_empty(F.trim("category")), F.lit("*")))
+    kept = rules.filter(F.coalesce("active", F.lit(True)) & (F.col("type") != "quality")).withColumn("group", group)
+    order = F.struct((F.col("level") != "high").alias("low"), (-F.col("evidence")).alias("e"), (-F.col("confidence")).alias("c"), F.col("rule_key").alias("rule_key"))
+    return kept.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["rule_key"]).alias("rules"), F.sum("evidence").alias("evidence"))
+
+
 def derive_rules(evaluations: DataFrame, medium: int = MEDIUM_EVIDENCE, high: int = HIGH_EVIDENCE) -> DataFrame:
     """(rule_key, type, evidence, confidence, level) from (id, age, format, issues, field_errors, engine_layers,
     human_layers): keys for issues, corrected fields and layers, kept with enough evidence."""

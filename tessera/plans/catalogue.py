@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +9,11 @@ from tessera.functions import localtime, text
 from tessera.operators import bank as bank_ops
 from tessera.operators import games, knowledge, series, telemetry, usage
 from tessera.plans import adapters as a
+from tessera.plans import records as _records  # noqa: F401  registers its queries
+from tessera.plans.registry import AS_OF, AS_OF_LOCAL, ORACLE_SQL, QUERIES, query
 from tessera.sources import markup
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-#: Everything that looks back does so from here.
-AS_OF = "2024-01-30 12:34:56"
-AS_OF_LOCAL = "2024-01-30 12:34:56"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 # --- games -----------------------------------------------------------------------------------------------------
 
@@ -73,7 +57,7 @@ FROM x GROUP BY game_id
 """
 )
 def game_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.flat_frames(spark, sf_dir)
+    normal, _, events = a.game_frames(spark, sf_dir)
     return games.game_stats(normal, events).select("game_id", "mode", "rounds_total", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", "duration_ms")
 
 
@@ -98,6 +82,7 @@ ORACLE_SQL["games_summary"] = ORACLE_SQL["nested_games_summary"]
 
 @query()
 def games_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From games that are stored flat, the other kind of input."""
     normal, _, events = a.flat_frames(spark, sf_dir)
     row = games.games_summary(games.game_stats(normal, events))
     return row.select("games_total", "rounds_total", "single_games", "multiplayer_games", "answers_total", "correct_total", "accuracy_pct", "avg_rounds_per_game")
@@ -137,7 +122,7 @@ LEFT JOIN worst ON worst.player_id = p.player_id AND worst.k = 1
 """
 )
 def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, events = a.flat_frames(spark, sf_dir)
+    _, _, events = a.game_frames(spark, sf_dir)
     rows = games.player_stats(games.single_player(events))
     return rows.select("player_id", "games_played", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", "display_name", F.col("best_category.category").alias("best_category"), F.col("worst_category.category").alias("worst_category"))
 
@@ -154,7 +139,7 @@ FROM x JOIN t USING (category_n) GROUP BY category_n
 """
 )
 def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.flat_frames(spark, sf_dir)
+    _, flat, events = a.game_frames(spark, sf_dir)
     rows = games.category_stats(flat, events)
     top = F.array_join(F.transform("top_formats", lambda t: F.concat(t["format"], F.lit("="), t["count"].cast("string"))), ",")
     return rows.select("category_n", "rounds_presented", "answers_total", "correct_total", "accuracy_pct", top.alias("top_formats"))
@@ -169,7 +154,7 @@ SELECT age_band, count(*) AS rounds_presented, count(*) AS answers_total, count(
 """
 )
 def age_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.flat_frames(spark, sf_dir)
+    _, flat, events = a.game_frames(spark, sf_dir)
     return games.age_band_stats(flat, events).select("age_band", "rounds_presented", "answers_total", "correct_total", "accuracy_pct", "avg_response_ms", F.col("band_order").cast("int").alias("band_order"))
 
 
@@ -191,13 +176,13 @@ def _questions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(ANSWERS + QUESTIONS.format(keys="question_key"))
 def question_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.flat_frames(spark, sf_dir)
+    _, flat, events = a.game_frames(spark, sf_dir)
     return _questions(games.question_stats(flat, events), ["question_key"])
 
 
 @query(ANSWERS + QUESTIONS.format(keys="question_key, age_band"))
 def question_stats_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.flat_frames(spark, sf_dir)
+    _, flat, events = a.game_frames(spark, sf_dir)
     return _questions(games.question_stats(flat, events, by_age_band=True), ["question_key", "age_band"])
 
 
@@ -211,7 +196,7 @@ UNION ALL SELECT age_band, 'worst', question_key, acc FROM r WHERE w = 1
 """
 )
 def question_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, flat, events = a.flat_frames(spark, sf_dir)
+    _, flat, events = a.game_frames(spark, sf_dir)
     rows = games.question_stats(flat, events, by_age_band=True)
     return games.extremes(rows, [F.col("answers_total").desc(), F.col("ordinal")], ["age_band"]).select("age_band", "extreme", "question_key", "accuracy_pct")
 
@@ -225,7 +210,7 @@ SELECT player_id, max(run) AS best_streak, arg_max(run, island) AS current_strea
 """
 )
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, events = a.flat_frames(spark, sf_dir)
+    _, _, events = a.game_frames(spark, sf_dir)
     return games.streaks(events).select("player_id", "best_streak", "current_streak")
 
 
@@ -238,19 +223,66 @@ UNION ALL SELECT game_id, 'match_devices', 1.0, sum(n)::BIGINT FROM r GROUP BY g
 """
 )
 def room_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.flat_frames(spark, sf_dir)
+    normal, _, events = a.game_frames(spark, sf_dir)
     return games.match_insights(normal, events).filter("type IN ('match_accuracy', 'match_devices')").select("game_id", "type", "value", "answers")
 
 
-@query()
+FIRST_NAME = "coalesce(arg_min(nickname, (game_id, pos)) FILTER (nickname <> ''), CASE WHEN length(player_id) >= 4 THEN 'Jogador ' || upper(right(player_id, 4)) ELSE 'Jogador' END)"
+NAME = "coalesce(nullif(any_value(nickname), ''), CASE WHEN length(player_id) >= 4 THEN 'Jogador ' || upper(right(player_id, 4)) ELSE 'Jogador' END)"
+
+
+@query(
+    ANSWERS
+    + f"""
+, room AS (SELECT game_id, count(*) AS n, count(*) FILTER (correct) AS c, floor(sum(ms) / count(*) + 0.5) AS pace, count(DISTINCT player_id) AS players FROM x WHERE mode = 'multiplayer' GROUP BY game_id),
+p AS (SELECT game_id, player_id, {NAME} AS name, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, floor(sum(ms) / count(*) + 0.5) AS pace, min(pos) AS first FROM x WHERE mode <> 'multiplayer' GROUP BY game_id, player_id),
+c AS (SELECT game_id, player_id, category_n, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, min(pos) AS first FROM x WHERE mode <> 'multiplayer' GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY acc DESC, n DESC, first) AS k FROM c) WHERE k = 1 AND n >= 2),
+i AS (SELECT *, sum((NOT correct)::INT) OVER (PARTITION BY game_id, player_id ORDER BY answered_at, round, pos ROWS UNBOUNDED PRECEDING) AS island FROM x WHERE mode <> 'multiplayer'),
+s AS (SELECT game_id, player_id, any_value(nickname) AS nickname, island, count(*) FILTER (correct) AS run, min(pos) AS first FROM i GROUP BY game_id, player_id, island),
+t AS (SELECT game_id, player_id, {NAME} AS name, max(run) AS run, min(first) AS first FROM s GROUP BY game_id, player_id),
+r AS (SELECT game_id, round, count(*) AS n, count(*) FILTER (correct) AS c, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, min(pos) AS first, arg_min('Quêstão <b>' || split_part(split_part(question_key, ' ', 2), ':', 1) || '</b>', pos) AS question FROM x GROUP BY ALL)
+SELECT game_id, 'match_accuracy' AS type, NULL::VARCHAR AS subject, {PCT.format("c", "n")} AS value, n AS answers FROM room
+UNION ALL SELECT game_id, 'match_pace', NULL, pace, n FROM room UNION ALL SELECT game_id, 'match_devices', NULL, players, n FROM room
+UNION ALL SELECT game_id, 'accuracy_leader', name, acc, n FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY n DESC, first) AS k FROM p) WHERE k = 1
+UNION ALL SELECT game_id, 'fastest', name, pace, n FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY pace, n DESC, first) AS k FROM p) WHERE k = 1
+UNION ALL SELECT game_id, 'category_dominance', category_n || '. Tema', acc, n FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY acc DESC, first) AS j FROM best) WHERE j = 1
+UNION ALL SELECT game_id, 'streak', name, run, run FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY run DESC, first) AS k FROM t WHERE run >= 2) WHERE k = 1
+UNION ALL SELECT game_id, 'hardest_question', question, acc, n FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY acc, first) AS k FROM r) WHERE k = 1 AND n >= 2
+UNION ALL SELECT game_id, 'split_question', question, c, n FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY n DESC, first) AS k FROM r WHERE n >= 2 AND abs(c - (n - c)) <= 1) WHERE k = 1
+"""
+)
 def match_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, _, events = a.flat_frames(spark, sf_dir)
+    normal, _, events = a.game_frames(spark, sf_dir)
     return games.match_insights(normal, events)
 
 
-@query()
+@query(
+    ANSWERS
+    + f"""
+, g AS (SELECT game_id, any_value(mode) AS mode, count(*) AS n FROM x GROUP BY game_id),
+q AS (SELECT question_key, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, min((game_id, pos)) AS first FROM x GROUP BY question_key HAVING count(*) >= 3),
+hard AS (SELECT * FROM q ORDER BY acc, n DESC, first LIMIT 1), easy AS (SELECT * FROM q ORDER BY acc DESC, n, first DESC LIMIT 1),
+c AS (SELECT category_n || '. Tema' AS category, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, min((game_id, pos)) AS first FROM x GROUP BY category_n),
+top AS (SELECT * FROM c ORDER BY n DESC, first LIMIT 1), weak AS (SELECT * FROM c WHERE n >= 3 ORDER BY acc, n DESC, first LIMIT 1),
+b AS (SELECT age_band, CASE age_band WHEN '6-9' THEN 0 WHEN '10-15' THEN 1 WHEN '15+' THEN 2 ELSE 3 END AS place, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc FROM x GROUP BY age_band HAVING count(*) >= 3),
+high AS (SELECT * FROM b ORDER BY acc DESC, place LIMIT 1), low AS (SELECT * FROM b ORDER BY acc, place LIMIT 1),
+p AS (SELECT player_id, {FIRST_NAME} AS name, count(*) AS n, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS acc, min((game_id, pos)) AS first FROM x WHERE mode <> 'multiplayer' GROUP BY player_id HAVING count(*) >= 3),
+i AS (SELECT *, sum((NOT correct)::INT) OVER (PARTITION BY player_id ORDER BY answered_at, game_id, round, pos ROWS UNBOUNDED PRECEDING) AS island FROM x WHERE mode <> 'multiplayer'),
+s AS (SELECT player_id, arg_min(nickname, (game_id, pos)) FILTER (nickname <> '') AS nickname, island, count(*) FILTER (correct) AS run, min((game_id, pos)) AS first FROM i GROUP BY player_id, island),
+t AS (SELECT player_id, coalesce(arg_min(nickname, first) FILTER (nickname IS NOT NULL), 'Jogador') AS name, max(run) AS run FROM s GROUP BY player_id HAVING max(run) >= 2)
+SELECT 'corpus_overview' AS type, (SELECT count(*) FROM g)::VARCHAR AS subject, {PCT.format("count(*) FILTER (correct)", "count(*)")} AS value, count(*) AS answers FROM x
+UNION ALL SELECT 'games_split', (SELECT count(*) FROM g WHERE mode = 'multiplayer')::VARCHAR, (SELECT count(*) FROM g WHERE mode = 'single')::DOUBLE, count(*) FROM x
+UNION ALL SELECT 'global_pace', NULL, floor(sum(ms) / count(*) + 0.5), count(*) FROM x
+UNION ALL SELECT 'global_hardest_question', question_key, acc, n FROM hard UNION ALL SELECT 'global_easiest_question', question_key, acc, n FROM easy WHERE question_key NOT IN (SELECT question_key FROM hard)
+UNION ALL SELECT 'top_category', category, acc, n FROM top UNION ALL SELECT 'weakest_category', category, acc, n FROM weak WHERE n >= 5 AND category NOT IN (SELECT category FROM top)
+UNION ALL SELECT 'best_age_band', age_band, acc, n FROM high UNION ALL SELECT 'weakest_age_band', age_band, acc, n FROM low WHERE n >= 5 AND age_band NOT IN (SELECT age_band FROM high)
+UNION ALL (SELECT 'global_top_player', name, acc, n FROM p ORDER BY n DESC, first LIMIT 1)
+UNION ALL (SELECT 'global_best_streak', name, run, run FROM t ORDER BY run DESC, player_id LIMIT 1)
+"""
+)
 def global_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return games.global_insights(*a.flat_frames(spark, sf_dir))
+    return games.global_insights(*a.game_frames(spark, sf_dir))
 
 
 # --- series and telemetry --------------------------------------------------------------------------------------
@@ -703,12 +735,47 @@ def riddle_dedupe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.dedupe_plan(a.facts(spark, sf_dir), riddles=True, curiosities=False).select("knowledge_id", "keeper", "reason")
 
 
-@query()
+#: Pairs of similar facts of a topic, and a greedy pass in order of id as a recursion over the places of the ids: a
+#: record is a seed if no earlier neighbour is one.
+SIMILAR = """
+, near AS (SELECT x.knowledge_id AS a, y.knowledge_id AS b FROM words x JOIN words y ON x.knowledge_id < y.knowledge_id AND x.topic = y.topic AND x.topic = 'curiosidade surpreendente'
+  WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72)
+"""
+GREEDY = """
+, n AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM ids), e AS (SELECT b AS id, list(a) AS earlier FROM edges GROUP BY b),
+o AS (SELECT n.place, n.id, coalesce(earlier, []) AS earlier FROM n LEFT JOIN e ON e.id = n.id),
+pass(place, seeds) AS (
+  SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+  SELECT o.place, CASE WHEN list_has_any(pass.seeds, o.earlier) THEN pass.seeds ELSE list_append(pass.seeds, o.id) END FROM pass JOIN o ON o.place = pass.place + 1
+), seeds AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM pass ORDER BY place DESC LIMIT 1))
+"""
+
+
+@query(FACTS.replace("WITH facts", "WITH RECURSIVE facts") + SIMILAR + """
+, s AS (SELECT f.*, CASE source WHEN 'Wikidata' THEN 45 WHEN 'manual' THEN 80 WHEN 'sample' THEN 10 ELSE 30 END * 1000 + 300 + priority AS score FROM facts f WHERE is_active AND topic = 'curiosidade surpreendente'),
+exact AS (SELECT knowledge_id, first_value(knowledge_id) OVER (PARTITION BY key ORDER BY score DESC, knowledge_id) AS keeper, count(*) OVER (PARTITION BY key) AS n FROM s),
+alone AS (SELECT knowledge_id FROM exact WHERE n = 1), ids AS (SELECT knowledge_id AS id FROM alone),
+edges AS (SELECT a, b FROM near WHERE a IN (SELECT knowledge_id FROM alone) AND b IN (SELECT knowledge_id FROM alone))
+""" + GREEDY + """
+, member AS (SELECT b AS id, min(a) AS seed FROM edges WHERE a IN (SELECT seed FROM seeds) AND b NOT IN (SELECT seed FROM seeds) GROUP BY b UNION ALL SELECT seed, seed FROM seeds),
+kept AS (SELECT m.id, first_value(s.knowledge_id) OVER (PARTITION BY m.seed ORDER BY score DESC, s.knowledge_id) AS keeper FROM member m JOIN s ON s.knowledge_id = m.id)
+SELECT knowledge_id, keeper, 'exact_fact' AS reason FROM exact WHERE knowledge_id <> keeper
+UNION ALL SELECT id, keeper, 'similar_fact' FROM kept WHERE id <> keeper
+""")
 def curiosity_dedupe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.dedupe_plan(a.facts(spark, sf_dir)).select("knowledge_id", "keeper", "reason")
 
 
-@query()
+@query(FACTS.replace("WITH facts", "WITH RECURSIVE facts") + """
+, new AS (SELECT * FROM facts WHERE k % 3 <> 0), old AS (SELECT * FROM facts WHERE k % 3 = 0 AND is_active),
+repeated AS (SELECT n.knowledge_id FROM new n JOIN old o ON n.key = o.key AND n.topic = o.topic
+  UNION SELECT x.knowledge_id FROM words x JOIN words y ON x.topic = y.topic AND x.k % 3 <> 0 AND y.k % 3 = 0 AND y.is_active JOIN facts fx ON fx.k = x.k JOIN facts fy ON fy.k = y.k
+    WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72 AND (x.topic = 'curiosidade surpreendente' OR fx.answer = fy.answer)),
+ids AS (SELECT knowledge_id AS id FROM new WHERE knowledge_id NOT IN (SELECT knowledge_id FROM repeated)),
+edges AS (SELECT x.knowledge_id AS a, y.knowledge_id AS b FROM new x JOIN new y ON x.key = y.key AND x.topic = y.topic AND x.knowledge_id < y.knowledge_id WHERE x.knowledge_id IN (SELECT id FROM ids) AND y.knowledge_id IN (SELECT id FROM ids)
+  UNION SELECT x.knowledge_id, y.knowledge_id FROM words x JOIN words y ON x.knowledge_id < y.knowledge_id AND x.topic = y.topic AND x.topic = 'curiosidade surpreendente'
+    WHERE x.knowledge_id IN (SELECT id FROM ids) AND y.knowledge_id IN (SELECT id FROM ids) AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72)
+""" + GREEDY + "SELECT knowledge_id, knowledge_id IN (SELECT seed FROM seeds) AS accepted FROM new")
 def accepted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.facts(spark, sf_dir)
     number = F.substring("knowledge_id", 2, 20).cast("int")
@@ -716,13 +783,22 @@ def accepted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FACTS + """
-, r AS (SELECT * FROM facts WHERE k % 7 = 0), o AS (SELECT *, 'S' || (k % 400) AS source_id FROM facts WHERE k % 7 <> 0), rs AS (SELECT DISTINCT source, 'S' || (k % 400) AS source_id FROM r)
-SELECT o.knowledge_id, CASE WHEN rs.source IS NOT NULL THEN 'same_source' WHEN o.key IN (SELECT key FROM r) THEN 'same_fact' END AS rejection FROM o LEFT JOIN rs ON rs.source = o.source AND rs.source_id = o.source_id
+, w AS (SELECT *, 'S' || (k % 400) AS source_id, CASE WHEN k % 3 = 0 THEN 'Q' || (k % 60) ELSE '' END AS qid, CASE WHEN k % 2 = 0 THEN 'p' || (k % 4) ELSE '' END AS fact_key, list_distinct(list_filter(string_split(key, ' '), lambda t: length(t) > 2)) AS words FROM facts),
+r AS (SELECT * FROM w WHERE k % 7 = 0), o AS (SELECT * FROM w WHERE k % 7 <> 0 OR k % 5 = 0)
+SELECT o.knowledge_id, CASE WHEN o.knowledge_id IN (SELECT knowledge_id FROM r) THEN 'same_id'
+  WHEN EXISTS (SELECT 1 FROM r WHERE r.source = o.source AND r.source_id = o.source_id) THEN 'same_source'
+  WHEN o.key IN (SELECT key FROM r) THEN 'same_fact'
+  WHEN o.qid <> '' AND o.fact_key <> '' AND EXISTS (SELECT 1 FROM r WHERE r.qid = o.qid AND r.fact_key = o.fact_key) THEN 'same_property'
+  WHEN o.qid <> '' AND EXISTS (SELECT 1 FROM r WHERE r.qid = o.qid AND len(list_intersect(r.words, o.words)) / (len(r.words) + len(o.words) - len(list_intersect(r.words, o.words))) >= 0.3) THEN 'similar_fact' END AS rejection FROM o
 """)
 def rejected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = a.facts(spark, sf_dir).withColumns({"qid": F.lit(""), "fact_key": F.lit("")}).select("knowledge_id", "source", "source_id", "qid", "fact_key", "fact")
-    number = F.substring("knowledge_id", 2, 20).cast("int")
-    return knowledge.rejection_reasons(rows.filter(number % 7 != 0), rows.filter(number % 7 == 0)).select("knowledge_id", "rejection")
+    """Facts against rejected ones, with each of the five reasons; similar is 0.3 here, since the facts have few words in
+    common."""
+    k = F.substring("knowledge_id", 2, 20).cast("int")
+    qid = F.when(k % 3 == 0, F.concat(F.lit("Q"), (k % 60).cast("string"))).otherwise("")
+    rows = a.facts(spark, sf_dir).withColumns({"qid": qid, "fact_key": F.when(k % 2 == 0, F.concat(F.lit("p"), (k % 4).cast("string"))).otherwise("")})
+    rows = rows.select("knowledge_id", "source", "source_id", "qid", "fact_key", "fact")
+    return knowledge.rejection_reasons(rows.filter((k % 7 != 0) | (k % 5 == 0)), rows.filter(k % 7 == 0), threshold=0.3).select("knowledge_id", "rejection")
 
 
 @query("""

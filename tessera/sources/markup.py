@@ -134,3 +134,53 @@ def merge_stores(*stores: DataFrame, key: str = "question_hash") -> DataFrame:
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     first = F.row_number().over(W.partitionBy(key).orderBy("_store"))
     return out.withColumn("_at", first).filter("_at = 1").drop("_at", "_store")
+
+
+# --- lists of riddles on web pages --------------------------------------------------------------------------------
+
+#: How each kind of page writes question and answer (two groups), and the least length of a question.
+#: Numbered lists with the answer on a line of its own, questions with "Resposta:", and structured data.
+LISTS = {
+    "numbered": (r"(?:^|\n)\s*\d+\.\s+([\s\S]*?)\n\s*([A-ZÀ-Ú][^\n.]{1,80})\.", 15),
+    "answered": (r"(?i)([^\n?]{12,}\?)\s*\n\s*Resposta:\s*([^\n.]+)", 12),
+    "structured": (r'"@type":"Question","name":"((?:\\.|[^"\\])*)","text":"(?:\\.|[^"\\])*","inLanguage":"pt-PT","acceptedAnswer":\{"@type":"Answer","text":"((?:\\.|[^"\\])*)"\}', 10),
+}
+
+
+def riddle_list(df: DataFrame, html: str, kind: str) -> DataFrame:
+    """df with one row for each (question, answer) of a page that lists riddles in one of the known ways."""
+    pattern, least = LISTS[kind]
+    text = F.col(html) if kind == "structured" else strip_html(F.col(html))
+    both = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    plain = lambda x: squeeze(F.replace(F.replace(x, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit(" ")))
+    kept = [c for c in df.columns if c != html]
+    rows = df.select(*kept, F.explode(F.arrays_zip(both(1).alias("q"), both(2).alias("a"))).alias("x"))
+    rows = rows.select(*kept, plain(F.col("x.q")).alias("question"), plain(F.col("x.a")).alias("answer"))
+    return rows.filter((F.length("question") >= least) & (F.col("answer") != "") & ~F.lower("question").isin("resposta"))
+
+
+def catalogue_ids(html: Column) -> Column:
+    """Distinct record numbers of a catalogue's list of hits, in their order."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)[?&]bib(?:id)?=(\d+)"), F.lit(1)))
+
+
+def usable_label(label: Column) -> Column:
+    """Whether a label names something: 3 to 80 characters, a letter, no number of an entity and no brackets."""
+    t = F.trim(F.coalesce(label, F.lit("")))
+    return F.length(t).between(3, 80) & ~t.rlike(r"(?i)^Q\d+$") & ~t.rlike(r"[()]") & t.rlike("(?iu)[a-záàâãéêíóôõúç]")
+
+
+def holds_words(text: Column, words: Column) -> Column:
+    """Whether a text holds one of some words (of two letters or more); without any it does."""
+    from tessera.functions.text import normalize_key
+
+    sought = F.filter(F.transform(words, normalize_key), lambda w: F.length(w) >= 2)
+    return (F.size(sought) == 0) | F.exists(sought, lambda w: F.contains(normalize_key(text), w))
+
+
+def search_score(label: Column, classes: Column, word: Column) -> Column:
+    """How well an entity answers a search: by its classes, its whole label, the label's start or a part of it."""
+    w, name = F.lower(F.trim(word)), F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    hit = F.exists(classes, lambda c: F.lower(F.trim(c)) == w)
+    begins = F.startswith(name, F.concat(w, F.lit(" "))) | F.startswith(name, F.concat(w, F.lit("-")))
+    return F.when((w == "") | (name == ""), 0).when(hit & (name != w), 90).when(name == w, 80).when(begins, 40).when(F.contains(name, w), 15).otherwise(5)

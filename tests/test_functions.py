@@ -119,3 +119,66 @@ def test_stores_are_merged_by_priority(spark, tmp_path):
     assert got == {"h": ("a", None), "i": ("c", 2)}
     (tmp_path / "q.json").write_text('{"items": [{"queueId": "1", "status": "pending"}, {"queueId": "2", "status": "imported"}]}')
     assert [r["queueId"] for r in markup.queue_file(spark, str(tmp_path / "q.json")).orderBy("position").collect()] == ["1", "2"]
+
+
+@pytest.mark.parametrize(
+    ("written", "begins", "ends"),
+    [
+        ("2024-07-01", "2024-06-30 23:00:00", "2024-07-01 23:00:00"),
+        ("2024-07-01T10", "2024-07-01 09:00:00", "2024-07-01 10:00:00"),
+        ("2024-07-01 10:20", "2024-07-01 09:20:00", "2024-07-01 09:21:00"),
+        ("2024-01-01T10:20:30", "2024-01-01 10:20:30", "2024-01-01 10:20:31"),
+        ("2024-01-01T00:00", "2024-01-01 00:00:00", "2024-01-02 00:00:00"),
+        ("yesterday", "None", "None"),
+    ],
+)
+def test_written_local_times(spark, written, begins, ends):
+    assert str(value(spark, localtime.instant(F.lit(written)))) == begins
+    assert str(value(spark, localtime.exclusive_end(F.lit(written)))) == ends
+
+
+def test_series_bound_the_scan(spark, tmp_path):
+    spark.createDataFrame([("2024-01-10 00:00:00",), ("2023-01-10 00:00:00",)], "t string").select(F.to_timestamp("t").alias("ts")).write.parquet(f"{tmp_path}/e")
+    plan = series.series(spark.read.parquet(f"{tmp_path}/e"), "ts", "2024-01-10 12:00:00", 3)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
+
+
+def test_free_keys_and_labels(spark):
+    from tessera.functions import keys, places
+
+    key = lambda q, a: value(spark, keys.knowledge_key(F.lit(q), F.lit(a)))
+    assert key("Qual é a capital de França?", "Paris") == "capital paris"
+    assert key("Que rio passa em Lisboa?", "Tejo") == "tejo rio passa"
+    assert key("Curiosidade: O mel dura. Verdadeiro ou falso?", "Verdadeiro") == "o mel dura"
+    assert key("Quem pintou a Guernica?", "Picasso") == "picasso"
+    assert value(spark, keys.without_label(F.lit("Adivinha: o que é?"))) == "o que é?"
+    assert value(spark, places.canonical(F.lit("de MOSCOU a New york e Roma"))) == "de MOSCOVO a Nova Iorque e Roma"
+    assert value(spark, places.mismatch(F.lit("Onde fica Moscow?"), F.lit("Moscovo"))) == "Moscovo"
+    assert value(spark, markup.usable_label(F.lit("Q123"))) is False and value(spark, markup.usable_label(F.lit("Rio Tejo"))) is True
+    assert value(spark, markup.search_score(F.lit("Rio Tejo"), F.array(F.lit("rio")), F.lit("rio"))) == 90
+
+
+def test_pages_that_list_riddles(spark):
+    numbered = "<p>1. Tem dentes e não come, o que é?</p><p>Pente.</p><p>2. Curta?</p><p>Não.</p>"
+    stored = '{"@type":"Question","name":"Tem \\\\"dentes\\\\" e não come?","text":"x","inLanguage":"pt-PT","acceptedAnswer":{"@type":"Answer","text":"Pente"}}'.replace("\\\\", "\\")
+    pages = spark.createDataFrame([(1, numbered)], "k int, html string")
+    assert [(r["question"], r["answer"]) for r in markup.riddle_list(pages, "html", "numbered").collect()] == [("Tem dentes e não come, o que é?", "Pente")]
+    pages = spark.createDataFrame([(1, stored)], "k int, html string")
+    assert [(r["question"], r["answer"]) for r in markup.riddle_list(pages, "html", "structured").collect()] == [('Tem "dentes" e não come?', "Pente")]
+
+
+def test_no_folder_is_guessed_on_a_cluster(spark, monkeypatch):
+    from tessera.functions import lineage
+
+    class Elsewhere:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})()
+
+    with pytest.raises(ValueError):
+        lineage.cut(type("D", (), {"sparkSession": Session()})())

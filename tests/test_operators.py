@@ -202,22 +202,117 @@ def test_usage_sums_start_anew_each_day(spark):
 # --- validation ------------------------------------------------------------------------------------------------
 
 
-def test_issues_and_scores(spark):
-    kind = "q string, a string, options array<string>, clues array<string>, format string, age string, difficulty int, mc boolean"
-    items = [
-        ("Qual é o maior rio?", "Amazonas", ["Amazonas", "Tejo", "Douro", "Nilo"], [], "ESCOLHA", "10-15", 3, True),
-        ("", "x", [], [], "ESCOLHA", "10-15", 3, False),
-        ("O rio Amazonas chama-se como?", "Amazonas", ["Amazonas", "Amazonaz", "Douro", "Nilo"], [], "ESCOLHA", "6-9", 5, True),
-        ("What is the name of the river in the north?", "Douro", [], [], "X", "15+", 3, False),
-        ("Sou redondo", "bola", [], ["sou bola", "sou bola"], "ADIVINHA", "6-9", 2, False),
-        ("Это вопрос", "да", [], [], "X", "15+", 3, False),
-    ]
-    df = spark.createDataFrame(items, kind).withColumn("i", validation.all_issues(*[F.col(c) for c in ("q", "a", "options", "clues", "format", "age", "difficulty", "mc")]))
-    got = [({x["code"] for x in r["i"]}, r["s"]) for r in df.withColumn("s", validation.score(F.col("i"))).collect()]
-    assert got[0] == (set(), 100) and got[1][1] == 0
-    assert got[2][0] >= {"SEMANTIC_LEAK", "MC_NEAR_DUPLICATE", "DIFFICULTY_RANGE"} and got[2][1] <= 65
-    assert "PT_ENGLISH" in got[3][0] and "PT_SCRIPT" in got[5][0]
-    assert got[4][0] >= {"FORMAT_CLUES_REPEATED", "FORMAT_CLUES_LEAK"}
+ITEMS = "id int, question string, answer string, options array<string>, clues array<string>, format string, age_band string, difficulty int, category_n int, is_mc boolean"
+CAPITAL = {"question": "Qual é a capital de Portugal?", "answer": "Lisboa", "options": ["Lisboa", "Porto", "Braga", "Faro"], "clues": [], "format": "RESPOSTA_DIRETA", "age_band": "15+", "difficulty": 2, "category_n": 2, "is_mc": True}
+#: What of an item is changed, and the codes or parts of messages that its issues then have; a leading - means without.
+CASES = [
+    ({}, ["-"]),
+    ({"question": " "}, ["STRUCTURE_INCOMPLETE"]),
+    ({"options": ["Lisboa", "lisboa", "Porto", "Faro"]}, ["MC_MULTIPLE_CORRECT", "MC_NEAR_DUPLICATE"]),
+    ({"options": ["Lisboa"]}, ["MC_INSUFFICIENT_OPTIONS"]),
+    ({"question": "Quem pintou a Mona Lisa?", "answer": "Leonardo", "options": ["Leonardo", "banana", "azul", "futebol"]}, ["classes conceptuais diferentes", "MC_ABSURD_DISTRACTORS", "a pergunta pede uma pessoa"]),
+    ({"question": "Que invento mudou as cartas?", "answer": "o telefone fixo", "options": ["o telefone fixo", "Portugal", "a rádio portátil", "a lâmpada nova"]}, ["países isolados"]),
+    ({"question": "Que invento mudou as cartas?", "answer": "o telefone fixo", "options": ["o telefone fixo", "1876", "a rádio portátil", "a lâmpada nova"]}, ["anos isolados"]),
+    ({"question": "Que invento mudou as cartas?", "answer": "o telefone fixo", "options": ["o telefone fixo", "gasolina", "a rádio portátil", "a lâmpada nova"]}, ["combustíveis ou substâncias"]),
+    ({"question": "Que sigla guarda os genes?", "answer": "ADN", "options": ["ADN", "uma molécula muito comprida", "um processo bastante lento", "outra coisa muito diferente"]}, ["MC_TOO_OBVIOUS"]),
+    ({"question": "Que sigla guarda os genes?", "answer": "uma molécula muito comprida", "options": ["uma molécula muito comprida", "ADN", "ARN", "PCR"]}, ["-MC_TOO_OBVIOUS"]),
+    ({"question": "Que desporto se joga no gelo?", "answer": "Hóquei", "options": ["Hóquei", "Futebol", "Ténis", "Curling"]}, ["com pergunta sobre gelo"]),
+    ({"question": "Quanto é 12 dividido por 4?", "answer": "4", "options": ["4", "3", "12", "6"]}, ["confirma o quociente"]),
+    ({"question": "Quanto é 12 dividido por 4?", "answer": "3", "options": ["3", "12", "4", "5"]}, ["não devem incluir dividendo e divisor", "evita dividendo e divisor"]),
+    ({"question": "Quem é o cowboy?", "answer": "Buzz", "options": ["Buzz", "Woody", "Wooody", "Rex"]}, ["MC_NEAR_DUPLICATE"]),
+    ({"question": "Quem é o cowboy?", "answer": "Carro", "options": ["Carro", "Caro", "Livro", "Mesa"], "difficulty": 3}, ["-MC_NEAR_DUPLICATE"]),
+    ({"question": "Em que ano foi?", "answer": "1990", "options": ["1990", "1991", "1992", "1993"], "difficulty": 3}, ["anos demasiado próximos", "-MC_NEAR_DUPLICATE"]),
+    ({"question": "Em que ano foi?", "answer": "1990", "options": ["1990", "1890", "1790", "1690"], "difficulty": 5}, ["anos demasiado afastados"]),
+    ({"question": "Como se chama?", "answer": "Mariana", "options": ["Mariana", "Marianna", "Pedro", "Rui"], "difficulty": 1}, ["quase iguais à resposta"]),
+    ({"options": ["Lisboa", "uma opção que tem palavras a mais", "Porto", "Faro"], "age_band": "6-9"}, ["MC_OPTIONS_TOO_LONG", "máx. 4 palavras"]),
+    ({"question": "Que animal nada?", "answer": "Golfinho", "options": ["Golfinho", "Ilusão de Müller", "Tigre", "5 a 10 minutos"]}, ["ilusão de ótica ou números", "perguntas diferentes"]),
+    ({"question": "A noite escura cai cedo?", "answer": "tarde", "options": ["tarde", "noite escura", "sol", "lua"]}, ["MC_OPTION_LEAKS_QUESTION"]),
+    ({"answer": "Ursinho Pooh", "options": ["Ursinho Pooh", "Winnie", "Tigre", "Leitão"]}, ["alcunha e nome", "Ursinho Puff"]),
+    ({"question": "O rio Amazonas chama-se como?", "answer": "Amazonas"}, ["ANSWER_LEAKED"]),
+    ({"question": "Onde fica a torre antiga e alta?", "answer": "torre muito antiga"}, ["-ANSWER_LEAKED"]),
+    ({"question": "Que torre antiga e muito velha é esta?", "answer": "a torre antiga velha"}, ["ANSWER_LEAKED"]),
+    ({"question": "É verdadeiro ou falso que o mar é azul?", "answer": "verdadeiro"}, ["-ANSWER_LEAKED"]),
+    ({"question": "Os portugueses são simpáticos?"}, ["PT_STEREOTYPE"]),
+    ({"question": "Que cidade pode ser a capital?"}, ["MULTIPLE_ANSWERS"]),
+    ({"question": "Это вопрос?"}, ["PT_INVALID_SCRIPT"]),
+    ({"answer": "Summer", "age_band": "10-15"}, ["PT_ENGLISH_ONLY"]),
+    ({"answer": "Summer", "age_band": "15+"}, ["-PT_ENGLISH_ONLY"]),
+    ({"answer": "of the sea", "age_band": "10-15"}, ["PT_ENGLISH_ONLY"]),
+    ({"answer": "of the país", "age_band": "10-15"}, ["-PT_ENGLISH_ONLY"]),
+    ({"answer": "New York", "age_band": "10-15"}, ["-PT_ENGLISH_ONLY", "PT_COUNTRY_NAME", "Nova Iorque"]),
+    ({"question": "Onde pára o ônibus?"}, ["brasileirismo detectado"]),
+    ({"question": "No futebol, quem é o goleiro?"}, ["guarda-redes"]),
+    ({"question": "Quem é o goleiro?"}, ["-guarda-redes"]),
+    ({"question": "Onde está ele?", "format": "QUEM_E", "answer": "1234"}, ['começar por "Quem"', "deve ser uma pessoa"]),
+    ({"question": "A água vem das ___ quando chove", "format": "COMPLETA"}, ["sem texto depois", "última parte da frase"]),
+    ({"question": "A água vem das ___.", "format": "COMPLETA"}, ["-COMPLETA"]),
+    ({"question": "A água vem de onde?", "format": "COMPLETA"}, ["lacuna visível"]),
+    ({"question": "Onde fica o rio?", "format": "ONDE_FICA"}, ["ONDE_FICA ambíguo"]),
+    ({"question": "Quem pintou?", "format": "QUANDO"}, ["QUANDO deve pedir"]),
+    ({"question": "Sabias que o mel não se estraga?", "format": "CURIOSIDADE", "answer": "Sim", "options": ["Sim", "Talvez"]}, ["inclui \"Verdadeiro ou Falso?\"", "resposta tem de ser Verdadeiro", "só Verdadeiro e Falso", "têm de ser Verdadeiro e Falso"]),
+    ({"question": "Sabias que o mel dura? Verdadeiro ou falso?", "format": "CURIOSIDADE", "answer": "Verdadeiro", "options": ["Falso", "Verdadeiro"]}, ["-CURIOSIDADE"]),
+    ({"question": "Sou redonda, o que sou?", "answer": "bola", "format": "ADIVINHA", "clues": ["sou bola", "Sou bola"]}, ["pistas duplicadas", "ADIVINHA_CLUE_LEAKS_ANSWER"]),
+    ({"question": "Sou redonda, o que sou?", "answer": "bola", "format": "ADIVINHA", "clues": ["rola"], "options": ["bola", "12%", "sol", "lua"]}, ["ADIVINHA_MISSING_CLUES", "ADIVINHA_MC_BAD_DISTRACTORS"]),
+    ({"question": "Que carro voa?", "category_n": 17}, ["Categoria 19"]),
+    ({"question": "Que carro voa?", "category_n": 19}, ["-CATEGORY_MISMATCH"]),
+    ({"age_band": "6-9", "difficulty": 5}, ["DIFFICULTY_OUT_OF_RANGE", "demasiado difícil para 6–9"]),
+    ({"age_band": "10-15", "difficulty": 1}, ["-DIFFICULTY_OUT_OF_RANGE"]),
+    ({"age_band": "15+", "difficulty": 1}, ["-DIFFICULTY_OUT_OF_RANGE"]),
+    ({"question": "Qual é a cor do céu?", "difficulty": 4}, ["DIFFICULTY_EASIER_THAN_REQUESTED", "AGE_TOO_EASY"]),
+    ({"question": "O que é a entropia?", "difficulty": 2}, ["DIFFICULTY_HARDER_THAN_REQUESTED"]),
+    ({"question": "palavra " * 19, "age_band": "6-9"}, ["pergunta demasiado longa"]),
+    ({"question": "x" * 111, "age_band": "6-9"}, ["pergunta demasiado longa", "palavras demasiado complexas"]),
+    ({"question": "x" * 111, "age_band": "10-15"}, ["-pergunta demasiado longa"]),
+    ({"question": "Quem compôs como Mozart?", "age_band": "6-9"}, ["personagem ou tema demasiado avançado"]),
+]
+
+
+def test_rules_of_items(spark):
+    from tessera.operators import items
+
+    rows_ = [(k, *({**CAPITAL, **change}[c] for c in CAPITAL)) for k, (change, _) in enumerate(CASES)]
+    found = items.with_issues(spark.createDataFrame(rows_, ITEMS)).withColumn("score", validation.score(F.col("issues")))
+    got = {r["id"]: r for r in found.collect()}
+    for k, (change, wanted) in enumerate(CASES):
+        told = [f"{i['code']} {i['message']}" for i in got[k]["issues"]]
+        assert len(set(told)) == len(told)
+        for w in wanted:
+            if w == "-":
+                assert not told, told
+            elif w.startswith("-"):
+                assert not [t for t in told if w[1:] in t], (change, w, told)
+            else:
+                assert [t for t in told if w in t], (change, w, told)
+    assert got[0]["score"] == 100 and got[1]["score"] == 0 and got[3]["score"] == 88
+
+
+def test_only_difficulty(spark):
+    from tessera.operators import items
+
+    df = spark.createDataFrame([(["DIFFICULTY_OUT_OF_RANGE", " "],), (["DIFFICULTY_HARDER_THAN_REQUESTED", "PT_BRASILISM"],), ([],), (None,)], "c array<string>")
+    assert [r[0] for r in df.select(items.only_difficulty(F.col("c"))).collect()] == [True, False, False, False]
+
+
+def test_riddles_from_facts(spark):
+    from tessera.operators import records
+
+    fact = "knowledge_id string, fact string, answer string, source_id string, confidence double, is_active boolean, age_bands array<string>, priority_pt int"
+    df = spark.createDataFrame([("k1", "Sou redonda", "bola", "s", 0.9, True, ["6-9"], 1), ("k2", "Sou alta", "Sem resposta", "s", 0.9, True, ["6-9"], 2), ("k3", "Sou azul", "mar", "s", 0.9, True, ["15+"], 3)], fact)
+    pool = F.array(*[F.lit(x) for x in ("Sol", "Lua", "Bola", "Mesa", "Faca")])
+    made = records.replenish(spark.createDataFrame([], ITEM), spark.createDataFrame([], "question_hash string"), df, "6-9", pool).collect()
+    assert [(r["knowledge_id"], r["reason"]) for r in made] == [("k1", "inserted")]
+    (options,) = spark.range(1).select(records.fallback_options(F.lit("bola"), pool).alias("o")).first()
+    assert len(set(options)) == 4 and "bola" in options and "Bola" not in options
+    assert spark.range(1).select(records.fallback_options(F.lit("sol"), F.array(F.lit("Sol"), F.lit("Lua"))).alias("o")).first()["o"] is None
+
+
+def test_trim_keeps_the_newest_without_a_global_sort(spark):
+    day = lambda k: datetime(2024, 1, 1 + k // 3)
+    df = spark.createDataFrame([(k, day(k)) for k in range(20)] + [(20, None)], "id int, ts timestamp")
+    newest = sorted(range(20), key=lambda k: (-day(k).timestamp(), k))
+    for most in (1, 5, 20, 21, 50):
+        assert {r["id"] for r in telemetry.trim(df, most).collect()} == set(([*newest, 20])[:most])
+    assert telemetry.trim(df.limit(0), 3).count() == 0 and telemetry.clear(df).count() == 0
 
 
 def test_overrides_with_wildcards(spark):
@@ -327,7 +422,7 @@ def test_review_queue(spark):
 
     kind = "id int, ts timestamp, question_text string, answer_text string, issue_codes array<string>"
     when = datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, when, "q", "a", ["DIFFICULTY_RANGE"]), (2, when, "<b>q</b>", "a", ["DIFFICULTY_HARD"]), (3, when, "r", "a", ["OTHER", "DIFFICULTY_HARD"]), (4, when, "s", "a", ["DIFFICULTY_HARD"]), (5, when, "", "a", ["DIFFICULTY_HARD"])], kind)
+    df = spark.createDataFrame([(1, when, "q", "a", ["DIFFICULTY_OUT_OF_RANGE"]), (2, when, "<b>q</b>", "a", ["DIFFICULTY_HARDER_THAN_REQUESTED"]), (3, when, "r", "a", ["OTHER", "DIFFICULTY_HARDER_THAN_REQUESTED"]), (4, when, "s", "a", ["DIFFICULTY_HARDER_THAN_REQUESTED"]), (5, when, "", "a", ["DIFFICULTY_HARDER_THAN_REQUESTED"])], kind)
     done = spark.range(1).select(question_hash(F.lit("s"), F.lit("a")).alias("question_hash"))
     assert rows(review.candidates(df, done), "id", "reason") == [(1, "queued"), (2, "skipped"), (3, "skipped"), (4, "already_reviewed"), (5, "skipped")]
     queue = spark.createDataFrame([("a", "pending", 1), ("b", "approved", 1)], "question_hash string, status string, n int")
