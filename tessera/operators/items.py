@@ -175,7 +175,7 @@ DIFFICULTY_CODES = ("DIFFICULTY_EASIER_THAN_REQUESTED", "DIFFICULTY_HARDER_THAN_
 # --- helpers -------------------------------------------------------------------------------------------------------------
 
 ISSUE = "struct<code:string,layer:string,message:string>"
-Test = Callable[[Column], Column]
+Test = Callable[["dict[str, Column] | Column"], Column]
 
 
 @dataclass(frozen=True)
@@ -321,42 +321,29 @@ def difficulty_range(age: Column) -> tuple[Column, Column]:
 # --- context and rules ---------------------------------------------------------------------------------------------------
 
 
+#: What the rules look at, each a column of its own: fields of one struct would be worked out anew for every rule.
+CONTEXT = ("q", "a", "raw", "options", "wrong", "kinds", "wrong_kinds", "wrong_buckets", "kind", "bucket", "blob", "q_words", "a_words", "clues", "format", "age", "difficulty", "category", "is_mc", "estimate", "place")
+Context = dict[str, Column]
+
+
+def _at(name: str) -> Column:
+    return F.col(f"_x_{name}")
+
+
 def context(items: DataFrame) -> DataFrame:
-    """items with the struct `x` of what the rules look at."""
+    """items with a column _x_... for each name of CONTEXT."""
     clean = lambda c: F.trim(strip_tags(F.coalesce(c, F.lit(""))))
     none = F.array().cast("array<string>")
-    base = items.select(
-        "*",
-        clean(F.col("question")).alias("_q"),
-        clean(F.col("answer")).alias("_a"),
-        F.coalesce("options", none).alias("_raw"),
-        F.transform(F.coalesce("clues", none), lambda c: clean(c)).alias("_clues"),
-    )
-    options = F.filter(F.transform("_raw", lambda o: clean(o)), lambda o: o != "")
-    base = base.withColumn("_options", options).withColumn("_wrong", F.filter(options, lambda o: F.lower(o) != F.lower(F.col("_a"))))
-    x = F.struct(
-        F.col("_q").alias("q"),
-        F.col("_a").alias("a"),
-        F.col("_raw").alias("raw"),
-        F.col("_options").alias("options"),
-        F.col("_wrong").alias("wrong"),
-        F.transform("_options", option_kind).alias("kinds"),
-        F.transform("_wrong", option_kind).alias("wrong_kinds"),
-        F.transform("_wrong", concept_bucket).alias("wrong_buckets"),
-        option_kind(F.col("_a")).alias("kind"),
-        concept_bucket(F.col("_a")).alias("bucket"),
-        F.concat_ws(" ", "_q", "_a", F.concat_ws(" ", "_raw")).alias("blob"),
-        words(F.col("_q")).alias("q_words"),
-        words(F.col("_a")).alias("a_words"),
-        F.col("_clues").alias("clues"),
-        F.coalesce("format", F.lit("")).alias("format"),
-        F.coalesce("age_band", F.lit("15+")).alias("age"),
-        F.col("difficulty").alias("difficulty"),
-        F.col("category_n").alias("category"),
-        F.coalesce("is_mc", F.lit(False)).alias("is_mc"),
-        estimate_difficulty(F.col("_q"), F.col("_a"), F.coalesce("age_band", F.lit("15+"))).alias("estimate"),
-    )
-    return base.withColumn("x", x).drop("_q", "_a", "_raw", "_clues", "_options", "_wrong")
+    q, a, raw, options, wrong, age = (_at(n) for n in ("q", "a", "raw", "options", "wrong", "age"))
+    steps = [
+        {"q": clean(F.col("question")), "a": clean(F.col("answer")), "raw": F.coalesce("options", none), "clues": F.transform(F.coalesce("clues", none), lambda c: clean(c)), "format": F.coalesce("format", F.lit("")), "age": F.coalesce("age_band", F.lit("15+")), "difficulty": F.col("difficulty"), "category": F.col("category_n"), "is_mc": F.coalesce("is_mc", F.lit(False))},
+        {"options": F.filter(F.transform(raw, lambda o: clean(o)), lambda o: o != ""), "blob": F.concat_ws(" ", q, a, F.concat_ws(" ", raw)), "q_words": words(q), "a_words": words(a), "kind": option_kind(a), "bucket": concept_bucket(a), "estimate": estimate_difficulty(q, a, age)},
+        {"wrong": F.filter(options, lambda o: F.lower(o) != F.lower(a)), "kinds": F.transform(options, option_kind), "place": places.first_variant(_at("blob"))},
+        {"wrong_kinds": F.transform(wrong, option_kind), "wrong_buckets": F.transform(wrong, concept_bucket)},
+    ]
+    for step in steps:
+        items = items.withColumns({f"_x_{name}": column for name, column in step.items()})
+    return items
 
 
 def _any(array: Column, *values: str) -> Column:
@@ -607,7 +594,7 @@ def portuguese_rules() -> list[Rule]:
         played(r"\buniformes?\b", soccer("equipamento"), r"\bfutebol\b"),
         played(r"\bpartidas?\b", soccer("jogo"), r"\bfutebol\b"),
         variant(soccer("golo"), lambda x: has(x["blob"], FOOTBALL) & has(x["blob"], goal) & ~has(x["blob"], r"\bgolfe\b")),
-        Rule("PT_COUNTRY_NAME", "ptPt", lambda x: F.concat(F.lit('nome de país ou cidade incorrecto — em PT-PT usa "'), places.first_variant(x["blob"])["canonical"], F.lit('" (não "'), places.first_variant(x["blob"])["variant"], F.lit('")')), lambda x: places.first_variant(x["blob"]).isNotNull()),
+        Rule("PT_COUNTRY_NAME", "ptPt", lambda x: F.concat(F.lit('nome de país ou cidade incorrecto — em PT-PT usa "'), x["place"]["canonical"], F.lit('" (não "'), x["place"]["variant"], F.lit('")')), lambda x: x["place"].isNotNull()),
         Rule("PT_ENGLISH_ONLY", "ptPt", "resposta ou opção só em inglês — usa português de Portugal", lambda x: x["age"].isin("6-9", "10-15") & english_part(F.concat(F.array(x["q"], x["a"]), x["raw"]))),
     ]
 
@@ -630,7 +617,7 @@ def rules() -> list[Rule]:
 INCOMPLETE = Rule("STRUCTURE_INCOMPLETE", "structural", "estrutura incompleta", lambda x: (x["q"] == "") | (x["a"] == ""))
 
 
-def _issue(rule: Rule, x: Column) -> Column:
+def _issue(rule: Rule, x: Context) -> Column:
     message = F.lit(rule.message) if isinstance(rule.message, str) else rule.message(x)
     return F.when(F.coalesce(rule.when(x), F.lit(False)), F.struct(F.lit(rule.code).alias("code"), F.lit(rule.layer).alias("layer"), message.alias("message")))
 
@@ -638,10 +625,11 @@ def _issue(rule: Rule, x: Column) -> Column:
 def with_issues(items: DataFrame, some: Sequence[Rule] | None = None) -> DataFrame:
     """items with `issues`, an array of (code, layer, message), each issue once. An item without question or answer has
     that issue alone."""
-    x = F.col("x")
+    x = {name: _at(name) for name in CONTEXT}
     found = F.array_distinct(F.array_compact(F.array(*[_issue(r, x) for r in (rules() if some is None else some)])))
     alone = F.array(_issue(INCOMPLETE, x))
-    return context(items).withColumn("issues", F.when(INCOMPLETE.when(x), alone).otherwise(found).cast(f"array<{ISSUE}>")).drop("x")
+    judged = context(items).withColumn("issues", F.when(INCOMPLETE.when(x), alone).otherwise(found).cast(f"array<{ISSUE}>"))
+    return judged.drop(*[f"_x_{name}" for name in CONTEXT])
 
 
 def only_difficulty(codes: Column) -> Column:
