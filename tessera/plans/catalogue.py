@@ -742,8 +742,8 @@ SIMILAR = """
   WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72)
 """
 GREEDY = """
-, n AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM ids), e AS (SELECT b AS id, list(a) AS earlier FROM edges GROUP BY b),
-o AS (SELECT n.place, n.id, coalesce(earlier, []) AS earlier FROM n LEFT JOIN e ON e.id = n.id),
+, n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS place FROM ids), e AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM edges GROUP BY b),
+o AS MATERIALIZED (SELECT n.place, n.id, coalesce(earlier, []) AS earlier FROM n LEFT JOIN e ON e.id = n.id),
 pass(place, seeds) AS (
   SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
   SELECT o.place, CASE WHEN list_has_any(pass.seeds, o.earlier) THEN pass.seeds ELSE list_append(pass.seeds, o.id) END FROM pass JOIN o ON o.place = pass.place + 1
@@ -768,11 +768,11 @@ def curiosity_dedupe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FACTS.replace("WITH facts", "WITH RECURSIVE facts") + """
 , new AS (SELECT * FROM facts WHERE k % 3 <> 0), old AS (SELECT * FROM facts WHERE k % 3 = 0 AND is_active),
-repeated AS (SELECT n.knowledge_id FROM new n JOIN old o ON n.key = o.key AND n.topic = o.topic
+repeated AS MATERIALIZED (SELECT n.knowledge_id FROM new n JOIN old o ON n.key = o.key AND n.topic = o.topic
   UNION SELECT x.knowledge_id FROM words x JOIN words y ON x.topic = y.topic AND x.k % 3 <> 0 AND y.k % 3 = 0 AND y.is_active JOIN facts fx ON fx.k = x.k JOIN facts fy ON fy.k = y.k
     WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72 AND (x.topic = 'curiosidade surpreendente' OR fx.answer = fy.answer)),
-ids AS (SELECT knowledge_id AS id FROM new WHERE knowledge_id NOT IN (SELECT knowledge_id FROM repeated)),
-edges AS (SELECT x.knowledge_id AS a, y.knowledge_id AS b FROM new x JOIN new y ON x.key = y.key AND x.topic = y.topic AND x.knowledge_id < y.knowledge_id WHERE x.knowledge_id IN (SELECT id FROM ids) AND y.knowledge_id IN (SELECT id FROM ids)
+ids AS MATERIALIZED (SELECT knowledge_id AS id FROM new WHERE knowledge_id NOT IN (SELECT knowledge_id FROM repeated)),
+edges AS MATERIALIZED (SELECT x.knowledge_id AS a, y.knowledge_id AS b FROM new x JOIN new y ON x.key = y.key AND x.topic = y.topic AND x.knowledge_id < y.knowledge_id WHERE x.knowledge_id IN (SELECT id FROM ids) AND y.knowledge_id IN (SELECT id FROM ids)
   UNION SELECT x.knowledge_id, y.knowledge_id FROM words x JOIN words y ON x.knowledge_id < y.knowledge_id AND x.topic = y.topic AND x.topic = 'curiosidade surpreendente'
     WHERE x.knowledge_id IN (SELECT id FROM ids) AND y.knowledge_id IN (SELECT id FROM ids) AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.72)
 """ + GREEDY + "SELECT knowledge_id, knowledge_id IN (SELECT seed FROM seeds) AS accepted FROM new")
