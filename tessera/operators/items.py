@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from tessera.functions import places
 from tessera.functions.keys import without_true_false
 from tessera.functions.numbers import clamp
 from tessera.functions.text import normalize, squeeze, strip_accents, strip_tags
+from tessera.operators import reported
 
 # --- fixed values: limits by age band --------------------------------------------------------------------------------
 
@@ -98,6 +99,11 @@ ASKS_ANIMAL = r"\b(que animal|qual animal|que bicho|qual bicho|que mamífero|qua
 NOT_ANIMAL = r"\bilusão\b|\bóptica\b|\boptica\b|\bmüller|\bmueller\b|\b\d+\s*a\s*\d+\b|\bpercentagem\b|\bminut|\bsegund|\bvezes\b"
 OPTICAL, FREQUENCY = r"\bilusão\b|\bóptica\b|\boptica\b", r"\b\d+\s*(a|–|-)\s*\d+\b|\bcerca de\s+\d+"
 ANIMAL = r"\b(golfinho|salamandra|tigre|leão|leao|gato|cão|cao|pássaro|passaro|baleia|foca|pato)\b"
+NOT_NEURONS = r"\bilus[aã]o|óptica|optica|müller|mueller|esfinge|d[eé]j[aà]\s*vu|enigma|filosof"
+MOVEMENTS = r"\b(rota[çc][ãa]o|órbita|transla[çc][ãa]o|revolu[çc][ãa]o|movimento|eixo|dia|ano|lentid)\b"
+MAP_AND_GLOBE = (r"\bcidades\b", r"\bn[aã]o\s+casas\b", r"\bmontanhas\b", r"\bn[aã]o\s+(árvores|arvores)\b", r"\b(água|agua)\b", r"\bn[aã]o\s+peixes\b")
+LIKE_A_MAP = (r"\b(tenho|tem)\b", r"\b(cidades|montanhas)\b", r"\bn[aã]o\s+(casas|árvores|arvores|peixes)\b")
+KITE, NO_KITE = r"\b(voar|vento|asas?|cauda|solt|brincar|papagaio)\b", r"\b(uva|vinho|barril|durmo|escuras|nasço da uva)\b"
 ALIASES = (("winnie", "pooh"), ("ursinho", "pooh"), ("mickey", "rato mickey"))
 BAD_RIDDLE_OPTION = r"\d|%|cerca de|aproximadamente|vértebra|vertebra|percentagem|milhões|milhoes|bilhões|bilhoes|graus celsius"
 ADULT_TOPIC = r"\b(tratado|imperialismo|dodecafonismo|mitocôndria|algoritmo|quântico|burocracia|constituição|epistemologia|hegel|nietzsche|versalhes|holocausto|genocídio)\b"
@@ -187,7 +193,7 @@ class Rule:
 
 
 def has(x: Column, pattern: str) -> Column:
-    return F.coalesce(x.rlike(f"(?iu){pattern}"), F.lit(False))
+    return F.coalesce(x.rlike(f"{reported.FLAGS}{pattern}"), F.lit(False))
 
 
 def words(x: Column) -> Column:
@@ -247,7 +253,8 @@ def years(o: Column, decades: bool = True) -> Column:
     found = F.filter(F.transform(F.regexp_extract_all(o, F.lit(r"\b(\d{3,4})\b"), F.lit(1)), lambda y: y.cast("int")), lambda y: y.between(100, 2999))
     if not decades:
         return found
-    decade = F.regexp_extract(o, r"(?iu)\b(?:anos?|década|decada)\s+(?:de\s+)?(\d{1,2})\b", 1).try_cast("int")
+    # cast only what was found: a cast that fails costs an exception for each option
+    decade = F.nullif(F.regexp_extract(o, rf"{reported.FLAGS}\b(?:anos?|década|decada)\s+(?:de\s+)?(\d{{1,2}})\b", 1), F.lit("")).cast("int")
     return F.when(decade.isNotNull(), F.concat(found, F.array(1900 + decade))).otherwise(found)
 
 
@@ -255,20 +262,24 @@ def year_like(o: Column) -> Column:
     return (o != "") & (has(o, YEAR_OR_DATE) | (F.size(years(o)) > 0))
 
 
-def near_equal(options: Column) -> Column:
-    """Whether two options are the same or nearly so; different years are not, however close they are written."""
-    s = F.transform(options, lambda o, i: F.struct(i.alias("i"), option_key(o).alias("key"), years(o).alias("years"), year_like(o).alias("dated")))
+def marks(options: Column) -> Column:
+    """What near duplicates are told by, for each option once."""
+    return F.transform(options, lambda o, i: F.struct(i.alias("i"), option_key(o).alias("key"), years(o).alias("years"), year_like(o).alias("dated")))
+
+
+def near_equal(s: Column) -> Column:
+    """Whether two options, given by their marks, are the same or nearly so; different years are not, however close they
+    are written."""
 
     def close(a: Column, b: Column) -> Column:
         short, long_ = F.least(F.length(a["key"]), F.length(b["key"])), F.greatest(F.length(a["key"]), F.length(b["key"]))
         told_apart = (a["dated"] & b["dated"]) | ((F.size(a["years"]) > 0) & (F.size(b["years"]) > 0) & (a["years"] != b["years"]))
-        return ~told_apart & (short >= NEAR_LEAST) & (short >= NEAR_LENGTH * long_) & (F.levenshtein(a["key"], b["key"]) <= NEAR_EDITS)
+        return ~told_apart & (short >= NEAR_LEAST) & (short >= NEAR_LENGTH * long_) & (F.levenshtein(a["key"], b["key"], NEAR_EDITS) >= 0)
 
     def same(a: Column, b: Column) -> Column:
         return (a["key"] == b["key"]) | (a["key"] == "") | (b["key"] == "")
 
-    pairs = lambda test: F.exists(s, lambda a: F.exists(s, lambda b: (a["i"] < b["i"]) & test(a, b)))
-    return pairs(same) | pairs(close)
+    return F.exists(s, lambda a: F.exists(s, lambda b: (a["i"] < b["i"]) & (same(a, b) | close(a, b))))
 
 
 def asks_when(q: Column, a: Column) -> Column:
@@ -318,11 +329,17 @@ def difficulty_range(age: Column) -> tuple[Column, Column]:
     return pick(0), pick(1)
 
 
+def asked_difficulty(difficulty: Column, age: Column) -> Column:
+    """The difficulty that an item is to have; the least of its band where it is missing, 0 or no number."""
+    number = F.trim(difficulty.cast("string")).try_cast("double")
+    return F.coalesce(F.nullif(F.when(~F.isnan(number), number), F.lit(0.0)), difficulty_range(age)[0].cast("double"))
+
+
 # --- context and rules ---------------------------------------------------------------------------------------------------
 
 
 #: What the rules look at, each a column of its own: fields of one struct would be worked out anew for every rule.
-CONTEXT = ("q", "a", "raw", "options", "wrong", "kinds", "wrong_kinds", "wrong_buckets", "kind", "bucket", "blob", "q_words", "a_words", "clues", "format", "age", "difficulty", "category", "is_mc", "estimate", "place")
+CONTEXT = ("q", "a", "raw", "options", "wrong", "kinds", "wrong_kinds", "wrong_buckets", "kind", "bucket", "blob", "q_words", "a_words", "clues", "format", "age", "difficulty", "category", "is_mc", "estimate", "place", "asked", "marks", "spelling", "facts")
 Context = dict[str, Column]
 
 
@@ -334,12 +351,14 @@ def context(items: DataFrame) -> DataFrame:
     """items with a column _x_... for each name of CONTEXT."""
     clean = lambda c: F.trim(strip_tags(F.coalesce(c, F.lit(""))))
     none = F.array().cast("array<string>")
-    q, a, raw, options, wrong, age = (_at(n) for n in ("q", "a", "raw", "options", "wrong", "age"))
+    q, a, raw, options, age = (_at(n) for n in ("q", "a", "raw", "options", "age"))
     steps = [
         {"q": clean(F.col("question")), "a": clean(F.col("answer")), "raw": F.coalesce("options", none), "clues": F.transform(F.coalesce("clues", none), lambda c: clean(c)), "format": F.coalesce("format", F.lit("")), "age": F.coalesce("age_band", F.lit("15+")), "difficulty": F.col("difficulty"), "category": F.col("category_n"), "is_mc": F.coalesce("is_mc", F.lit(False))},
-        {"options": F.filter(F.transform(raw, lambda o: clean(o)), lambda o: o != ""), "blob": F.concat_ws(" ", q, a, F.concat_ws(" ", raw)), "q_words": words(q), "a_words": words(a), "kind": option_kind(a), "bucket": concept_bucket(a), "estimate": estimate_difficulty(q, a, age)},
-        {"wrong": F.filter(options, lambda o: F.lower(o) != F.lower(a)), "kinds": F.transform(options, option_kind), "place": places.first_variant(_at("blob"))},
-        {"wrong_kinds": F.transform(wrong, option_kind), "wrong_buckets": F.transform(wrong, concept_bucket)},
+        {"options": F.filter(F.transform(raw, lambda o: clean(o)), lambda o: o != ""), "blob": F.concat_ws(" ", q, a, F.concat_ws(" ", raw)), "q_words": words(q), "a_words": words(a), "estimate": estimate_difficulty(q, a, age), "asked": asked_difficulty(F.col("difficulty"), age), "spelling": places.mismatch(q, a), **reported.fields(q, a, raw)},
+        # kind and bucket of the answer and of each option are worked out in one pass, by one expression
+        {"seen": F.transform(F.concat(F.array(a), options), lambda o: F.struct(o.alias("text"), option_kind(o).alias("kind"), concept_bucket(o).alias("bucket"))), "marks": marks(options), "place": places.first_variant(_at("blob"))},
+        {"others": F.filter(F.slice(_at("seen"), 2, F.size(_at("seen"))), lambda o: F.lower(o["text"]) != F.lower(a)), "kinds": F.slice(_at("seen")["kind"], 2, F.size(_at("seen"))), "kind": F.get(_at("seen"), F.lit(0))["kind"], "bucket": F.get(_at("seen"), F.lit(0))["bucket"]},
+        {"wrong": _at("others")["text"], "wrong_kinds": _at("others")["kind"], "wrong_buckets": _at("others")["bucket"]},
     ]
     for step in steps:
         items = items.withColumns({f"_x_{name}": column for name, column in step.items()})
@@ -354,6 +373,10 @@ def _count(array: Column, test: Test) -> Column:
     return F.size(F.filter(array, test))
 
 
+def _all(x: Column, patterns: Sequence[str]) -> Column:
+    return reduce(lambda a, p: a & has(x, p), patterns, F.lit(True))
+
+
 def _four(test: Test) -> Test:
     """A rule of items with four options or more."""
     return lambda x: (F.size(x["options"]) >= 4) & test(x)
@@ -371,7 +394,7 @@ def option_rules() -> list[Rule]:
         return lambda x: F.array_contains(x["kinds"], kind) & (x["kind"] != kind)
 
     def division(x: Column, test: Callable[[Column, Column, Column], Column]) -> Column:
-        dividend, divisor = (F.regexp_extract(x["q"], DIVISION, k).try_cast("bigint") for k in (1, 2))
+        dividend, divisor = (F.nullif(F.regexp_extract(x["q"], DIVISION, k), F.lit("")).try_cast("bigint") for k in (1, 2))
         even = (dividend != 0) & (divisor != 0) & (F.try_mod(dividend, divisor) == 0)
         return F.coalesce(even & test(dividend.cast("string"), divisor.cast("string"), F.try_divide(dividend, divisor).cast("bigint").cast("string")), F.lit(False))
 
@@ -390,6 +413,7 @@ def option_rules() -> list[Rule]:
         theme = lambda o: F.when(has(o, OPTICAL), "optical").when(has(o, FREQUENCY), "frequency").when(has(o, ANIMAL), "animal")
         return F.size(F.array_distinct(F.array_compact(F.transform(x["options"], theme)))) >= 3
 
+    map_or_globe = lambda x: (x["format"] == "ADIVINHA") & F.exists(x["options"], lambda o: has(o, r"\bmapa\b")) & F.exists(x["options"], lambda o: has(o, r"\bglobo\b"))
     exactly_four = lambda test: lambda x: (F.size(x["raw"]) == 4) & test(x)
     named = lambda x, part: F.exists(x["raw"], lambda o: F.contains(F.lower(o), F.lit(part)))
     aliases = lambda x: reduce(or_, [named(x, p) & named(x, r) for p, r in ALIASES])
@@ -400,8 +424,11 @@ def option_rules() -> list[Rule]:
         Rule(wrong_class, layer, "distratores incoerentes — mistura tipos incompatíveis (filmes, anos, países, marcas…)", _four(lambda x: ~absurd(x) & (_count(x["wrong_kinds"], lambda k: k.isin(*FOREIGN_KINDS)) >= 2) & ~x["kind"].isin(*FOREIGN_KINDS))),
         Rule(wrong_class, layer, "opções incoerentes — a pergunta pede uma pessoa; todas as opções devem ser nomes de pessoas (não empresas, combustíveis nem objectos)", _four(lambda x: person(x) & F.exists(x["wrong_kinds"], lambda k: k != "person"))),
         Rule(wrong_class, layer, "opções incoerentes — distractores devem ser tipos de narrador, não movimentos literários nem autores soltos", _four(lambda x: has(x["q"], r"\bnarrador\b") & _any(x["kinds"], "literary_movement", "film", "year", "country"))),
+        Rule(wrong_class, layer, "opções incoerentes — distractores devem ser formas gramaticais (ré/ré), não movimentos literários nem outros temas", _four(lambda x: (has(x["q"], r"\b(feminino|masculino)\s+de\s+r[eé]u\b") | (has(x["q"], r"\br[eé]u\b") & has(x["q"], r"\bfeminino\b"))) & _any(x["kinds"], "literary_movement", "film", "year", "country", "brand"))),
+        Rule(wrong_class, layer, "opções incoerentes — distractores devem ser quantidades ou conceitos de neurociência, não filosofia ou ilusões de ótica", _four(lambda x: has(x["q"], r"\bneur[oó]nio|c[eé]rebro humano\b") & F.exists(x["wrong"], lambda o: has(o, NOT_NEURONS)))),
         Rule(wrong_class, layer, "opções incoerentes — distractores devem ser missões ou programas espaciais", _four(lambda x: has(x["q"], r"\bmissão\b") & has(x["q"], r"\b(sonda|cometa|espacial|marte|lua)\b") & _any(x["kinds"], "country", "brand", "proverb", "literary_movement", "fashion_concept"))),
         Rule(wrong_class, layer, "opções incoerentes — distractores devem ser unidades ou conceitos astronómicos", _four(lambda x: (has(x["q"], r"\bunidade\s+astron[oó]mic") | (has(x["q"], r"\bunidade\b") & has(x["q"], r"\b(terra|sol|dist[aâ]ncia)\b"))) & _any(x["kinds"], "film", "person", "country", "brand", "proverb"))),
+        Rule(wrong_class, layer, "opções incoerentes — distractores devem descrever movimentos ou rotações planetárias", _four(lambda x: has(x["q"], r"\brota[çc][ãa]o\b") & has(x["q"], r"\b(v[eé]nus|planeta)\b") & (_count(x["wrong"], lambda o: ~has(o, MOVEMENTS)) >= 2))),
         Rule(wrong_class, layer, "opções incoerentes — anos isolados não servem de distractores fora de perguntas QUANDO", _four(lambda x: ~when(x) & odd_one("year")(x))),
         Rule(wrong_class, layer, "opções incoerentes — países isolados não encaixam nesta pergunta", _four(lambda x: elsewhere(x) & odd_one("country")(x))),
         Rule(wrong_class, layer, "opções incoerentes — marcas ou empresas genéricas (ex.: SpaceX) não encaixam nesta pergunta", _four(lambda x: elsewhere(x) & odd_one("brand")(x) & ~has(x["q"], r"\b(empresa|marca|spacex|nasa|esa)\b"))),
@@ -414,11 +441,12 @@ def option_rules() -> list[Rule]:
         Rule("MC_TRIVIAL_MATH", layer, "resposta matemática incorrecta ou demasiado óbvia — confirma o quociente da divisão", lambda x: division(x, lambda n, d, q: x["a"] == d)),
         Rule("MC_TRIVIAL_MATH", layer, "opções de divisão demasiado óbvias — os distractores não devem incluir dividendo e divisor", lambda x: division(x, lambda n, d, q: (x["a"] != d) & F.array_contains(x["wrong"], n) & F.array_contains(x["wrong"], d))),
         Rule("MC_TRIVIAL_MATH", layer, "opções de divisão demasiado óbvias — evita dividendo e divisor como distractores", lambda x: division(x, lambda n, d, q: (x["a"] != d) & (x["a"] == q) & F.forall(x["wrong"], lambda o: o.rlike(r"^\d+$")) & (F.array_contains(x["wrong"], n) | F.array_contains(x["wrong"], d)))),
-        Rule("MC_NEAR_DUPLICATE", layer, "opções repetidas ou quase iguais (ex.: Woody / Wooody / Sheriff Woody)", lambda x: (F.size(x["options"]) >= 2) & near_equal(x["options"])),
+        Rule("MC_NEAR_DUPLICATE", layer, "opções repetidas ou quase iguais (ex.: Woody / Wooody / Sheriff Woody)", lambda x: (F.size(x["options"]) >= 2) & near_equal(x["marks"])),
         Rule("MC_OPTIONS_TOO_LONG", layer, lambda x: F.when(x["age"] == "6-9", OPTIONS_TOO_LONG["6-9"]).when(x["age"] == "10-15", OPTIONS_TOO_LONG["10-15"]).otherwise(OPTIONS_TOO_LONG["15+"]), lambda x: (F.size(x["options"]) >= 2) & F.exists(x["options"], lambda o: (words(o) > limit(x["age"], "option_words")) | (F.length(o) > limit(x["age"], "option_chars")))),
         Rule(wrong_class, layer, "opções ambíguas — alcunha e nome do mesmo personagem", aliases),
         Rule(wrong_class, layer, 'nome ambíguo — em PT-PT usa "Ursinho Puff" de forma consistente', lambda x: has(x["a"], r"\b(pooh|winnie)\b") & (_count(x["raw"], lambda o: has(o, r"\b(pooh|winnie|ursinho)\b")) >= 2)),
-        Rule("ADIVINHA_MAP_GLOBE_AMBIGUOUS", "semantic", "pergunta ambígua — mapa e globo terráqueo respondem às mesmas pistas; reformula ou usa distractores claramente errados", lambda x: (x["format"] == "ADIVINHA") & has(x["q"], r"\bcidades\b") & has(x["q"], r"\bn[aã]o\s+casas\b") & has(x["q"], r"\bmontanhas\b") & has(x["q"], r"\bn[aã]o\s+(árvores|arvores)\b") & has(x["q"], r"\b(água|agua)\b") & has(x["q"], r"\bn[aã]o\s+peixes\b") & F.exists(x["options"], lambda o: has(o, r"\bmapa\b")) & F.exists(x["options"], lambda o: has(o, r"\bglobo\b"))),
+        Rule("ADIVINHA_MAP_GLOBE_AMBIGUOUS", "semantic", "pergunta ambígua — mapa e globo terráqueo respondem às mesmas pistas; reformula ou usa distractores claramente errados", lambda x: map_or_globe(x) & _all(x["q"], MAP_AND_GLOBE)),
+        Rule("ADIVINHA_MAP_GLOBE_AMBIGUOUS", "semantic", "pergunta ambígua — mapa e globo terráqueo são ambas defensáveis nesta adivinha", lambda x: map_or_globe(x) & _all(x["q"], LIKE_A_MAP) & ~_all(x["q"], MAP_AND_GLOBE)),
         Rule("ADIVINHA_MC_BAD_DISTRACTORS", layer, "distratores de adivinha inválidos — devem ser objectos ou palavras plausíveis, não números nem factos científicos", lambda x: (x["format"] == "ADIVINHA") & F.exists(x["wrong"], lambda o: (F.length(o) > 48) | has(o, BAD_RIDDLE_OPTION) | (words(o) > 6) | ((words(o) >= 4) & o.contains(",")))),
         Rule(wrong_class, layer, "opções incoerentes — misturam temas diferentes (ex.: animal com ilusão de ótica ou números)", exactly_four(_four(lambda x: has(x["q"], ASKS_ANIMAL) & F.exists(x["options"], lambda o: has(o, NOT_ANIMAL))))),
         Rule(wrong_class, layer, "opções parecem respostas de perguntas diferentes — todas devem ser do mesmo tipo", exactly_four(_four(themes))),
@@ -491,16 +519,17 @@ def age_rules() -> list[Rule]:
 
 
 def difficulty_rules() -> list[Rule]:
-    asked = lambda x: F.greatest(difficulty_range(x["age"])[0], F.least(difficulty_range(x["age"])[1], x["difficulty"]))
+    low, high = (lambda x: difficulty_range(x["age"])[0]), (lambda x: difficulty_range(x["age"])[1])
+    asked = lambda x: F.greatest(low(x), F.least(high(x), F.floor(x["asked"] + 0.5))).cast("int")
     gap = lambda x: asked(x) - x["estimate"]["level"]
     need = lambda x: F.when(x["estimate"]["confidence"] >= 0.85, 1).otherwise(2)
-    low, high = (lambda x: difficulty_range(x["age"])[0]), (lambda x: difficulty_range(x["age"])[1])
     hard = lambda message, when: Rule("AGE_TOO_HARD", "age", message, lambda x: ~relaxed(x) & (x["age"] == "6-9") & when(x))
     told = lambda x, verdict: F.concat(F.lit("dificuldade pedida "), asked(x).cast("string"), F.lit(" mas estimada "), x["estimate"]["level"].cast("string"), F.lit(f" — pergunta demasiado {verdict} para o nível pedido"))
+    written = lambda x: F.when(x["asked"] == F.floor(x["asked"]), x["asked"].cast("bigint").cast("string")).otherwise(x["asked"].cast("string"))
     return [
-        Rule("DIFFICULTY_OUT_OF_RANGE", "difficulty", lambda x: F.concat(F.lit("dificuldade "), x["difficulty"].cast("string"), F.lit(" incompatível com faixa "), x["age"]), lambda x: ~relaxed(x) & ~x["difficulty"].between(low(x), high(x))),
-        hard("demasiado difícil para 6–9", lambda x: (x["difficulty"] >= 4) | ((x["difficulty"] <= 2) & has(x["q"], r"\b(teorema|algoritmo|revolução industrial|segunda guerra)\b"))),
-        Rule("AGE_TOO_EASY", "difficulty", "demasiado fácil para +15 nível exigente", lambda x: (x["age"] == "15+") & (x["difficulty"] >= 4) & has(x["q"], TRIVIAL)),
+        Rule("DIFFICULTY_OUT_OF_RANGE", "difficulty", lambda x: F.concat(F.lit("dificuldade "), written(x), F.lit(" incompatível com faixa "), x["age"]), lambda x: ~relaxed(x) & ~x["asked"].between(low(x), high(x))),
+        hard("demasiado difícil para 6–9", lambda x: (x["asked"] >= 4) | ((x["asked"] <= 2) & has(x["q"], r"\b(teorema|algoritmo|revolução industrial|segunda guerra)\b"))),
+        Rule("AGE_TOO_EASY", "difficulty", "demasiado fácil para +15 nível exigente", lambda x: ~relaxed(x) & (x["age"] == "15+") & (x["asked"] >= 4) & has(x["q"], TRIVIAL)),
         Rule("DIFFICULTY_EASIER_THAN_REQUESTED", "difficulty", lambda x: told(x, "fácil"), lambda x: ~relaxed(x) & (gap(x) >= need(x))),
         Rule("DIFFICULTY_HARDER_THAN_REQUESTED", "difficulty", lambda x: told(x, "difícil"), lambda x: ~relaxed(x) & (-gap(x) >= need(x))),
     ]
@@ -580,6 +609,7 @@ def portuguese_rules() -> list[Rule]:
     played = lambda pattern, message, *more: variant(message, lambda x: has(x["blob"], FOOTBALL) & reduce(lambda a, p: a & has(x["blob"], p), more, has(x["blob"], pattern)))
     soccer = lambda word: f'termo de futebol brasileiro — em PT-PT usa "{word}"'
     goal = r"(?:^|[^\w])gols?(?:[^\w]|$)"
+    told = lambda x: F.concat_ws(" ", x["q"], F.array_join(x["clues"], " "))
     return [
         Rule("PT_INVALID_SCRIPT", "ptPt", "texto com caracteres não portugueses (ex.: chinês ou outro alfabeto)", lambda x: x["blob"].rlike(FOREIGN_SCRIPT)),
         Rule("PT_MIXED_WORD", "ptPt", "palavra com letras misturadas de outro idioma", lambda x: x["blob"].rlike(MIXED_WORD)),
@@ -594,6 +624,11 @@ def portuguese_rules() -> list[Rule]:
         played(r"\buniformes?\b", soccer("equipamento"), r"\bfutebol\b"),
         played(r"\bpartidas?\b", soccer("jogo"), r"\bfutebol\b"),
         variant(soccer("golo"), lambda x: has(x["blob"], FOOTBALL) & has(x["blob"], goal) & ~has(x["blob"], r"\bgolfe\b")),
+        played(r"\bcampo de grama\b", 'termo de futebol brasileiro — em PT-PT usa "relvado" ou "campo de relva"'),
+        variant('em PT-PT usa "golo/golos" (não "gol/gols"), mesmo com "goleada" ou "golear"', lambda x: has(x["blob"], FOOTBALL) & has(x["blob"], r"\bgolead[ao]\b") & has(x["blob"], goal) & ~has(x["blob"], r"\bgolfe\b")),
+        played(r"\bgolead[ao]\b", "goleada/golear em contexto de campeonato português — evita referências ao futebol brasileiro", r"\b(Brasileirão|Brasileirao|Campeonato Brasileiro|Série [AB] do Brasil)\b"),
+        variant('brasileirismo — em PT-PT o papagaio de papel não se chama "pipa"', lambda x: has(x["a"], "^pipa$") & has(told(x), KITE) & ~has(told(x), NO_KITE)),
+        Rule("PT_COUNTRY_NAME", "ptPt", lambda x: F.concat(F.lit('usa a mesma grafia na pergunta e na resposta — em PT-PT "'), x["spelling"], F.lit('"')), lambda x: x["spelling"].isNotNull()),
         Rule("PT_COUNTRY_NAME", "ptPt", lambda x: F.concat(F.lit('nome de país ou cidade incorrecto — em PT-PT usa "'), x["place"]["canonical"], F.lit('" (não "'), x["place"]["variant"], F.lit('")')), lambda x: x["place"].isNotNull()),
         Rule("PT_ENGLISH_ONLY", "ptPt", "resposta ou opção só em inglês — usa português de Portugal", lambda x: x["age"].isin("6-9", "10-15") & english_part(F.concat(F.array(x["q"], x["a"]), x["raw"]))),
     ]
@@ -607,11 +642,16 @@ def semantic_rules() -> list[Rule]:
     ]
 
 
-def rules() -> list[Rule]:
-    """All rules of items that are whole, in the order in which their issues are listed."""
+def families() -> dict[str, list[Rule]]:
+    """All rules of items that are whole by family, in the order in which their issues are listed; the reported facts, which
+    are data, come before the semantic ones."""
     few = Rule("MC_INSUFFICIENT_OPTIONS", "mcOptions", "opções MC insuficientes", lambda x: x["is_mc"] & (F.size(x["raw"]) < 2))
     options = [Rule(r.code, r.layer, r.message, lambda x, r=r: x["is_mc"] & (F.size(x["raw"]) >= 2) & r.when(x)) for r in option_rules()]
-    return [*format_rules(), *age_rules(), *difficulty_rules(), *category_rules(), *portuguese_rules(), *semantic_rules(), few, *options]
+    return {"format": format_rules(), "age": age_rules(), "difficulty": difficulty_rules(), "category": category_rules(), "portuguese": portuguese_rules(), "semantic": semantic_rules(), "options": [few, *options]}
+
+
+def rules() -> list[Rule]:
+    return [r for family in families().values() for r in family]
 
 
 INCOMPLETE = Rule("STRUCTURE_INCOMPLETE", "structural", "estrutura incompleta", lambda x: (x["q"] == "") | (x["a"] == ""))
@@ -622,14 +662,36 @@ def _issue(rule: Rule, x: Context) -> Column:
     return F.when(F.coalesce(rule.when(x), F.lit(False)), F.struct(F.lit(rule.code).alias("code"), F.lit(rule.layer).alias("layer"), message.alias("message")))
 
 
-def with_issues(items: DataFrame, some: Sequence[Rule] | None = None) -> DataFrame:
+@lru_cache(2)
+def _issues(application: str) -> Column:
+    """The issues of all families, from the columns of `context`; made once for a session, since the rules are many.
+
+    The rules are the body of one function over one struct of what they look at. Such bodies are not compiled: code for
+    some two hundred rules in one projection takes longer to compile than thousands of items take to judge."""
+
+    def judged(x: Column) -> Column:
+        found = {name: F.array_compact(F.array(*[_issue(r, x) for r in family])).cast(f"array<{ISSUE}>") for name, family in families().items()}
+        last = ("semantic", "options")
+        return F.concat(*[c for name, c in found.items() if name not in last], x["facts"], *[found[name] for name in last])
+
+    item = F.struct(*[_at(name).alias(name) for name in CONTEXT])
+    found = F.transform(F.array(item), lambda x: F.when(INCOMPLETE.when(x), F.array(_issue(INCOMPLETE, x)).cast(f"array<{ISSUE}>")).otherwise(F.array_distinct(judged(x))))
+    return F.get(found, F.lit(0))
+
+
+def with_issues(items: DataFrame) -> DataFrame:
     """items with `issues`, an array of (code, layer, message), each issue once. An item without question or answer has
     that issue alone."""
-    x = {name: _at(name) for name in CONTEXT}
-    found = F.array_distinct(F.array_compact(F.array(*[_issue(r, x) for r in (rules() if some is None else some)])))
-    alone = F.array(_issue(INCOMPLETE, x))
-    judged = context(items).withColumn("issues", F.when(INCOMPLETE.when(x), alone).otherwise(found).cast(f"array<{ISSUE}>"))
-    return judged.drop(*[f"_x_{name}" for name in CONTEXT])
+    judged = context(items).withColumn("_x_facts", F.array_distinct(reported.issues("_x_")).cast(f"array<{ISSUE}>")).withColumn("issues", _issues(items.sparkSession.sparkContext.applicationId))
+    return judged.drop(*[c for c in judged.columns if c.startswith("_x_")])
+
+
+def each_issue(judged: DataFrame, *columns: str) -> DataFrame:
+    """The columns and `issue`, a row for each issue of items with `issues`.
+
+    An outer explode: from an inner one Spark infers that there are issues, and moves that filter, with all rules written
+    out in it, below everything to the scan, where they would be worked out once more."""
+    return judged.select(*columns, F.explode_outer("issues").alias("issue")).filter("issue IS NOT NULL")
 
 
 def only_difficulty(codes: Column) -> Column:

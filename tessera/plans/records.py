@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys, localtime, places, text
 from tessera.operators import bank as bank_ops
-from tessera.operators import diagnosis, games, history, items, knowledge, picks, records, review, telemetry, validation
+from tessera.operators import diagnosis, games, history, items, knowledge, picks, records, review, sequential, telemetry, validation
 from tessera.plans import adapters as a
 from tessera.plans.registry import AS_OF, query
 from tessera.sources import markup
@@ -234,7 +234,9 @@ def strict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- item rules and reports --------------------------------------------------------------------------------------------
 
-BANK_ITEMS = """
+#: What the bank's items can break: the names of parts are English words, an option repeats the question with a letter
+#: more, and a missing difficulty is the least of the band. Names of parts are in no other rule's patterns.
+BANK_ITEMS = f"""
 WITH b AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS two, ['6-9', '10-15', '15+'][p_partkey % 3 + 1] AS age, p_name AS q, CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 5 + 1 END AS d,
   CASE WHEN p_partkey % 10 = 7 THEN [p_name, p_name || ' a', p_brand] WHEN p_partkey % 3 = 0 THEN ['Verdadeiro', 'Falso'] ELSE [p_name, p_name || ' a', p_brand, p_type] END AS o FROM part),
 l AS (SELECT *, CASE age WHEN '6-9' THEN 4 WHEN '10-15' THEN 6 ELSE 8 END AS w, CASE age WHEN '6-9' THEN 38 WHEN '10-15' THEN 52 ELSE 72 END AS c, CASE age WHEN '6-9' THEN 3 WHEN '10-15' THEN 4 ELSE 5 END AS most FROM b),
@@ -242,8 +244,12 @@ i AS (
   SELECT age, 'MC_OPTIONS_TOO_LONG' AS code FROM l WHERE len(list_filter(o, lambda x: len(string_split(x, ' ')) > w OR length(x) > c)) > 0
   UNION ALL SELECT age, 'ANSWER_LEAKED' FROM l WHERE NOT two
   UNION ALL SELECT age, 'DIFFICULTY_OUT_OF_RANGE' FROM l WHERE d > most
-  UNION ALL SELECT age, 'DIFFICULTY_EASIER_THAN_REQUESTED' FROM l WHERE least(d, most) >= 4
+  UNION ALL SELECT age, 'DIFFICULTY_EASIER_THAN_REQUESTED' FROM l WHERE d >= 4 AND least(d, most) >= 4
   UNION ALL SELECT age, 'MC_MULTIPLE_CORRECT' FROM l WHERE two AND k % 10 = 7
+  UNION ALL SELECT age, 'AGE_TOO_HARD' FROM l WHERE age = '6-9' AND d >= 4
+  UNION ALL SELECT age, 'MC_OPTION_LEAKS_QUESTION' FROM l WHERE NOT two AND len(o) = 4
+  UNION ALL SELECT age, 'PT_ENGLISH_ONLY' FROM l WHERE age IN ('6-9', '10-15') AND (regexp_matches(q, '{items.ENGLISH_WORDS}')
+    OR (len(o) = 4 AND NOT two AND o[4] NOT LIKE '% %' AND regexp_matches(lower(o[4]), '{items.ENGLISH_WORDS}')))
 )
 """
 
@@ -255,11 +261,11 @@ def bank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BANK_ITEMS + "SELECT age AS age_band, code, count(*) AS items FROM i GROUP BY ALL")
 def item_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many items of the bank have some of the issues."""
-    told = ("MC_OPTIONS_TOO_LONG", "ANSWER_LEAKED", "DIFFICULTY_OUT_OF_RANGE", "DIFFICULTY_EASIER_THAN_REQUESTED", "MC_MULTIPLE_CORRECT")
-    some = [r for r in items.rules() if r.code in told]
-    each = items.with_issues(bank_items(spark, sf_dir), some).select("age_band", F.explode("issues").alias("i"))
-    return each.groupBy("age_band", F.col("i.code").alias("code")).agg(F.count(F.lit(1)).alias("items"))
+    """How many items of the bank have each issue, of all rules."""
+    # the table is one file; judging is work for every core
+    rows = bank_items(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "question_hash")
+    each = items.each_issue(items.with_issues(rows), "age_band")
+    return each.groupBy("age_band", F.col("issue.code").alias("code")).agg(F.count(F.lit(1)).alias("items"))
 
 
 REPORTS = """
@@ -592,3 +598,24 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {f.name: f.dataType.simpleString() for f in stored.schema} | {"score": "int"}
     again = telemetry.from_rows(telemetry.with_columns(stored, wanted))
     return again.groupBy("outcome", "game_mode").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("""
+WITH RECURSIVE p AS (
+  SELECT p_partkey AS k, p_size % 20 + 1 AS category, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(p_type || ' ' || p_name || ' lote' || p_partkey % 7), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ')), lambda w: length(w) > 2) AS words FROM part
+), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS at FROM p),
+walk(category, at, k, held, kept) AS (
+  SELECT category, at, k, words, TRUE FROM r WHERE at = 1
+  UNION ALL
+  SELECT category, at, k, CASE WHEN alike THEN held ELSE words END, NOT alike FROM (
+    SELECT r.category, r.at, r.k, r.words, w.held, len(list_intersect(r.words, w.held)) / len(list_distinct(r.words || w.held)) >= 0.5 AS alike FROM walk w JOIN r ON r.category = w.category AND r.at = w.at + 1)
+)
+SELECT category::INT AS category_n, count(*) AS records, count(*) FILTER (kept) AS kept, (sum(k) FILTER (kept))::BIGINT AS kept_keys FROM walk GROUP BY category
+""")
+def unlike_last_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each category that are not like the last one kept before them."""
+    p = a.table(spark, sf_dir, "part")
+    text = F.concat_ws(" ", "p_type", "p_name", F.concat(F.lit("lote"), F.pmod("p_partkey", F.lit(7)).cast("string")))
+    category = (F.pmod("p_size", F.lit(20)) + 1).cast("int").alias("category_n")
+    found = sequential.unlike_last(p.select("p_partkey", category, text.alias("fact")), F.col("category_n"), ["p_partkey"], F.col("fact"), 0.5)
+    return found.groupBy("category_n").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("kept"), 1)).alias("kept"), F.sum(F.when(F.col("kept"), F.col("p_partkey"))).alias("kept_keys"))
