@@ -133,7 +133,11 @@ def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as provider calls."""
-    e = table(spark, sf_dir, "events")
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(e: DataFrame) -> DataFrame:
+    """Rows of the table of events, stored or streaming, as provider calls."""
     failed = F.col("event_type") == "error"
     return e.select(
         F.col("ts").cast("timestamp").alias("ts"),

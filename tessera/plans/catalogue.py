@@ -868,3 +868,6 @@ def local_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of categories: the query that `entry` runs."""
     return event_accuracy(spark, sf_dir)
+
+
+from tessera.plans import streams as _streams  # noqa: E402, F401  registers its queries, over SQL from above

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, localtime, places, text
 from tessera.operators import bank as bank_ops
-from tessera.operators import diagnosis, games, history, items, knowledge, picks, records, review, sequential, telemetry, validation
+from tessera.operators import diagnosis, games, history, items, knowledge, picks, records, repetition, review, sequential, telemetry, validation
 from tessera.plans import adapters as a
 from tessera.plans.registry import AS_OF, query
 from tessera.sources import markup
@@ -603,12 +604,12 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH RECURSIVE p AS (
   SELECT p_partkey AS k, p_size % 20 + 1 AS category, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(p_type || ' ' || p_name || ' lote' || p_partkey % 7), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ')), lambda w: length(w) > 2) AS words FROM part
-), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS at FROM p),
-walk(category, at, k, held, kept) AS (
-  SELECT category, at, k, words, TRUE FROM r WHERE at = 1
+), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS pos FROM p),
+walk(category, pos, k, held, kept) AS (
+  SELECT category, pos, k, words, TRUE FROM r WHERE pos = 1
   UNION ALL
-  SELECT category, at, k, CASE WHEN alike THEN held ELSE words END, NOT alike FROM (
-    SELECT r.category, r.at, r.k, r.words, w.held, len(list_intersect(r.words, w.held)) / len(list_distinct(r.words || w.held)) >= 0.5 AS alike FROM walk w JOIN r ON r.category = w.category AND r.at = w.at + 1)
+  SELECT category, pos, k, CASE WHEN alike THEN held ELSE words END, NOT alike FROM (
+    SELECT r.category, r.pos, r.k, r.words, w.held, len(list_intersect(r.words, w.held)) / len(list_distinct(r.words || w.held)) >= 0.5 AS alike FROM walk w JOIN r ON r.category = w.category AND r.pos = w.pos + 1)
 )
 SELECT category::INT AS category_n, count(*) AS records, count(*) FILTER (kept) AS kept, (sum(k) FILTER (kept))::BIGINT AS kept_keys FROM walk GROUP BY category
 """)
@@ -619,3 +620,40 @@ def unlike_last_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = (F.pmod("p_size", F.lit(20)) + 1).cast("int").alias("category_n")
     found = sequential.unlike_last(p.select("p_partkey", category, text.alias("fact")), F.col("category_n"), ["p_partkey"], F.col("fact"), 0.5)
     return found.groupBy("category_n").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("kept"), 1)).alias("kept"), F.sum(F.when(F.col("kept"), F.col("p_partkey"))).alias("kept_keys"))
+
+
+REPETITIONS = """
+WITH i AS (
+  SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS p, CASE WHEN l_partkey % 3 = 0 THEN 'k' || l_partkey % 900 END AS id,
+    'geo|e' || l_partkey % 700 || '|c' || l_quantity::INT % 5 || '|r' AS key, 'h' || l_orderkey % 400 AS hash, 'resposta ' || l_partkey % 800 AS answer, l_linenumber = 1 AS two,
+    list_distinct(['lote' || l_partkey % 41, 'cor' || l_partkey % 13, 'tipo' || l_linenumber]) AS words FROM lineitem
+), f AS (
+  SELECT *, min(p) OVER (PARTITION BY s, id) AS first_id, min(p) OVER (PARTITION BY s, key) AS first_key, min(CASE WHEN NOT two THEN p END) OVER (PARTITION BY s, answer) AS first_answer FROM i
+), c AS (
+  SELECT 'KNOWLEDGE_ID_REPEATED' AS code FROM f WHERE id IS NOT NULL AND first_id < p
+  UNION ALL SELECT 'KNOWLEDGE_REPEATED' FROM f WHERE id IS NULL AND first_key < p
+  UNION ALL SELECT 'KNOWLEDGE_REPORTED' FROM f WHERE id IN ('k3', 'k6')
+  UNION ALL SELECT 'QUESTION_REPORTED' FROM f WHERE hash = 'h7'
+  UNION ALL SELECT 'ANSWER_REPEATED' FROM f WHERE NOT two AND first_answer < p
+  UNION ALL SELECT 'QUESTION_SIMILAR' FROM f WHERE EXISTS (SELECT 1 FROM i WHERE i.s = f.s AND i.p BETWEEN f.p - 8 AND f.p - 1 AND len(list_intersect(i.words, f.words)) / len(list_distinct(i.words || f.words)) >= 0.55)
+)
+"""
+
+
+@query(REPETITIONS + "SELECT code, count(*) AS items FROM c GROUP BY code")
+def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many line items, as items of their supplier's session, have each issue of repetition."""
+    number = lambda c, n: F.pmod(c, F.lit(n)).cast("string")
+    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    items_ = a.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("session"),
+        place.alias("position"),
+        F.concat(F.lit("lote"), number("l_partkey", 41), F.lit(" cor"), number("l_partkey", 13), F.lit(" tipo"), F.col("l_linenumber").cast("string")).alias("question"),
+        F.concat(F.lit("Resposta "), number("l_partkey", 800)).alias("answer"),
+        F.when(F.col("l_linenumber") == 1, "VERDADEIRO_FALSO").otherwise("RESPOSTA_DIRETA").alias("format"),
+        F.when(F.pmod("l_partkey", F.lit(3)) == 0, F.concat(F.lit("k"), number("l_partkey", 900))).alias("knowledge_id"),
+        F.concat(F.lit("geo|e"), number("l_partkey", 700), F.lit("|c"), number(F.col("l_quantity").cast("int"), 5), F.lit("|r")).alias("knowledge_key"),
+        F.concat(F.lit("h"), number("l_orderkey", 400)).alias("question_hash"),
+    )
+    blocked = spark.createDataFrame([(None, "blocked", "knowledge_id", "k3"), (None, "blocked", "knowledge_id", "k6"), (None, "blocked", "question_hash", "h7")], "session string, kind string, field string, value string")
+    return repetition.repetition_issues(items_, blocked).groupBy("code").agg(F.count(F.lit(1)).alias("items"))
