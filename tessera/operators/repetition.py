@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import keys
+from tessera.functions.lineage import cut
 from tessera.functions.text import jaccard, normalize, strip_accents, tokens
 
 # How many questions back similar ones are looked for, from which similarity, and the issues by code.
@@ -45,11 +46,10 @@ def _grams(x: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.array(*[F.substring(x, i, F.lit(n)) for n in (1, 2, 3)]))))
 
 
-def _asked_and_told(key: Column) -> tuple[Column, Column]:
-    """Join keys of a knowledge key as one of two: two keys can only match if what one asks for is among what the other
+def _asked_and_told(parts: Column, free: Column) -> tuple[Column, Column]:
+    """Join keys of a knowledge key, given by its parts and as a free one, as one of two: two keys can only match if what one asks for is among what the other
     tells. Structured keys ask by entity and concept, and for free keys that hold their entity; free ones ask by their
     words, and for those that hold them."""
-    parts, free = keys.parts_of(key), normalize(key)
     tag = lambda kind, x: F.transform(x, lambda v: F.concat(F.lit(kind), v))
     entity = F.element_at(parts, 2)
     pair = F.array(F.concat_ws("|", entity, F.element_at(parts, 3)))
@@ -67,11 +67,13 @@ def _known_before(items: DataFrame, earlier: DataFrame) -> DataFrame:
     keyed = items.filter(F.coalesce("knowledge_key", F.lit("")) != "").select("session", "position", "knowledge_id", F.col("knowledge_key").alias("key"))
     classes = keyed.groupBy("session", "key").agg(F.min("position").alias("first")).unionByName(earlier.select("session", F.col("value").alias("key"), F.lit(-1).cast("long").alias("first")))
     classes = classes.groupBy("session", "key").agg(F.min("first").alias("first"))
-    asked, told = _asked_and_told(F.col("key"))
+    # settled first: an explode moves a filter with all of its expression below what it is made from
+    classes = cut(classes.withColumns({"_parts": keys.parts_of(F.col("key")), "_free": normalize(F.col("key"))}))
+    asked, told = _asked_and_told(F.col("_parts"), F.col("_free"))
     a = classes.select("session", F.col("key").alias("key_a"), F.col("first").alias("first_a"), F.explode(asked).alias("by"))
     b = classes.select("session", F.col("key").alias("key_b"), F.col("first").alias("first_b"), F.explode(told).alias("by"))
     met = a.join(b, ["session", "by"]).select("session", "key_a", "first_a", "key_b", "first_b").distinct()
-    match = met.filter(keys.keys_match(F.col("key_a"), F.col("key_b")))
+    match = met.filter((F.col("key_a") == F.col("key_b")) | keys.keys_match(F.col("key_a"), F.col("key_b")))
     both = match.select("session", F.col("key_a").alias("key"), F.col("first_b").alias("first")).unionByName(match.select("session", F.col("key_b").alias("key"), F.col("first_a").alias("first")))
     least = both.groupBy("session", "key").agg(F.min("first").alias("first"))
     return keyed.filter(F.coalesce("knowledge_id", F.lit("")) == "").join(least, ["session", "key"]).filter(F.col("first") < F.col("position")).select("session", "position")
@@ -99,6 +101,7 @@ def repetition_issues(items: DataFrame, history: DataFrame) -> DataFrame:
     skip = (F.coalesce("format", F.lit("")) == "VERDADEIRO_FALSO") | answer.isin(*TRUE_FALSE)
     trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
     rows = items.select("session", F.col("position").cast("long").alias("position"), asked.alias("_asked"), F.when(~skip, answer).alias("_answer"), trimmed(F.col("knowledge_id")).alias("knowledge_id"), F.col("knowledge_key"), trimmed(F.col("question_hash")).alias("question_hash")).withColumn("_norm", normalize(F.col("_asked")))
+    rows = cut(rows)  # read by every check below
     of = lambda kind, field: history.filter((F.col("kind") == kind) & (F.col("field") == field) & (F.trim("value") != "")).select("session", F.trim("value").alias("value"))
 
     def blocked(column: str, field: str) -> DataFrame:
