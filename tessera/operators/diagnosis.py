@@ -22,6 +22,10 @@ COMPLAINTS = {"wrong_answer": "factual_error", "confusing": "ambiguity", "multip
 LOW_QUALITY, MANY_PROBLEMS, SURE = 55, 3, 70
 
 
+#: Fixed value: the code of an issue that has none.
+UNSPECIFIED = "UNSPECIFIED"
+
+
 def category_of(code: Column) -> Column:
     name, out = F.upper(F.coalesce(code, F.lit(""))), F.lit(OTHER)
     for pattern, category in reversed(BY_CODE):
@@ -30,8 +34,11 @@ def category_of(code: Column) -> Column:
 
 
 def problems(issues: Column) -> Column:
-    """(category, code, severity, message) of issues, each code once, in their order."""
-    first = F.filter(issues, lambda i, at: F.array_position(F.transform(issues, lambda y: y["code"]), i["code"]) == at + 1)
+    """(category, code, severity, message) of issues, each code once, in their order. An issue without a code goes by its
+    message, one without either is unspecified."""
+    named = lambda x: F.nullif(x, F.lit(""))
+    told = F.transform(issues, lambda i: F.struct(F.coalesce(named(i["code"]), named(i["message"]), F.lit(UNSPECIFIED)).alias("code"), i["message"].alias("message")))
+    first = F.filter(told, lambda i, at: F.array_position(F.transform(told, lambda y: y["code"]), i["code"]) == at + 1)
     return F.transform(first, lambda i: F.struct(category_of(i["code"]).alias("category"), i["code"].alias("code"), lookup(category_of(i["code"]), SEVERITY, "medium").alias("severity"), i["message"].alias("message")))
 
 

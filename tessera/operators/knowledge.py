@@ -280,10 +280,13 @@ def queue_summary(queue: DataFrame) -> DataFrame:
 
 
 def spread_by_kind(records: DataFrame, kind: str, order: str, most: int) -> DataFrame:
-    """Up to `most` records, in turn from each kind."""
+    """Up to `most` records, in turn from each kind.
+
+    A kind gives `most` records at most, which is said right above their ranking, so that each task keeps no more of a
+    kind before anything is shuffled."""
     turn = F.row_number().over(W.partitionBy(kind).orderBy(order))
-    first = F.min(order).over(W.partitionBy(kind))
-    return records.withColumns({"_turn": turn, "_first": first}).orderBy("_turn", "_first", order).limit(most).drop("_turn", "_first")
+    head = records.withColumn("_turn", turn).filter(F.col("_turn") <= most)
+    return head.withColumn("_first", F.min(order).over(W.partitionBy(kind))).orderBy("_turn", "_first", order).limit(most).drop("_turn", "_first")
 
 
 def pick_for_today(items: DataFrame, bands: tuple[str, ...] = ("6-9", "10-15", "15+"), order: str = "position") -> DataFrame:

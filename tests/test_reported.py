@@ -131,3 +131,12 @@ def test_rules_that_came_in_late(spark):
 
 def test_rules_by_family(spark):
     assert {name: len(family) for name, family in items.families().items()} == {"format": 40, "age": 28, "difficulty": 5, "category": 4, "portuguese": 42, "semantic": 3, "options": 39}
+
+
+def test_problems_without_a_code_go_by_their_message(spark):
+    from tessera.operators import diagnosis
+
+    rows = [([(None, "semantic", "texto"), ("FACT_09", "semantic", "zebra"), ("FACT_09", "semantic", "outra"), ("", "x", "texto"), (None, None, None)],), ([],)]
+    df = spark.createDataFrame(rows, "issues array<struct<code:string,layer:string,message:string>>")
+    found = [[(p["code"], p["message"]) for p in r["p"]] for r in df.select(diagnosis.problems(F.col("issues")).alias("p")).collect()]
+    assert found == [[("texto", "texto"), ("FACT_09", "zebra"), ("UNSPECIFIED", None)], []]
