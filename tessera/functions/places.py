@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rewrite
+
 #: Names as they are to be written, each with the spellings that stand for it elsewhere.
 PLACES = {
     "Bagdade": ("Baguedade", "Bagdá", "Bagdad"),
@@ -86,13 +88,14 @@ def _holds_any(x: Column) -> Column:
     return x.rlike(f"(?iu)({'|'.join(re.escape(v) for v, _ in _spellings())})")
 
 
+def spellings() -> dict[str, str]:
+    """Other spellings and the names that they stand for."""
+    return dict(_spellings())
+
+
 def canonical(x: Column) -> Column:
-    """A text with every other spelling replaced, longer ones first; one in capitals stays in capitals."""
-    steps = []
-    for variant, name in sorted(_spellings(), key=lambda v: -len(v[0])):
-        steps += [(_whole(variant.upper()), name.upper()), (f"(?iu){_whole(variant)}", name)]
-    written = F.aggregate(_table(steps, "pattern", "name"), x, lambda text, v: F.regexp_replace(text, v["pattern"], v["name"]))
-    return F.when(_holds_any(x), written).otherwise(x)
+    """A text with every other spelling replaced, longer ones first, in the case of what stood there."""
+    return F.when(_holds_any(x), rewrite.by_dictionary(x, spellings())).otherwise(x)
 
 
 def _used(x: Column, rows: list[tuple[str, str, str]]) -> Column:

@@ -871,3 +871,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from tessera.plans import streams as _streams  # noqa: E402, F401  registers its queries, over SQL from above
+from tessera.plans import texts as _texts  # noqa: E402, F401
