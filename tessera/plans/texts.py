@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import portuguese
-from tessera.operators import safety
+from tessera.functions.lineage import cut
+from tessera.operators import entities, safety
 from tessera.plans import adapters as a
 from tessera.plans.registry import query
 
@@ -54,7 +55,7 @@ SELECT doc_id, count(*) AS found, count(*) FILTER (kind = 'phrase') AS phrases,
 def unsafe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents hold of the benchmark's words and pairs of words, were they unsafe."""
     documents = a.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = safety.matches(documents, benchmark_rules(spark, sf_dir), "doc_id", "text")
+    found = cut(safety.matches(documents, benchmark_rules(spark, sf_dir), "doc_id", "text"))  # counted twice, found once
     act = safety.actionable(found, documents, "doc_id", "text", TAUGHT).withColumn("act", F.lit(1))
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
     kept = act.groupBy("doc_id").agg(F.count("act").alias("actionable"))
@@ -89,3 +90,45 @@ def portuguese_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = F.concat(a._pick(("Ja  vi ", "NAO há ", " De Moscou a ", "a crianca e "), k % 4), F.col("p_name"), F.when(k % 3 == 0, " em  New York ").otherwise(""))
     clues = F.when(k % 2 == 0, F.array(F.lit("Iran "), F.lit(" "), F.lit("pao")))
     return portuguese.normalized_record(a.table(spark, sf_dir, "part").select("p_partkey", fact.alias("fact"), clues.alias("clues")))
+
+
+def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by their number's last digits as entities of JSON, which name parts, brands and types in every way that labels
+    come; every ninth is empty, one is no JSON."""
+    p, n = a.table(spark, sf_dir, "part"), F.col("p_partkey") % 97
+    told = p.groupBy(n.alias("n")).agg(F.array_sort(F.collect_set("p_name")).alias("names"), F.min("p_brand").alias("brand"), F.min("p_type").alias("type"))
+    bag = lambda **langs: F.to_json(F.struct(*[c.alias(k) for k, c in langs.items()]))
+    value = lambda c: F.struct(c.alias("value"))
+    labels = F.when(F.col("n") % 9 > 0, bag(pt=F.element_at("names", 1), en=value(F.concat(F.lit("The "), F.element_at("names", 1)))))
+    aliases = F.when(F.col("n") == 5, "{broken").when(F.col("n") % 9 > 0, bag(pt=F.slice("names", 2, 3), en=F.array(value(F.concat_ws(" ", "type", F.lit("grande"))))))
+    return told.select(F.concat(F.lit("Q"), F.col("n").cast("string")).alias("id"), labels.alias("labels"), F.when(F.col("n") % 9 > 0, bag(en=F.lower("brand"))).alias("descriptions"), aliases.alias("aliases"))
+
+
+@query("""
+WITH named AS (SELECT DISTINCT p_partkey % 97 AS n, p_name FROM part), listed AS (SELECT n, list(p_name ORDER BY p_name) AS names FROM named GROUP BY n),
+e AS (SELECT p_partkey % 97 AS n, min(p_brand) AS brand, min(p_type) AS type FROM part GROUP BY 1),
+plain AS (
+  SELECT n, list_transform(list_concat([names[1], 'the ' || names[1], lower(replace(brand, '#', ' '))], CASE WHEN n = 5 THEN [] ELSE list_concat(names[2:4], [lower(type) || ' grande']) END), lambda t: lower(t)) AS texts
+  FROM listed JOIN e USING (n) WHERE n % 9 > 0
+), r AS (
+  SELECT p_partkey AS k, p_partkey % 101 AS n, p_partkey % 8 AS kind, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'o grande ' || p_name WHEN 2 THEN 'verdadeiro' WHEN 3 THEN lower(p_type) || ' nada' WHEN 4 THEN '' ELSE lower(replace(p_brand, '#', ' ')) END AS answer FROM part
+), t AS (SELECT *, list_filter(string_split(answer, ' '), lambda w: length(w) >= 4) AS tokens FROM r LEFT JOIN plain USING (n)),
+j AS (SELECT *, list_bool_or(list_transform(texts, lambda x: contains(x, answer) OR contains(answer, x))) OR (len(tokens) > 0 AND len(list_filter(tokens, lambda w: list_bool_or(list_transform(texts, lambda x: contains(x, w))))) >= least(2, len(tokens))) AS held FROM t)
+SELECT k AS p_partkey, CASE WHEN kind IN (0, 1) THEN 'not_applicable' WHEN answer = 'verdadeiro' THEN 'true_false' WHEN kind = 2 THEN 'no_qid' WHEN n >= 97 THEN 'no_entity' WHEN answer = '' THEN 'no_answer' WHEN texts IS NULL THEN 'empty_entity'
+  WHEN held THEN 'matched' ELSE 'contradiction' END AS outcome FROM j
+""")
+def supported_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether entities confirm the parts' answers; some parts are riddles, of another source or name no entity."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    kind, q = k % 8, F.concat(F.lit("Q"), (k % 101).cast("string"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit(" "))
+    answer = F.when(k % 6 == 0, F.upper(name)).when(k % 6 == 1, F.concat(F.lit("Ó grande, "), name)).when(k % 6 == 2, "VERDADEIRO").when(k % 6 == 3, F.concat("p_type", F.lit(" nada"))).when(k % 6 == 4, "?").otherwise(brand)
+    rows = a.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        answer.alias("answer"),
+        F.when(kind == 0, "manual").otherwise("Wikidata").alias("source"),
+        F.when(~kind.isin(0, 2, 3), F.lower(q)).alias("source_id"),
+        F.when(kind == 3, F.concat(F.lit("https://www.wikidata.org/wiki/"), q)).alias("source_url"),
+        F.when(kind == 1, "adivinha").otherwise("RESPOSTA_DIRETA").alias("format"),
+    )
+    return entities.supported(rows, entities.texts(entity_documents(spark, sf_dir))).select("p_partkey", "outcome")
