@@ -13,8 +13,9 @@ from tessera.functions.text import strip_accents
 #: Rules are broadcast while their terms have fewer characters than this, each rule counted as 64 more; beyond it the keys
 #: are shuffled.
 BROADCAST = 16_000_000
-#: Phrases meet texts by their first so many characters and are compared from there; shorter ones need their spaces.
-SEED = 5
+#: Phrases of fewer letters need their spaces; terms meet texts by as many of their first letters as one of the seeds has,
+#: the longest that they hold, or by all of them, and are compared from there.
+SEED, SEEDS = 5, (5, 10)
 #: Texts are cut into pieces of so many characters before they are cut into keys, so that long ones need no more memory.
 PIECE = 4096
 
@@ -63,29 +64,32 @@ def _chains(x: Column, longest: int) -> Column:
     return F.regexp_extract_all(F.regexp_replace(marked, f"[{BETWEEN}]+", ""), F.lit(f"<(?=([a-z<>]{{1,{3 * longest + 1}}}))"), F.lit(1))
 
 
-def _spelled(chain: Column, longest: int) -> Column:
-    """The words that a chain spells from its beginning to each place where a word may end."""
-    parts = F.split(chain, ">")
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.translate(F.array_join(F.slice(parts, F.lit(1), n), ""), "<", ""))
-    return F.when(F.size(parts) > 1, F.filter(ends, lambda w: F.length(w) <= longest)).otherwise(F.array().cast("array<string>"))
-
-
 def _words(x: Column, longest: int) -> Column:
-    """(key, loose) of a text's words: those that stand in it unmasked, and, loosely, those that single letters or letters
-    with something between them spell, and a text of a few letters as a whole."""
+    """(key, loose) of a text's words: those that stand in it unmasked, and, loosely, those that single letters spell and a
+    text of a few letters as a whole."""
     spaced = unmasked(x)
     loose, strict = (lambda k: F.struct(k.alias("key"), F.lit(True).alias("loose"))), (lambda k: F.struct(k.alias("key"), F.lit(False).alias("loose")))
     singles = F.regexp_extract_all(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit("(?<= )((?:[a-z0-9] )+[a-z0-9])(?= )"), F.lit(1))
     whole = F.replace(spaced, F.lit(" "), F.lit(""))
-    fits = lambda k: (F.length(k["key"]) <= longest) & (k["key"] != "")
-    spelled = F.flatten(F.transform(F.array_distinct(_chains(x, longest)), lambda c: _spelled(c, longest)))
     found = F.concat(
         F.transform(F.array_distinct(F.split(spaced, " ")), strict),
         F.transform(F.array_distinct(singles), lambda s: loose(F.replace(s, F.lit(" "), F.lit("")))),
-        F.transform(F.array_distinct(spelled), loose),
         F.transform(F.when(F.length(whole) <= SHORT, F.array(whole)).otherwise(F.array().cast("array<string>")), loose),
     )
-    return F.filter(found, fits)
+    return F.filter(found, lambda k: (F.length(k["key"]) <= longest) & (k["key"] != ""))
+
+
+def _begins(held: Column, longest: int) -> Column:
+    """The seeds by which terms of any length up to `longest` that begin like a text can be met."""
+    return F.array(*[F.substring(held, 1, n) for n in (*range(1, SEED), *SEEDS) if n <= longest])
+
+
+def _seed(compact: Column) -> Column:
+    """A term's seed: all of it if it is short, else as many letters as the longest seed that it holds."""
+    of = F.substring(compact, 1, SEEDS[0])
+    for n in SEEDS[1:]:
+        of = F.when(F.length(compact) >= n, F.substring(compact, 1, n)).otherwise(of)
+    return of
 
 
 def _small(df: DataFrame, held: int) -> DataFrame:
@@ -103,32 +107,43 @@ def matches(texts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFram
     Rows that share a key are one text's parts; a null text breaks nothing, rows with a null key are found under null; an
     empty table of either gives none. Texts are not shuffled, only what was found is, while the rules are small enough to
     be broadcast (`BROADCAST`, measured); beyond it, the keys of the texts are."""
-    ready = prepared(rules)
+    ready = cut(prepared(rules).withColumn("rule", F.monotonically_increasing_id()))  # numbers are settled once written
     size = ready.agg(F.max(F.length("compact")).alias("longest"), F.sum(F.length("compact") + F.length("spaced") + F.length("term") + F.length(F.coalesce("replacement", F.lit(""))) + 64).alias("held")).first()
     longest, held = size["longest"] or 1, size["held"] or 0
     given = texts.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{text}`").cast("string").alias("x"))
-    out = ["row_key", "kind", "term", "severity", "replacement"]
+    out = ["row_key", "rule"]
 
     words = ready.filter("kind = 'word'")
     keys = given.select("row_key", F.explode(_words(F.col("x"), longest)).alias("k")).select("row_key", "k.*")
     strict = F.col("loose") | (F.length("compact") > SHORT) | F.col("bare")
     alone = keys.join(_small(words, held), (F.col("key") == F.col("compact")) & strict).select(*out)
 
+    # words in letters with something between them: from each place where a word may begin
+    chains = given.select("row_key", F.explode(_chains(F.col("x"), longest)).alias("chain")).withColumn("letters", F.translate("chain", "<>", ""))
+    begun = chains.select("row_key", "chain", "letters", F.explode(_begins(F.col("letters"), longest)).alias("seed"))
+    apart = F.array_join(F.filter(F.split("compact", ""), lambda c: c != ""), "[<>]*")
+    lettered = words.filter(F.col("compact").rlike("^[a-z]+$")).select("*", _seed(F.col("compact")).alias("seed"), F.concat("compact", F.lit(">")).alias("closed"), F.concat(F.lit("^"), apart, F.lit(">")).alias("pattern"))
+    ends = F.when(F.expr("startswith(chain, closed)"), True).otherwise(F.expr("rlike(chain, pattern)"))
+    spelled = begun.join(_small(lettered, held), "seed").filter(F.expr("startswith(letters, compact)") & ends).select(*out)
+
     phrases = ready.filter("kind = 'phrase'")
-    long = phrases.filter(F.length("compact") >= SEED).withColumn("seed", F.substring("compact", 1, SEED))
+    long = phrases.filter(F.length("compact") >= SEED).withColumn("seed", _seed(F.col("compact")))
     windows = given.select("row_key", F.explode(_pieces(F.replace(unmasked(F.col("x")), F.lit(" "), F.lit("")), longest)).alias("piece"))
-    windows = windows.select("row_key", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{SEED},{max(longest, SEED)}}}))"), F.lit(1)))).alias("window"))
-    inside = windows.withColumn("seed", F.substring("window", 1, SEED)).join(_small(long, held), "seed").filter(F.expr("startswith(window, compact)")).select(*out)
+    windows = windows.select("row_key", F.explode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{SEED},{max(longest, SEED)}}}))"), F.lit(1))).alias("window"))
+    met = windows.select("row_key", "window", F.explode(F.array(*[F.substring("window", 1, n) for n in SEEDS])).alias("seed"))
+    inside = met.join(_small(long, held), "seed").filter(F.expr("startswith(window, compact)")).select(*out)
 
-    # phrases of fewer letters: with their spaces, at most twice as long
+    # phrases of fewer letters stand in the text with their spaces, so they have at most twice as many characters
     short = phrases.filter(F.length("compact") < SEED)
+    lengths = sorted(r["n"] for r in short.select(F.length("spaced").alias("n")).distinct().collect())
     tiny = given.select("row_key", F.explode(_pieces(unmasked(F.col("x")), 2 * SEED)).alias("piece"))
-    tiny = tiny.select("row_key", F.explode(F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, 2 * SEED)]), lambda n: F.regexp_extract_all("piece", F.concat(F.lit("(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))))).alias("spaced"))
-    spaced = tiny.join(_small(short, held), "spaced").select(*out) if not short.isEmpty() else None
+    tiny = tiny.select("row_key", F.explode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{1,{max(lengths, default=1)}}}))"), F.lit(1))).alias("window"))
+    tiny = tiny.select("row_key", F.explode(F.array(*[F.substring("window", 1, n) for n in lengths])).alias("spaced")) if lengths else None
+    spaced = tiny.join(_small(short, held), "spaced").select(*out) if lengths else None
 
-    found = alone.unionByName(inside)
+    found = alone.unionByName(spelled).unionByName(inside)
     found = found.unionByName(spaced) if spaced is not None else found
-    return found.distinct().withColumnRenamed("row_key", key)
+    return found.distinct().join(_small(ready.select("rule", "kind", "term", "severity", "replacement"), held), "rule").select(F.col("row_key").alias(key), "kind", "term", "severity", "replacement")
 
 
 def actionable(found: DataFrame, texts: DataFrame, key: str, text: str, educational: str = EDUCATIONAL) -> DataFrame:
