@@ -68,21 +68,12 @@ PLACES = {
 }
 
 
-def _whole(name: str) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}]){re.escape(name)}(?![\p{{L}}\p{{N}}])"
-
-
 def _spellings() -> Iterator[tuple[str, str]]:
     for canonical, variants in PLACES.items():
         for variant in variants:
             yield variant, canonical
 
 
-def _table(rows: Iterator[tuple[str, ...]] | list[tuple[str, ...]], *names: str) -> Column:
-    """A fixed table as an array of structs: one expression for all of its rows."""
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows])
-
-
 def _holds_any(x: Column) -> Column:
     """One pattern for all spellings, which rules most texts out at once."""
     return x.rlike(f"(?iu)({'|'.join(re.escape(v) for v, _ in _spellings())})")
@@ -98,23 +89,32 @@ def canonical(x: Column) -> Column:
     return F.when(_holds_any(x), rewrite.by_dictionary(x, spellings())).otherwise(x)
 
 
-def _used(x: Column, rows: list[tuple[str, str, str]]) -> Column:
-    """The (name, canonical) of a table of spellings that a text holds, the first of each place."""
-    held = F.filter(_table(rows, "variant", "canonical", "pattern"), lambda v: F.rlike(x, v["pattern"]))
-    places = F.transform(held, lambda v: v["canonical"])
-    return F.filter(held, lambda v, i: F.array_position(places, v["canonical"]) == i + 1)
+def _fold(x: Column) -> Column:
+    """Text under which all spellings are equal that patterns without regard to case take for one."""
+    return F.lower(F.upper(F.translate(x, "İ", "I")))
+
+
+def _used(x: Column, rows: list[tuple[str, str]]) -> Column:
+    """The (at, variant, canonical) of a table of spellings that a text holds, in the order of the table, the first of each
+    place. One pattern finds them all, since no name holds another as a word or begins with what another ends with."""
+    names = sorted((re.escape(v) for v, _ in rows), key=lambda v: (-len(v), v))
+    found = F.regexp_extract_all(x, F.lit(f"(?iu){rewrite.LEFT}({'|'.join(names)}){rewrite.RIGHT}"), F.lit(1))
+    entry = [F.struct(F.lit(k).alias("at"), F.lit(v).alias("variant"), F.lit(c).alias("canonical")) for k, (v, c) in enumerate(rows)]
+    table = F.map_from_arrays(F.array(*[_fold(F.lit(v)) for v, _ in rows]), F.array(*entry))
+    held = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.try_element_at(table, _fold(m)))))
+    none = F.array().cast("array<struct<at:int,variant:string,canonical:string>>")
+    return F.aggregate(held, none, lambda kept, v: F.when(F.exists(kept, lambda k: k["canonical"] == v["canonical"]), kept).otherwise(F.concat(kept, F.array(v))))
 
 
 def first_variant(x: Column) -> Column:
     """(variant, canonical) of the first name of the table that a text spells otherwise; null if there is none."""
-    rows = [(v, c, f"(?iu){_whole(v)}") for v, c in _spellings()]
-    found = F.try_element_at(_used(x, rows), F.lit(1))
-    return F.when(_holds_any(x) & found.isNotNull(), F.struct(found["variant"].alias("variant"), found["canonical"].alias("canonical")))
+    found = F.transform(_used(x, list(_spellings())), lambda v: F.struct(v["variant"].alias("variant"), v["canonical"].alias("canonical")))
+    return F.when(_holds_any(x), F.try_element_at(found, F.lit(1)))
 
 
 def mismatch(question: Column, answer: Column) -> Column:
     """The name that question and answer spell in two ways, or null."""
-    rows = [(n, c, f"(?iu){_whole(n)}") for c, variants in PLACES.items() for n in (c, *variants)]
+    rows = [(n, c) for c, variants in PLACES.items() for n in (c, *variants)]
     asked, told = _used(question, rows), _used(answer, rows)
     apart = F.filter(asked, lambda v: F.exists(told, lambda w: (w["canonical"] == v["canonical"]) & (w["variant"] != v["variant"])))
     return F.when(_holds_any(question) | _holds_any(answer), F.try_element_at(apart, F.lit(1))["canonical"])

@@ -557,7 +557,7 @@ SELECT p_partkey, [0, 1, 2][p_partkey % 3 + 1] = 0 AS same_place, CASE WHEN p_pa
 def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     told = F.concat(a._pick(("De Moscow a Beijing ", "NEW YORK e Iran ", "Lisboa "), k % 3), k.cast("string"))
-    return a.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(places.mismatch(told, F.lit("Moscovo")) == "Moscovo", F.lit(False)).alias("same_place"), places.canonical(told).alias("canonical"), places.first_variant(told)["variant"].alias("variant"))
+    return a.dealt(a.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.coalesce(places.mismatch(told, F.lit("Moscovo")) == "Moscovo", F.lit(False)).alias("same_place"), places.canonical(told).alias("canonical"), places.first_variant(told)["variant"].alias("variant"))
 
 
 @query("""

@@ -158,6 +158,23 @@ def test_free_keys_and_labels(spark):
     assert value(spark, markup.search_score(F.lit("Rio Tejo"), F.array(F.lit("rio")), F.lit("rio"))) == 90
 
 
+def test_names_of_places_are_found_by_one_pattern(spark):
+    from tessera.functions import places
+
+    names = [n.lower() for c, variants in places.PLACES.items() for n in (c, *variants)]
+    assert len(set(names)) == len(names)
+    for n in names:  # else one pattern would not find each of them
+        assert not [m for m in names if m != n and f" {m} " in f" {n} "]
+        assert not [m for m in names if m != n and m.split()[0] == n.split()[-1] and " " in m + n]
+    texts = [("Moscou ou MOSCOW e iran", "Moscou", "Moscovo"), ("IRAN, Moscow", "Moscow", "Moscovo"), ("\u0130ran", "Iran", "Irão"), ("Moscows", None, None), (None, None, None)]
+    df = spark.createDataFrame(texts, "x string, variant string, canonical string")
+    got = df.select("x", "variant", "canonical", places.first_variant(F.col("x")).alias("v")).collect()
+    assert [(r["v"] and tuple(r["v"])) for r in got] == [(v and (v, c)) for _, v, c in texts]
+    assert value(spark, places.mismatch(F.lit("De Iran a Moscow"), F.lit("Moscovo, Iran"))) == "Moscovo"
+    plan = df.select(places.first_variant(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and ".pattern" not in plan  # no pattern is made anew for each row and name
+
+
 def test_pages_that_list_riddles(spark):
     numbered = "<p>1. Tem dentes e não come, o que é?</p><p>Pente.</p><p>2. Curta?</p><p>Não.</p>"
     stored = '{"@type":"Question","name":"Tem \\\\"dentes\\\\" e não come?","text":"x","inLanguage":"pt-PT","acceptedAnswer":{"@type":"Answer","text":"Pente"}}'.replace("\\\\", "\\")
