@@ -778,7 +778,7 @@ edges AS MATERIALIZED (SELECT x.knowledge_id AS a, y.knowledge_id AS b FROM new
 """ + GREEDY + "SELECT knowledge_id, knowledge_id IN (SELECT seed FROM seeds) AS accepted FROM new")
 def accepted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.facts(spark, sf_dir)
-    number = F.substring("knowledge_id", 2, 20).cast("int")
+    number = F.substring("knowledge_id", 2, 20).cast("long")
     return knowledge.accept_new(rows.filter(number % 3 != 0), rows.filter(number % 3 == 0)).select("knowledge_id", "accepted")
 
 
@@ -794,7 +794,7 @@ SELECT o.knowledge_id, CASE WHEN o.knowledge_id IN (SELECT knowledge_id FROM r)
 def rejected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts against rejected ones, with each of the five reasons; similar is 0.3 here, since the facts have few words in
     common."""
-    k = F.substring("knowledge_id", 2, 20).cast("int")
+    k = F.substring("knowledge_id", 2, 20).cast("long")
     qid = F.when(k % 3 == 0, F.concat(F.lit("Q"), (k % 60).cast("string"))).otherwise("")
     rows = a.facts(spark, sf_dir).withColumns({"qid": qid, "fact_key": F.when(k % 2 == 0, F.concat(F.lit("p"), (k % 4).cast("string"))).otherwise("")})
     rows = rows.select("knowledge_id", "source", "source_id", "qid", "fact_key", "fact")

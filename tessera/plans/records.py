@@ -18,7 +18,7 @@ NOW = "TIMESTAMP '2024-01-30 12:34:56'"
 
 
 def number_of(column: str) -> Column:
-    return F.substring(column, 2, 20).cast("int")
+    return F.substring(column, 2, 20).cast("long")
 
 
 def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:

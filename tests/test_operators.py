@@ -456,3 +456,16 @@ def test_stats_input_is_a_top_k_of_each_kind(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(newest(["accepted"], 7) + newest(["rejected", "parse_error", "api_error"], 9))
     plan = got._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
+# --- records -----------------------------------------------------------------------------------------------------
+
+
+def test_records_of_large_numbers(spark, tmp_path):
+    from tessera.plans import records
+
+    numbers = [(7, "a b", "T", "Brand#1", 6, 1.0), (900_001, "c d", "T", "Brand#2", 6, 1.0)]
+    spark.createDataFrame(numbers, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    made = records.record_table(spark, str(tmp_path)).select(F.unix_seconds("created_at").alias("at"))
+    assert rows(made, "at") == [(1704067200 + 7 * 2477,), (1704067200 + 900_001 * 2477,)]
+    assert [r["total"] for r in records.record_inventory(spark, str(tmp_path)).filter("grain = 'all'").collect()] == [2]
