@@ -14,7 +14,7 @@ from tessera.functions.lineage import cut
 from tessera.functions.numbers import count_where
 from tessera.functions.text import jaccard, normalize_key, nullif_empty, strip_accents, squeeze, tokens
 
-SIMILAR = 0.72
+SIMILAR, CELL = 0.72, 1000  # similar token sets; about how many records with one token set lie together
 # How far each source is trusted when one of several duplicates is kept, the tiers of ids, the sources
 # that a category allows, the least confidence by category and format, and the words in which reasons are given.
 SOURCE_RANK = {"MemóriaMedia": 100, "manual": 80, "Biblioteca Nacional": 74, "Ditos.pt": 70, "Ciência Viva": 70, "RTP Ensina": 68, "Pumpkin.pt": 60, "Arquivo.pt": 58, "Brinca Comigo": 55, "Santander Salto": 50, "Wikidata": 45, "Quero Bolsa": 40, "sample": 10}
@@ -60,24 +60,49 @@ def exact_groups(records: DataFrame, key: Column, id_col: str = "knowledge_id")
     return keyed.groupBy("key").agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def similar_pairs(records: DataFrame, text: str, id_col: str = "knowledge_id", threshold: float = SIMILAR, block: str | None = None) -> DataFrame:
-    """(a, b, similarity) with a before b of records whose token sets are similar, within equal blocks if one is given.
+def _worded(rows: DataFrame, text: Column, block: Column, *columns: str | Column) -> DataFrame:
+    """rows with `block` and `key`, the sorted distinct tokens of a normalized text as one string; none without tokens."""
+    return rows.select(*columns, block.alias("block"), F.array_join(F.array_sort(tokens(text)), " ").alias("key")).filter("key <> ''")
+
+
+def similar_sets(keys: DataFrame, threshold: float = SIMILAR, against: DataFrame | None = None) -> DataFrame:
+    """(block, x, y, similarity) of distinct (block, key), as `_worded` writes them, that are similar: of keys with x
+    before y, or x of keys and y of `against`, which may be equal.
 
     Two sets reach the threshold only if they share one of their rarest tokens: as many as could be missing, and one.
     Pairs are looked for through those and verified on the sets. The first token that two sets share must leave enough
     words after it on either side, which rules out most pairs before they are made distinct."""
-    base = records.select(F.col(id_col).alias("id"), (F.col(block) if block else F.lit("")).alias("block"), tokens(normalize_key(F.col(text))).alias("words")).filter(F.size("words") > 0)
-    each = base.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
-    prefix = each.join(rare, "word").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "block", "word", "n", "rank")
-    left, right = (prefix.select(F.col("id").alias(x), "block", "word", F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("rank")).alias(f"after_{x}")) for x in "ab")
-    sized = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold)
-    enough = 1 + F.least("after_a", "after_b") >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
-    found = left.join(right, ["block", "word"]).filter(sized & enough).select("a", "b").distinct()
-    sets = base.select("id", "words")
-    full = found.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return full.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    words = lambda df: df.select("block", "key", F.size(F.split("key", " ")).alias("n"), F.explode(F.split("key", " ")).alias("word"))
+    rare = words(keys if against is None else keys.unionByName(against)).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(W.partitionBy("block", "key").orderBy("df", "word"))
+
+    def prefix(side: DataFrame, x: str) -> DataFrame:
+        ranked = words(side).join(rare, "word").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+        return ranked.select("block", F.col("key").alias(x), "word", F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("rank")).alias(f"after_{x}"))
+
+    sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold
+    enough = 1 + F.least("after_x", "after_y") >= (F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-9
+    once = F.col("x") < F.col("y") if against is None else F.lit(True)
+    found = prefix(keys, "x").join(prefix(keys if against is None else against, "y"), ["block", "word"]).filter(sized & enough & once).select("block", "x", "y").distinct()
+    return found.withColumn("similarity", jaccard(F.split("x", " "), F.split("y", " "))).filter(F.col("similarity") >= threshold)
+
+
+def similar_pairs(records: DataFrame, text: str, id_col: str = "knowledge_id", threshold: float = SIMILAR, block: str | None = None) -> DataFrame:
+    """(a, b, similarity) with a before b of records whose token sets are similar, within equal blocks if one is given.
+
+    Sets are compared once, however many records have them. The records of a set lie in cells of about `CELL`; pairs of
+    cells are dealt out, and each writes the pairs of its records, so that a set of many records is no single task."""
+    rows = cut(_worded(records, normalize_key(F.col(text)), F.col(block) if block else F.lit(""), F.col(id_col).alias("id")))
+    large = rows.groupBy("block", "key").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells")).filter("cells > 1")
+    cell = F.coalesce(F.pmod(F.xxhash64("id"), F.col("cells")), F.lit(0))
+    cells = cut(rows.join(large, ["block", "key"], "left").groupBy("block", "key", cell.alias("cell")).agg(F.collect_list("id").alias("ids")))
+    one, other = (cells.select("block", F.col("key").alias(x), F.col("cell").alias(f"cell_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "xy")
+    apart = similar_sets(cells.select("block", "key").distinct(), threshold).join(one, ["block", "x"]).join(other, ["block", "y"])
+    alike = one.join(other.withColumn("x", F.col("y")), ["block", "x"]).filter("cell_x <= cell_y").withColumn("similarity", F.lit(1.0))
+    both = apart.unionByName(alike).repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "cell_x", "cell_y")
+    each = both.select("similarity", ((F.col("x") == F.col("y")) & (F.col("cell_x") == F.col("cell_y"))).alias("own"), "ids_y", F.explode("ids_x").alias("i"))
+    each = each.select("similarity", "own", "i", F.explode("ids_y").alias("j")).filter("i < j OR (i > j AND NOT own)")
+    return each.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def first_come(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -86,20 +111,21 @@ def first_come(ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
     So a record is a seed if no earlier neighbour is one, and belongs to its first neighbouring seed otherwise. That is
     settled in rounds over all records at once: whoever has no open or chosen earlier neighbour is chosen, whoever has
-    a chosen one is taken. The rounds needed follow the longest chain of neighbours, not the number of records."""
-    edges = cut(pairs.select("a", "b").distinct())
-    chosen, taken = None, None
-    open_ = ids.select("id").distinct()
-    seeds, members = [], []
-    while True:
-        waiting = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
+    a chosen one is taken. The rounds needed follow the longest chain of neighbours, not the number of records. Records
+    without neighbours are seeds at once, and a round keeps only the pairs of records that are open."""
+    known = ids.select("id").distinct()
+    inside = lambda p, open_: p.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    edges = cut(inside(pairs.select("a", "b").distinct(), known))
+    paired = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    waiting, open_ = edges, cut(paired)
+    seeds, members = [known.join(open_, "id", "left_anti").select("id", F.col("id").alias("seed"))], []
+    while not open_.isEmpty():
         chosen = cut(open_.join(waiting.select(F.col("b").alias("id")), "id", "left_anti"))
-        taken = cut(edges.join(chosen.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi").groupBy("b").agg(F.min("a").alias("seed")).select(F.col("b").alias("id"), "seed"))
+        taken = cut(waiting.join(chosen.select(F.col("id").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("seed")).select(F.col("b").alias("id"), "seed"))
         seeds.append(chosen.select("id", F.col("id").alias("seed")))
         members.append(taken)
         open_ = cut(open_.join(chosen, "id", "left_anti").join(taken, "id", "left_anti"))
-        if open_.isEmpty():
-            break
+        waiting = cut(inside(waiting, open_))
     out = seeds[0]
     for part in seeds[1:] + members:
         out = out.unionByName(part)
@@ -109,13 +135,20 @@ def first_come(ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def similar_clusters(records: DataFrame, text: str, id_col: str = "knowledge_id", entity_col: str | None = None, threshold: float = SIMILAR) -> DataFrame:
-    """(id, seed) of greedy clusters with several members; records of different known entities are never joined."""
-    pairs = similar_pairs(records, text, id_col, threshold)
-    if entity_col:
-        named = records.select(F.col(id_col).alias("id"), F.col(entity_col).alias("e"))
-        pairs = pairs.join(named.toDF("a", "ea"), "a").join(named.toDF("b", "eb"), "b")
-        pairs = pairs.filter((F.coalesce("ea", F.lit("")) == "") | (F.coalesce("eb", F.lit("")) == "") | (F.col("ea") == F.col("eb"))).select("a", "b")
-    found = first_come(records.select(F.col(id_col).alias("id")), pairs)
+    """(id, seed) of greedy clusters with several members; records of different known entities are never joined.
+
+    Records with the same tokens and entity are neighbours and have the same neighbours, so only the first of them takes
+    part in the pass, and the others share its seed."""
+    entity_ = F.coalesce(F.col(entity_col), F.lit("")) if entity_col else F.lit("")
+    rows = cut(_worded(records, normalize_key(F.col(text)), F.lit(""), F.col(id_col).alias("id"), entity_.alias("e")))
+    first = cut(rows.groupBy("block", "key", "e").agg(F.min("id").alias("id")))
+    sets = similar_sets(first.select("block", "key").distinct(), threshold).select("x", "y")
+    one, other = (first.select(F.col("key").alias(x), F.col("e").alias(f"e_{x}"), F.col("id").alias(f"id_{x}")) for x in "xy")
+    near = sets.join(one, "x").join(other, "y").filter("e_x = '' OR e_y = '' OR e_x = e_y")
+    same = one.filter("e_x = ''").join(other.filter("e_y <> ''").withColumn("x", F.col("y")), "x")
+    pairs = near.select("id_x", "id_y").unionByName(same.select("id_x", "id_y")).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    seeds = first_come(first.select("id"), pairs)
+    found = rows.join(first.withColumnRenamed("id", "_first"), ["block", "key", "e"]).join(seeds.withColumnRenamed("id", "_first"), "_first").select("id", "seed")
     several = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
     return found.join(several, "seed", "left_semi").select("id", "seed")
 
@@ -165,20 +198,30 @@ def duplicates_of_existing(new: DataFrame, existing: DataFrame, threshold: float
 
     Rules in order: equal text, same capital of the same country (geography), similar text (curiosities, unless of
     different entities), equal answer with equal or similar text (riddles). Joins are on the normalized text, on
-    country and answer, and on shared rare tokens within a topic."""
+    country and answer, and on shared rare tokens within a topic. Of existing records that a new one meets by the same
+    key the first is all that counts, so only that one is joined."""
     wide = lambda df, p: df.select(F.col("knowledge_id").alias(f"{p}id"), F.col("topic").alias(f"{p}topic"), normalize_key(F.col("fact")).alias(f"{p}fact"), normalize_key(F.col("answer")).alias(f"{p}answer"), entity(F.col("source_id"), F.col("source_url"), F.try_element_at("metadata", F.lit("qid"))).alias(f"{p}entity"), is_geography(F.col("topic")).alias(f"{p}geo"))
-    n, e = wide(new, "n_"), wide(existing.filter(F.coalesce("is_active", F.lit(True))), "e_")
+    n, e = cut(wide(new, "n_")), cut(wide(existing.filter(F.coalesce("is_active", F.lit(True))), "e_"))
     same_topic = (F.col("n_topic") == F.col("e_topic")) | (F.col("n_geo") & F.col("e_geo"))
-    exact = n.join(e, (F.col("n_fact") == F.col("e_fact")) & (F.col("n_fact") != "")).filter(same_topic)
-    exact = exact.select("n_id", "e_id", F.when((F.col("n_topic") == RIDDLES) & (F.col("n_answer") == F.col("e_answer")), "exact_answer_fact").otherwise("exact_fact").alias("reason"), F.lit(0).alias("rule"))
-    capital = n.join(e, (F.col("n_entity") == F.col("e_entity")) & (F.col("n_answer") == F.col("e_answer")) & (F.col("n_entity") != "") & (F.col("n_answer") != "") & F.col("n_geo") & F.col("e_geo"))
+    texts = e.filter("e_fact <> ''").groupBy("e_fact", "e_topic", "e_geo", "e_id").agg(F.collect_set("e_answer").alias("e_answers"))
+    texts = texts.groupBy("e_fact", "e_topic", "e_geo").agg(F.min_by("e_answers", "e_id").alias("e_answers"), F.min("e_id").alias("e_id"))
+    exact = n.join(texts, F.col("n_fact") == F.col("e_fact")).filter(same_topic)
+    exact = exact.select("n_id", "e_id", F.when((F.col("n_topic") == RIDDLES) & F.array_contains("e_answers", F.col("n_answer")), "exact_answer_fact").otherwise("exact_fact").alias("reason"), F.lit(0).alias("rule"))
+    places = e.filter("e_geo AND e_entity <> '' AND e_answer <> ''").groupBy("e_entity", "e_answer").agg(F.min("e_id").alias("e_id"))
+    capital = n.filter("n_geo").join(places, (F.col("n_entity") == F.col("e_entity")) & (F.col("n_answer") == F.col("e_answer")))
     capital = capital.select("n_id", "e_id", F.lit("same_capital").alias("reason"), F.lit(1).alias("rule"))
-    both = new.select(F.concat(F.lit("n:"), "knowledge_id").alias("key"), "topic", "fact").unionByName(existing.filter(F.coalesce("is_active", F.lit(True))).select(F.concat(F.lit("e:"), "knowledge_id").alias("key"), "topic", "fact"))
-    pairs = similar_pairs(both.filter(F.col("topic").isin(RIDDLES, CURIOSITIES)), "fact", "key", threshold, "topic").filter("a LIKE 'e:%' AND b LIKE 'n:%'")
-    near = pairs.select(F.substring("a", 3, 1 << 20).alias("e_id"), F.substring("b", 3, 1 << 20).alias("n_id")).join(n, "n_id").join(e, "e_id")
-    apart = (F.col("n_entity") != "") & (F.col("e_entity") != "") & (F.col("n_entity") != F.col("e_entity"))
-    near = near.filter(((F.col("n_topic") == CURIOSITIES) & ~apart) | ((F.col("n_topic") == RIDDLES) & (F.col("n_answer") == F.col("e_answer"))))
-    near = near.select("n_id", "e_id", F.when(F.col("n_topic") == RIDDLES, "similar_answer_fact").otherwise("similar_fact").alias("reason"), F.lit(2).alias("rule"))
+    # what similar records must share besides: riddles the answer; curiosities nothing if either has no entity, else that
+    answered = lambda p: F.array(F.concat(F.lit("answer "), f"{p}answer"))
+    named = lambda p: F.concat(F.lit("entity "), f"{p}entity")
+    wanted = F.when(F.col("n_topic") == RIDDLES, answered("n_")).when(F.col("n_entity") == "", F.array(F.lit("any"))).otherwise(F.array(F.lit("entity "), named("n_")))
+    offered = F.when(F.col("e_topic") == RIDDLES, answered("e_")).otherwise(F.array(F.lit("any"), named("e_")))
+    asked = _worded(n.filter(F.col("n_topic").isin(RIDDLES, CURIOSITIES)), F.col("n_fact"), F.col("n_topic"), "n_id", F.explode(wanted).alias("shared"))
+    told = _worded(e.filter(F.col("e_topic").isin(RIDDLES, CURIOSITIES)), F.col("e_fact"), F.col("e_topic"), "e_id", F.explode(offered).alias("shared"))
+    told = cut(told.groupBy("block", "key", "shared").agg(F.min("e_id").alias("e_id")))
+    sets = similar_sets(asked.select("block", "key").distinct(), threshold, told.select("block", "key").distinct())
+    firsts = sets.join(told.withColumnRenamed("key", "y"), ["block", "y"]).groupBy("block", F.col("x").alias("key"), "shared").agg(F.min("e_id").alias("e_id"))
+    near = asked.join(firsts, ["block", "key", "shared"])
+    near = near.select("n_id", "e_id", F.when(F.col("block") == RIDDLES, "similar_answer_fact").otherwise("similar_fact").alias("reason"), F.lit(2).alias("rule"))
     hits = exact.unionByName(capital).unionByName(near)
     first = hits.groupBy("n_id").agg(F.min(F.struct("rule", "e_id", "reason")).alias("x"))
     return first.select(F.col("n_id").alias("knowledge_id"), F.col("x.reason").alias("reason"), F.col("x.e_id").alias("duplicate_of"))
@@ -188,15 +231,21 @@ def accept_new(new: DataFrame, existing: DataFrame, order: str = "knowledge_id",
     """new with `accepted`: records are taken in order, and each one taken is a peer for those after it.
 
     Whoever repeats an existing record is out; among the others the greedy pass of `first_come` decides, over pairs
-    with equal texts or similar ones in a topic."""
-    out = duplicates_of_existing(new, existing, threshold).select("knowledge_id", F.lit(False).alias("_fresh"))
-    left = new.join(out, "knowledge_id", "left_anti").withColumn("_order", F.struct(F.col(order), F.col("knowledge_id")).cast("string") if order != "knowledge_id" else F.col("knowledge_id"))
-    keyed = left.select("_order", "topic", "fact", normalize_key(F.col("fact")).alias("key"))
-    a, b = keyed.select(F.col("_order").alias("a"), "topic", "key"), keyed.select(F.col("_order").alias("b"), "topic", "key")
-    equal = a.filter("key <> ''").join(b, ["topic", "key"]).filter("a < b").select("a", "b")
-    near = similar_pairs(left.filter(F.col("topic") == CURIOSITIES), "fact", "_order", threshold).select("a", "b")
-    kept = first_come(left.select(F.col("_order").alias("id")), equal.unionByName(near)).filter("id = seed").select(F.col("id").alias("_order"))
-    taken = left.join(kept, "_order", "left_semi").select("knowledge_id", F.lit(True).alias("accepted"))
+    with equal texts or similar ones in a topic. Records of a topic with equal texts, or curiosities with equal tokens, are
+    neighbours and have the same neighbours, so only the first of them can be taken, and the pass is over those."""
+    out = duplicates_of_existing(new, existing, threshold).select("knowledge_id")
+    at = F.struct(F.col(order), F.col("knowledge_id")).cast("string") if order != "knowledge_id" else F.col("knowledge_id")
+    text = normalize_key(F.col("fact"))
+    words = F.when(F.col("topic") == CURIOSITIES, F.array_join(F.array_sort(tokens(F.col("text"))), " "))
+    left = new.join(out, "knowledge_id", "left_anti").select("knowledge_id", at.alias("_order"), "topic", text.alias("text")).withColumn("key", nullif_empty(words))
+    left = cut(left.withColumn("text", F.when(F.col("key").isNull() & F.col("topic").isNotNull(), nullif_empty(F.col("text")))))
+    alone = left.filter("key IS NULL AND text IS NULL").select("_order")
+    first = cut(left.filter("key IS NOT NULL OR text IS NOT NULL").groupBy("topic", "key", "text").agg(F.min("_order").alias("_order")))
+    sets = first.filter("key IS NOT NULL").select("key", F.col("_order"))
+    similar = similar_sets(sets.select(F.lit("").alias("block"), "key"), threshold)
+    pairs = similar.join(sets.toDF("x", "ox"), "x").join(sets.toDF("y", "oy"), "y").select(F.least("ox", "oy").alias("a"), F.greatest("ox", "oy").alias("b"))
+    kept = first_come(first.select(F.col("_order").alias("id")), pairs).filter("id = seed").select(F.col("id").alias("_order")).unionByName(alone)
+    taken = left.join(kept, "_order", "left_semi").select("knowledge_id", F.lit(True).alias("accepted")).distinct()
     return new.join(taken, "knowledge_id", "left").fillna(False, ["accepted"])
 
 

@@ -199,7 +199,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and parts as facts."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     return p.select(
         F.concat(F.lit("k"), k.cast("string")).alias("knowledge_id"),

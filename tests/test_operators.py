@@ -80,6 +80,41 @@ def test_similar_pairs_equal_brute_force(spark):
     assert expected and rows(knowledge.similar_pairs(df, "fact"), "a", "b") == expected
 
 
+def similar_by_loop(data):
+    sets = {k: (topic, {w for w in fact.split() if len(w) > 2}) for k, topic, fact in data}
+    alike = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.72
+    return {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and alike(sets[a][1], sets[b][1])}
+
+
+def test_sets_are_compared_once_and_pairs_of_a_set_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "CELL", 4)  # so that sets of many records have several cells
+    facts = ["baleia azul mar fundo", "mar azul baleia fundo", "baleia azul mar fundo quente", "gato preto"]
+    data = [(f"k{i:03}", (CUR, ADV)[i % 2], facts[i % 7 % 4]) for i in range(60)]
+    df = spark.createDataFrame(data, "knowledge_id string, topic string, fact string")
+    got = rows(knowledge.similar_pairs(df, "fact", block="topic"), "a", "b")
+    assert got == sorted(similar_by_loop(data))
+    seen = []
+    whole = knowledge.similar_sets
+    monkeypatch.setattr(knowledge, "similar_sets", lambda keys, *a, **k: (seen.append(keys.count()), whole(keys, *a, **k))[1])
+    knowledge.similar_pairs(df, "fact", block="topic")
+    assert seen == [6]  # three sets in each of two topics, not 60 records
+
+
+def test_copies_are_accepted_as_by_a_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    words = [f"palavra{k}" for k in range(9)]
+    data = [(f"n{i:03}", draw.choice([CUR, CUR, ADV]), " ".join(draw.sample(words, draw.choice([5, 6, 7]))) if i % 11 else "a b") for i in range(150)]
+    new = spark.createDataFrame([record(*d) for d in data], RECORD)
+    near, taken = similar_by_loop(data), []
+    for k, topic, fact in data:
+        if not any(t == topic and (f == fact or (topic == CUR and (o, k) in near)) for o, t, f in taken):
+            taken.append((k, topic, fact))
+    got = knowledge.accept_new(new, new.limit(0)).filter("accepted")
+    assert rows(got, "knowledge_id") == [(k,) for k, _, _ in taken]
+
+
 def test_new_records_against_existing_and_each_other(spark):
     long = "baleia azul respira fora agua durante muito tempo sempre"
     old = spark.createDataFrame([record("e1", CUR, "facto velho"), record("e2", "capital", "Lisboa é a capital", "Lisboa", source_id="Q45"), record("e3", ADV, "branco por fora", "ovo"), record("e4", CUR, long)], RECORD)
