@@ -261,10 +261,10 @@ def property_key(metadata: Column, knowledge_id: Column) -> Column:
 def rejection_reasons(records: DataFrame, rejections: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """records with `rejection`: same_id, same_source, same_fact, same_property, similar_fact or null, in that order.
 
-    records and rejections have (knowledge_id, source, source_id, qid, fact_key, fact). Four left joins on keys, and for
-    the last rule a join on the entity, verified on token sets."""
+    records and rejections have (knowledge_id, source, source_id, qid, fact_key, fact). Four left joins on keys; the last
+    rule is asked only of records that none of the others rejects, once for each entity and token set."""
     fact_hash = normalize_key(F.col("fact"))
-    base = records.withColumns({"_fact": fact_hash, "_words": tokens(fact_hash)})
+    base = records.withColumn("_fact", fact_hash)
 
     def known(*columns: Column, mark: str) -> DataFrame:
         rows = rejections.select(*columns)
@@ -276,11 +276,14 @@ def rejection_reasons(records: DataFrame, rejections: DataFrame, threshold: floa
     out = out.join(known(F.col("source"), F.col("source_id"), mark="_source"), ["source", "source_id"], "left")
     out = out.join(known(fact_hash.alias("_fact"), mark="_same"), "_fact", "left")
     out = out.join(known(F.col("qid"), F.col("fact_key"), mark="_property"), ["qid", "fact_key"], "left")
-    told = rejections.filter("qid <> ''").select("qid", tokens(fact_hash).alias("_other"))
-    near = base.filter("qid <> ''").join(told, "qid").filter(jaccard(F.col("_words"), F.col("_other")) >= threshold).select("knowledge_id").distinct().withColumn("_near", F.lit(True))
-    out = out.join(near, "knowledge_id", "left")
-    reason = F.when(F.col("_id"), "same_id").when(F.col("_source"), "same_source").when(F.col("_same"), "same_fact").when(F.col("_property"), "same_property").when(F.col("_near"), "similar_fact")
-    return out.withColumn("rejection", reason).select(*records.columns, "rejection")
+    reason = F.when(F.col("_id"), "same_id").when(F.col("_source"), "same_source").when(F.col("_same"), "same_fact").when(F.col("_property"), "same_property")
+    out = cut(out.select(*records.columns, reason.alias("_found"), "_fact"))
+    asked = _worded(out.filter("_found IS NULL AND qid <> ''"), F.col("_fact"), F.col("qid")).distinct()
+    told = _worded(rejections.filter("qid <> ''"), fact_hash, F.col("qid")).distinct()
+    near = similar_sets(asked, threshold, told).select(F.col("block").alias("qid"), F.col("x").alias("_key")).distinct().withColumn("_near", F.lit(True))
+    key = F.when(F.col("_found").isNull() & (F.col("qid") != ""), nullif_empty(F.array_join(F.array_sort(tokens(F.col("_fact"))), " ")))
+    joined = out.withColumn("_key", key).join(near, ["qid", "_key"], "left")
+    return joined.withColumn("rejection", F.coalesce("_found", F.when(F.col("_near"), "similar_fact"))).select(*records.columns, "rejection")
 
 
 def least_confidence(category: Column, format_: Column) -> Column:

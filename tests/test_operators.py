@@ -131,6 +131,18 @@ def test_rejection_reasons_in_order(spark):
     assert got == {"r1": "same_id", "n1": "same_source", "n2": "same_fact", "n3": "same_property", "n4": "similar_fact", "n5": None}
 
 
+def test_only_open_records_are_compared_by_entity(spark, monkeypatch):
+    kind = "knowledge_id string, source string, source_id string, qid string, fact_key string, fact string"
+    fact = "um texto qualquer bastante comprido"
+    gone = spark.createDataFrame([("r1", "W", "1", "Q1", "capital", fact), ("r2", "W", "1", "Q1", "capital", fact + " aqui")], kind)
+    data = [("n0", "W", "1", "Q1", "rio", fact + " sempre")] + [(f"n{i}", "X", str(i), "Q1", "rio", (fact + " hoje", "outro assunto inteiramente")[i % 2]) for i in range(1, 41)]
+    seen, whole = [], knowledge.similar_sets
+    monkeypatch.setattr(knowledge, "similar_sets", lambda keys, t, against: (seen.append((keys.count(), against.count())), whole(keys, t, against))[1])
+    got = {r["knowledge_id"]: r["rejection"] for r in knowledge.rejection_reasons(spark.createDataFrame(data, kind), gone).collect()}
+    assert got == {"n0": "same_source"} | {f"n{i}": (None if i % 2 else "similar_fact") for i in range(1, 41)}
+    assert seen == [(2, 2)]  # two texts against two, not 40 records
+
+
 def test_policy_and_missing_fields(spark):
     df = spark.createDataFrame([(20, "ADIVINHA", "manual", 0.88, True, None), (20, "X", "Wikidata", 0.86, True, ""), (3, "X", "outra", 0.9, True, None), (3, "X", "outra", 0.93, True, None), (3, "X", "outra", 0.99, True, "k"), (3, "X", None, 0.99, True, None)], "c int, f string, s string, conf double, act boolean, sup string")
     got = [r[0] for r in df.select(knowledge.policy(*[F.col(x) for x in ("c", "f", "s", "conf", "act", "sup")])).collect()]
