@@ -576,7 +576,7 @@ SELECT p_partkey, 'Peça ' || p_partkey AS title, 'https://a.pt/' || p_partkey A
 def rss_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     xml = F.concat(F.lit("<rss><channel><item><title><![CDATA[Peça "), k, F.lit("]]></title><link>https://a.pt/"), k, F.lit("</link><description>&lt;p&gt;Marca &amp;amp; tipo "), F.col("p_size").cast("string"), F.lit("&lt;/p&gt;</description></item><item><title>sem ligação</title></item></channel></rss>"))
-    return markup.rss_items(a.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml").select("p_partkey", "title", "link", "description")
+    return markup.rss_items(a.dealt(a.table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", xml.alias("xml")), "xml").select("p_partkey", "title", "link", "description")
 
 
 @query("""
@@ -585,7 +585,7 @@ SELECT p_partkey, 'Qual é a peça número ' || n || ' da lista?' AS question, '
 def listed_riddles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     one = lambda n: F.concat(F.lit(f"<p>Qual é a peça número {n} da lista?</p><p>Resposta: Peça "), (k + n).cast("string"), F.lit(".</p>"))
-    pages = a.table(spark, sf_dir, "part").select("p_partkey", F.concat(one(1), one(2)).alias("html"))
+    pages = a.dealt(a.table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.concat(one(1), one(2)).alias("html"))
     return markup.riddle_list(pages, "html", "answered")
 
 

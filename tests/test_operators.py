@@ -516,3 +516,11 @@ def test_records_of_large_numbers(spark, tmp_path):
     made = records.record_table(spark, str(tmp_path)).select(F.unix_seconds("created_at").alias("at"))
     assert rows(made, "at") == [(1704067200 + 7 * 2477,), (1704067200 + 900_001 * 2477,)]
     assert [r["total"] for r in records.record_inventory(spark, str(tmp_path)).filter("grain = 'all'").collect()] == [2]
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    from tessera.plans import records
+
+    spark.range(40).selectExpr("id AS p_partkey", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for query in (records.rss_entries, records.listed_riddles, records.place_names):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
