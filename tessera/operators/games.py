@@ -77,6 +77,7 @@ def rounds(games: DataFrame) -> DataFrame:
         F.coalesce(r["correctAnswer"], F.lit("")).alias("correct_answer"),
         text.nullif_empty(text.clip(r["knowledgeId"], 64)).alias("knowledge_id"),
         question_key(r["question"], r["correctAnswer"], r["questionHash"]).alias("question_key"),
+        r["questionHash"].alias("question_hash"),
         F.coalesce(r["answers"], F.array().cast(f"array<{ANSWER}>")).alias("answers"),
     )
 
@@ -215,14 +216,29 @@ def difficulty_label(accuracy: Column) -> Column:
     return F.when(accuracy.isNull(), "unknown").when(accuracy >= 80, "easy").when(accuracy >= 55, "medium").otherwise("hard")
 
 
+def _asked(rows: DataFrame) -> tuple[list[str], Column]:
+    """What a question's key is made from, as far as the rows have it, and the key: texts that differ are few, so that
+    rows are counted by them and the key is made for what is counted."""
+    made = ["question", "correct_answer", "question_hash"]
+    return (made, question_key(*[F.col(c) for c in made])) if "question_hash" in rows.columns else (["question_key"], F.col("question_key"))
+
+
 def question_stats(flat: DataFrame, events: DataFrame, by_age_band: bool = False, wrong: int = 5) -> DataFrame:
-    """Per question (and age band): times presented, answers, accuracy, label and the most frequent wrong answers."""
-    keys = ["question_key", *(["age_band"] if by_age_band else [])]
+    """Per question (and age band): times presented, answers, accuracy, label and the most frequent wrong answers.
+
+    Rounds are read once and answers once: what is counted of them is small, and everything else is made from it."""
+    band = ["age_band"] if by_age_band else []
+    keys = ["question_key", *band]
     labels = [c for c in ("question", "correct_answer", "category", "category_n", "format", "age_band", "knowledge_id") if c not in keys]
-    shown = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("times_presented"), F.min("ordinal").alias("ordinal"), *[F.min_by(c, "ordinal").alias(c) for c in labels])
-    given = events.groupBy(*keys).agg(*_tally(), *_pace(None))
-    said = F.coalesce(text.nullif_empty(text.clip(F.col("selected_answer"), 120)), F.lit("(vazio)"))
-    missed = events.filter(~F.col("correct")).withColumn("answer", said).groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("count"), F.min("ordinal").alias("first"))
+    raw, key = _asked(flat)
+    shown = flat.groupBy(*raw, *band).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("ordinal", *labels), "ordinal").alias("first"))
+    shown = shown.select(key.alias("question_key"), *band, "n", "first").groupBy(*keys).agg(F.sum("n").alias("times_presented"), F.min_by("first", "first.ordinal").alias("first")).select(*keys, "times_presented", "first.*")
+    raw, key = _asked(events)
+    said = events.groupBy(*raw, *band, "selected_answer", "correct").agg(*_tally(), *_pace(None), F.min("ordinal").alias("first"))
+    said = cut(said.select(key.alias("question_key"), *band, "selected_answer", "correct", "answers_total", "correct_total", "_ms", "_n", "first"))
+    given = said.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("answers_total", "correct_total", "_ms", "_n")])
+    answer = F.coalesce(text.nullif_empty(text.clip(F.col("selected_answer"), 120)), F.lit("(vazio)"))
+    missed = said.filter(~F.col("correct")).withColumn("answer", answer).groupBy(*keys, "answer").agg(F.sum("answers_total").alias("count"), F.min("first").alias("first"))
     top = missed.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "first", "answer", "count"))), 1, wrong).alias("_top"))
     joined = shown.join(given, keys, "left").join(top, keys, "left").fillna(0, ["answers_total", "correct_total", "_n"])
     answered = F.transform("_top", lambda x: F.struct(x["answer"].alias("answer"), x["count"].alias("count")))
@@ -264,8 +280,9 @@ def match_insights(games: DataFrame, events: DataFrame) -> DataFrame:
 
     In single games: accuracy and pace of players, the dominated category and the longest run; in multiplayer ones the
     accuracy, pace and number of devices of the room; in both the hardest round and the round that split the players.
-    accuracy_leader names the player with most answers. The events are read by each insight, so they are written once."""
-    events = cut(events)
+    accuracy_leader names the player with most answers. The events are read by each insight, so they are written once,
+    without what no insight asks for: keys of questions are long work."""
+    events = cut(events.select("game_id", "mode", "round", "ordinal", "player_id", "nickname", "category", "category_n", "question", "correct", "response_ms", "answered_at"))
     stats = game_stats(games, events)
     found = [_insight(stats.filter("answers_total = 0"), "info", F.lit("no answers"), F.col("rounds_total"), F.lit(0))]
     room = stats.filter("mode = 'multiplayer' AND answers_total > 0")
@@ -306,7 +323,8 @@ def match_insights(games: DataFrame, events: DataFrame) -> DataFrame:
 
 def global_insights(games: DataFrame, flat: DataFrame, events: DataFrame) -> DataFrame:
     """Insights over all games, with the thresholds of 3 and 5 answers. Rounds and events are written once."""
-    flat, events = cut(flat.drop("answers")), cut(events)
+    unkeyed = lambda df: df.drop("answers", *(["question_key"] if "question_hash" in df.columns else []))
+    flat, events = cut(unkeyed(flat)), cut(unkeyed(events))
     stats = game_stats(games, events)
     total = games_summary(stats)
     found = [

@@ -109,3 +109,19 @@ def test_answers_are_merged_into_rounds(spark):
     events = spark.createDataFrame([("m", 1, 1, "p", "n", "x", False, 5, "2024-01-01 00:00:00", "c", "q", "a", "6-9"), ("m", 1, 2, "p", "n", "y", True, 6, "2024-01-01 00:00:01", "c", "q", "a", "6-9"), ("m", 2, 3, "p", "n", "z", True, None, "2024-01-01 00:00:02", "c2", "q2", "a2", "15+")], "match_id string, round int, event_id int, player_id string, nickname string, selected_answer string, correct boolean, response_ms int, answered_at string, category string, question string, correct_answer string, age_band string")
     got = {r["round"]: r for r in games.merge_answer_events(history, events).collect()}
     assert [x["selectedAnswer"] for x in got[1]["answers"]] == ["y"] and got[2]["question"] == "q2"
+
+
+def test_keys_of_questions_are_made_for_what_is_counted(spark, tmp_path, monkeypatch):
+    told = [(1, "Que rio?", "Tejo", "q::t"), (2, "<b>que RIO?</b>", "tejo", None), (3, "que rio?", "Tejo", None)]
+    r = lambda n, q, a, h: (n, "1. Tema", None, "f", None, "6-9", q, a, h, None, [], [("p", "N", "Douro", n == 3, 5.0, None)])
+    nested = spark.createDataFrame([("g", "single", "2024-01-01 00:00:00", None, None, None, [], [r(*t) for t in told])], games.GAME)
+    flat = games.rounds(games.normalize_games(nested))
+    events = games.answers(flat)
+    got = {x["question_key"]: (x["times_presented"], x["question"], x["answers_total"], x["correct_total"], [tuple(w) for w in x["top_wrong_answers"] or []]) for x in games.question_stats(flat, events).collect()}
+    assert got == {"q::t": (1, "Que rio?", 1, 0, [("Douro", 1)]), "que rio?::tejo": (2, "<b>que RIO?</b>", 2, 1, [("Douro", 1)])}
+    written = []
+    whole = games.cut
+    monkeypatch.setattr(games, "cut", lambda df: (written.append(df.columns), whole(df))[1])
+    games.match_insights(games.normalize_games(nested), events)
+    games.global_insights(games.normalize_games(nested), flat, events)
+    assert not [c for c in written[:3] if "question_key" in c]  # of each round and answer none is made
