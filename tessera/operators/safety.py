@@ -1,29 +1,31 @@
-"""Content safety with its rules as a table: texts are cut to keys as long as the rules' terms, keys meet terms by a hash
-join, so the plan does not grow with the rules and a text is never held against each of them."""
+"""Content safety with its rules as a table: stretches of texts that hash like a term meet the terms by a join, so the plan
+does not grow with the rules and a text is never held against each of them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, StringType, StructField, StructType
 
-from tessera.functions import rewrite
+from tessera.functions import rewrite, substrings
 from tessera.functions.lineage import cut
 from tessera.functions.text import strip_accents
 
 #: Rules are broadcast while their terms have fewer characters than this, each rule counted as 64 more; beyond it the keys
 #: are shuffled.
 BROADCAST = 16_000_000
-#: Phrases of fewer letters need their spaces; terms meet texts by as many of their first letters as one of the seeds has,
-#: the longest that they hold, or by all of them, and are compared from there.
-SEED, SEEDS = 5, (5, 10)
-#: Texts are cut into pieces of so many characters before they are cut into keys, so that long ones need no more memory.
-PIECE = 4096
+#: Phrases of fewer letters than the first seed need their spaces; others are looked for by as many of their first letters
+#: as the seeds have, one after the other.
+SEEDS = (5, 10)
+#: Which hashes terms have is told by a table of at most two to this power places; more terms only leave more to the join.
+MOST_BITS = 24
 
 # Look-alikes and their letters; what may stand between the letters of a word; from where on short words
 # count inside a text; what makes a text an educational one.
 LOOKALIKES = ("@401!35$7", "aaoiiesst")
 BETWEEN, LETTER = r"\s.\-_@*0-9", "a-z0-9à-ÿ"
-SHORT = 3
+SHORT = substrings.SHORT
 EDUCATIONAL = (
     r"(?<![A-Za-z0-9_])(hist[oó]ri|histor|cient[ií]fi|ciencia|significa|etimolog|origem (?:da palavra|do termo)|na idade|no s[eé]culo|seculo|antigamente|termo m[eé]dico|anatomia|educativ|lingu[ií]st|"
     r"era chamad|chamava-se|designava|defini[cç][aã]o|voc[aá]bulo|sentido (?:da palavra|do termo)|em portugu[eê]s antigo)(?![A-Za-z0-9_])"
@@ -50,46 +52,24 @@ def prepared(rules: DataFrame) -> DataFrame:
     return formed.groupBy("kind", "term").agg(F.min_by(F.struct("severity", "replacement", "spaced", "compact", "bare"), F.struct("severity", "replacement")).alias("r")).select("kind", "term", "r.*")
 
 
-def _pieces(x: Column, overlap: int) -> Column:
-    """Pieces of a text, each with what follows it, so that no window of that length is cut."""
-    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{1,{PIECE + overlap}}})).{{1,{PIECE}}}"), F.lit(1))
-
-
-def _chains(x: Column, longest: int) -> Column:
-    """What follows each place where a word may begin, as long as a term can reach: letters, < where a word may begin,
-    > where one may end. What may stand between letters is dropped, anything else ends a chain."""
-    marked = F.translate(F.lower(F.coalesce(x, F.lit(""))), "<>", "||")
-    marked = F.regexp_replace(marked, f"(?<![{LETTER}])(?=[a-z])", "<")
-    marked = F.regexp_replace(marked, f"(?<=[a-z])(?![{LETTER}])", ">")
-    return F.regexp_extract_all(F.regexp_replace(marked, f"[{BETWEEN}]+", ""), F.lit(f"<(?=([a-z<>]{{1,{3 * longest + 1}}}))"), F.lit(1))
-
-
-def _words(x: Column, longest: int) -> Column:
-    """(key, loose) of a text's words: those that stand in it unmasked, and, loosely, those that single letters spell and a
-    text of a few letters as a whole."""
-    spaced = unmasked(x)
-    loose, strict = (lambda k: F.struct(k.alias("key"), F.lit(True).alias("loose"))), (lambda k: F.struct(k.alias("key"), F.lit(False).alias("loose")))
-    singles = F.regexp_extract_all(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit("(?<= )((?:[a-z0-9] )+[a-z0-9])(?= )"), F.lit(1))
-    whole = F.replace(spaced, F.lit(" "), F.lit(""))
-    found = F.concat(
-        F.transform(F.array_distinct(F.split(spaced, " ")), strict),
-        F.transform(F.array_distinct(singles), lambda s: loose(F.replace(s, F.lit(" "), F.lit("")))),
-        F.transform(F.when(F.length(whole) <= SHORT, F.array(whole)).otherwise(F.array().cast("array<string>")), loose),
+def _forms(ready: DataFrame) -> DataFrame:
+    """(how, key, rule): what a stretch of a text has to be, by how it came about, to break a rule."""
+    word, phrase = F.col("kind") == "word", F.col("kind") == "phrase"
+    form = lambda how, when, key: F.when(when, F.struct(F.lit(how).cast("tinyint").alias("how"), F.col(key).alias("key")))
+    forms = F.array(
+        form(substrings.STRICT, word & ((F.length("compact") > SHORT) | F.col("bare")), "compact"),
+        form(substrings.LOOSE, word & (F.length("compact") <= SHORT), "compact"),
+        form(substrings.INSIDE, phrase & (F.length("compact") >= SEEDS[0]), "compact"),
+        form(substrings.SPACED, phrase & (F.length("compact") < SEEDS[0]), "spaced"),  # with their spaces
     )
-    return F.filter(found, lambda k: (F.length(k["key"]) <= longest) & (k["key"] != ""))
-
+    return ready.select("rule", F.explode(F.array_compact(forms)).alias("form")).select("form.*", "rule")
 
-def _begins(held: Column, longest: int) -> Column:
-    """The seeds by which terms of any length up to `longest` that begin like a text can be met."""
-    return F.array(*[F.substring(held, 1, n) for n in (*range(1, SEED), *SEEDS) if n <= longest])
 
-
-def _seed(compact: Column) -> Column:
-    """A term's seed: all of it if it is short, else as many letters as the longest seed that it holds."""
-    of = F.substring(compact, 1, SEEDS[0])
-    for n in SEEDS[1:]:
-        of = F.when(F.length(compact) >= n, F.substring(compact, 1, n)).otherwise(of)
-    return of
+def _terms(forms: DataFrame) -> DataFrame:
+    """(how, key) of all forms and of the seeds that those which stand anywhere begin with."""
+    inside = forms.filter(F.col("how") == substrings.INSIDE)
+    begins = [inside.filter(F.length("key") >= n).select(F.lit(how).cast("tinyint").alias("how"), F.substring("key", 1, n).alias("key")) for how, n in zip(substrings.BEGIN, SEEDS, strict=True)]
+    return forms.select("how", "key").unionByName(begins[0]).unionByName(begins[1])
 
 
 def _small(df: DataFrame, held: int) -> DataFrame:
@@ -108,48 +88,32 @@ def matches(texts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFram
     empty table of either gives none. Texts are not shuffled, only what was found is, while the rules are small enough to
     be broadcast (`BROADCAST`, measured); beyond it, the keys of the texts are."""
     ready = cut(prepared(rules).withColumn("rule", F.monotonically_increasing_id()))  # numbers are settled once written
-    size = ready.agg(F.max(F.length("compact")).alias("longest"), F.sum(F.length("compact") + F.length("spaced") + F.length("term") + F.length(F.coalesce("replacement", F.lit(""))) + 64).alias("held")).first()
-    longest, held = size["longest"] or 1, size["held"] or 0
+    held = ready.agg(F.sum(F.length("compact") + F.length("spaced") + F.length("term") + F.length(F.coalesce("replacement", F.lit(""))) + 64)).first()[0] or 0
+    forms = _forms(ready)
+    lengths: dict[int, list[int]] = {}
+    count = 0
+    for r in forms.groupBy("how", F.length("key").alias("n")).count().orderBy("how", "n").collect():
+        lengths.setdefault(r["how"], []).append(r["n"])
+        count += r["count"]
+    bits = min(max(count.bit_length() + 6, 16), MOST_BITS)
+    taken = np.zeros(1 << bits, bool)
+    taken[_terms(forms).mapInArrow(substrings.buckets(bits), "bucket long").distinct().toArrow().column(0).to_numpy()] = True
+
     given = texts.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{text}`").cast("string").alias("x"))
-    out = ["row_key", "rule"]
-
-    words = ready.filter("kind = 'word'")
-    keys = given.select("row_key", F.explode(_words(F.col("x"), longest)).alias("k")).select("row_key", "k.*")
-    strict = F.col("loose") | (F.length("compact") > SHORT) | F.col("bare")
-    alone = keys.join(_small(words, held), (F.col("key") == F.col("compact")) & strict).select(*out)
-
-    # words in letters with something between them: from each place where a word may begin
-    chains = given.select("row_key", F.explode(_chains(F.col("x"), longest)).alias("chain")).withColumn("letters", F.translate("chain", "<>", ""))
-    begun = chains.select("row_key", "chain", "letters", F.explode(_begins(F.col("letters"), longest)).alias("seed"))
-    apart = F.array_join(F.filter(F.split("compact", ""), lambda c: c != ""), "[<>]*")
-    lettered = words.filter(F.col("compact").rlike("^[a-z]+$")).select("*", _seed(F.col("compact")).alias("seed"), F.concat("compact", F.lit(">")).alias("closed"), F.concat(F.lit("^"), apart, F.lit(">")).alias("pattern"))
-    ends = F.when(F.expr("startswith(chain, closed)"), True).otherwise(F.expr("rlike(chain, pattern)"))
-    spelled = begun.join(_small(lettered, held), "seed").filter(F.expr("startswith(letters, compact)") & ends).select(*out)
-
-    phrases = ready.filter("kind = 'phrase'")
-    long = phrases.filter(F.length("compact") >= SEED).withColumn("seed", _seed(F.col("compact")))
-    windows = given.select("row_key", F.explode(_pieces(F.replace(unmasked(F.col("x")), F.lit(" "), F.lit("")), longest)).alias("piece"))
-    windows = windows.select("row_key", F.explode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{SEED},{max(longest, SEED)}}}))"), F.lit(1))).alias("window"))
-    met = windows.select("row_key", "window", F.explode(F.array(*[F.substring("window", 1, n) for n in SEEDS])).alias("seed"))
-    inside = met.join(_small(long, held), "seed").filter(F.expr("startswith(window, compact)")).select(*out)
-
-    # phrases of fewer letters stand in the text with their spaces, so they have at most twice as many characters
-    short = phrases.filter(F.length("compact") < SEED)
-    lengths = sorted(r["n"] for r in short.select(F.length("spaced").alias("n")).distinct().collect())
-    tiny = given.select("row_key", F.explode(_pieces(unmasked(F.col("x")), 2 * SEED)).alias("piece"))
-    tiny = tiny.select("row_key", F.explode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{1,{max(lengths, default=1)}}}))"), F.lit(1))).alias("window"))
-    tiny = tiny.select("row_key", F.explode(F.array(*[F.substring("window", 1, n) for n in lengths])).alias("spaced")) if lengths else None
-    spaced = tiny.join(_small(short, held), "spaced").select(*out) if lengths else None
-
-    found = alone.unionByName(spelled).unionByName(inside)
-    found = found.unionByName(spaced) if spaced is not None else found
-    return found.distinct().join(_small(ready.select("rule", "kind", "term", "severity", "replacement"), held), "rule").select(F.col("row_key").alias(key), "kind", "term", "severity", "replacement")
+    schema = StructType([given.schema["row_key"], StructField("how", ByteType()), StructField("key", StringType())])
+    met = given.mapInArrow(substrings.stretches(taken, bits, lengths, SEEDS, LOOKALIKES), schema)
+    found = met.join(_small(forms, held), ["how", "key"]).select("row_key", "rule").distinct()
+    return found.join(_small(ready.select("rule", "kind", "term", "severity", "replacement"), held), "rule").select(F.col("row_key").alias(key), "kind", "term", "severity", "replacement")
+
+
+def taught(texts: DataFrame, key: str, text: str, educational: str = EDUCATIONAL) -> DataFrame:
+    """(key) of the educational texts, each once."""
+    return texts.filter(F.col(f"`{text}`").rlike(f"(?i){educational}")).select(F.col(f"`{key}`").alias(key)).distinct()
 
 
 def actionable(found: DataFrame, texts: DataFrame, key: str, text: str, educational: str = EDUCATIONAL) -> DataFrame:
     """What was found without the rules that an educational text may break (severity allow_context)."""
-    taught = texts.filter(F.col(f"`{text}`").rlike(f"(?i){educational}")).select(F.col(f"`{key}`").alias("taught_key")).distinct()
-    return found.join(taught, F.col(key).eqNullSafe(F.col("taught_key")) & (F.col("severity") == "allow_context"), "left_anti")
+    return found.join(taught(texts, key, text, educational).withColumnRenamed(key, "taught_key"), F.col(key).eqNullSafe(F.col("taught_key")) & (F.col("severity") == "allow_context"), "left_anti")
 
 
 def _pattern() -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import portuguese
-from tessera.functions.lineage import cut
 from tessera.operators import entities, safety
 from tessera.plans import adapters as a
 from tessera.plans.registry import query
@@ -55,12 +54,12 @@ SELECT doc_id, count(*) AS found, count(*) FILTER (kind = 'phrase') AS phrases,
 def unsafe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents hold of the benchmark's words and pairs of words, were they unsafe."""
     documents = a.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = cut(safety.matches(documents, benchmark_rules(spark, sf_dir), "doc_id", "text"))  # counted twice, found once
-    act = safety.actionable(found, documents, "doc_id", "text", TAUGHT).withColumn("act", F.lit(1))
+    found = safety.matches(documents, benchmark_rules(spark, sf_dir), "doc_id", "text")
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    kept = act.groupBy("doc_id").agg(F.count("act").alias("actionable"))
-    held = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), count(F.col("kind") == "phrase", "phrases"), count(F.col("severity") == "block", "blocks"), F.sum(F.length("term")).alias("letters"))
-    return held.join(kept, "doc_id", "left").fillna(0, ["actionable"])
+    held = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), count(F.col("kind") == "phrase", "phrases"), count(F.col("severity") == "block", "blocks"), F.sum(F.length("term")).alias("letters"), count(F.col("severity") == "allow_context", "excused"))
+    # as `safety.actionable` tells, by counts: what was found of a text is many times its row
+    taught = safety.taught(documents, "doc_id", "text", TAUGHT).withColumn("taught", F.lit(True))
+    return held.join(taught, "doc_id", "left").select("doc_id", "found", "phrases", "blocks", "letters", (F.col("found") - F.when(F.col("taught"), F.col("excused")).otherwise(0)).alias("actionable"))
 
 
 #: (kind, term, severity, replacement) of what the parts' names are held against.

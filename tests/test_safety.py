@@ -4,9 +4,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.functions import portuguese, rewrite
+from tessera.functions import portuguese, rewrite, substrings
 from tessera.operators import safety
 
 RULES = [
@@ -107,3 +109,48 @@ def test_portuguese_of_records(spark):
     got = portuguese.normalized_record(df).collect()
     assert got[0]["fact"] == "Você NÃO viu o Avião de Moscovo" and got[0]["statement"] == "" and got[0]["clues"] == ["já", "ação"]
     assert got[1]["fact"] == "" and got[1]["statement"] == "só maes" and got[1]["clues"] == []
+
+
+def test_texts_are_cut_in_one_pass_and_only_what_may_be_a_term_is_left(spark):
+    text = "zyx " * 500 + "um feio"
+    df, rules = spark.createDataFrame([(1, text)], "id long, body string"), spark.createDataFrame(RULES, SCHEMA)
+    plan = safety.matches(df, rules, "id", "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 1 and plan.count("MapInArrow") == 1  # a row for each letter was made before
+
+
+def test_stretches_of_texts_over_many_blocks_equal_a_loop(monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 7)
+    rng = random.Random(5)
+    terms = {substrings.STRICT: ["abca", "bcab2", "a" * 12], substrings.LOOSE: ["ab", "abc"], substrings.INSIDE: ["abcab", "cabcabcabcab", "bbbbb"], substrings.SPACED: ["a b", "ab"]}
+    pairs = [(how, t) for how, ts in terms.items() for t in ts] + [(b, t[:n]) for b, n in zip(substrings.BEGIN, safety.SEEDS, strict=True) for t in terms[substrings.INSIDE] if len(t) >= n]
+    held = np.zeros(1 << 16, bool)
+    for how, t in pairs:
+        made = pa.RecordBatch.from_arrays([pa.array([how], pa.int8()), pa.array([t])], ["how", "key"])
+        held[next(substrings.buckets(16)(iter([made]))).column(0).to_numpy()] = True
+    texts = [None, "", *("".join(rng.choice("aaabbbccc2 .,á") for _ in range(rng.randrange(60))) for _ in range(300))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row_key", "x"])
+    run = substrings.stretches(held, 16, {how: sorted({len(t) for t in ts}) for how, ts in terms.items()}, safety.SEEDS, safety.LOOKALIKES)
+    got = [r for b in run(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) == len(set(got))
+    for i, x in enumerate(texts):
+        spaced = re.sub("[^a-z0-9]+", " ", plain(x or "")).strip()
+        compact = spaced.replace(" ", "")
+        want = {(i, substrings.STRICT, w) for w in spaced.split(" ") if w in terms[substrings.STRICT]}
+        for t in [*terms[substrings.STRICT], *terms[substrings.LOOSE]]:
+            how = substrings.STRICT if len(t) > substrings.SHORT else substrings.LOOSE
+            spelled = t.isalpha() and re.search(rf"(?<![a-z0-9à-ÿ]){r'[\s.\-_@*0-9]*'.join(t)}(?![a-z0-9à-ÿ])", x or "")
+            if spelled or t in (s.replace(" ", "") for s in re.findall(r"(?<!\S)\S(?: \S)+(?!\S)", spaced)) or (compact == t and len(t) <= substrings.SHORT):
+                want.add((i, how, t))
+        want |= {(i, substrings.INSIDE, t) for t in terms[substrings.INSIDE] if t in compact} | {(i, substrings.SPACED, t) for t in terms[substrings.SPACED] if t in spaced}
+        known = {(how, t) for how, ts in terms.items() for t in ts}
+        assert {r for r in got if r[0] == i and r[1:] in known} == want, x
+
+
+def test_letters_are_unmasked_as_by_columns(spark):
+    unmasked, standing = substrings._tables(safety.LOOKALIKES)
+    points = [c for c in range(1, 0x2400) if c != 0x130]
+    for r in spark.createDataFrame([(c, chr(c)) for c in points], "c int, x string").select("c", safety.unmasked(F.concat(F.lit("a"), "x", F.lit("a"))).alias("u"), F.lower("x").alias("low")).collect():
+        code = int(unmasked[min(r["c"], len(unmasked) - 1)])
+        assert r["u"] == "a" + ("" if code == 255 else substrings.LETTERS[code - 1] if code else " ") + "a", r
+        stands = int(standing[min(r["c"], len(standing) - 1)])
+        assert (1 <= stands <= 26) == bool(re.fullmatch("[a-z]", r["low"])) and (stands == 28) == bool(re.fullmatch("[à-ÿ]", r["low"])), r
