@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, normalize, strip_accents, strip_tags, tokens
+from tessera.functions.text import NOT_PLAIN, jaccard, normalize, strip_accents, strip_tags, tokens
 
 
 def structured_key(domain: Column, entity: Column, concept: Column, relation: Column) -> Column:
@@ -16,7 +16,9 @@ def structured_key(domain: Column, entity: Column, concept: Column, relation: Co
 
 def parts_of(key: Column) -> Column:
     """The non-empty parts of a structured key, or null if there are fewer than three."""
-    found = F.filter(F.transform(F.split(F.coalesce(key, F.lit("")), r"\|"), normalize), lambda p: p != "")
+    split = F.split(F.coalesce(key, F.lit("")), r"\|")
+    told = F.when(~key.rlike(NOT_PLAIN), F.transform(split, lambda p: F.trim(F.lower(p)))).otherwise(F.transform(split, normalize))
+    found = F.filter(told, lambda p: p != "")
     return F.when(F.size(found) >= 3, found)
 
 
@@ -36,8 +38,11 @@ def _free_in_structured(free: Column, parts: Column) -> Column:
 def keys_match(a: Column, b: Column, threshold: float = 0.42) -> Column:
     """Structured keys match by entity and concept, a free one matches a structured one that it names, and free ones
     match if they are equal, contain each other (a single word does not count) or share enough words."""
-    pa, pb = parts_of(a), parts_of(b)
-    na, nb = normalize(a), normalize(b)
+    return forms_match(parts_of(a), normalize(a), parts_of(b), normalize(b), threshold)
+
+
+def forms_match(pa: Column, na: Column, pb: Column, nb: Column, threshold: float = 0.42) -> Column:
+    """As `keys_match`, of keys whose parts and normalized texts are at hand."""
     both = (F.element_at(pa, 2) == F.element_at(pb, 2)) & (F.element_at(pa, 3) == F.element_at(pb, 3))
     return F.when(pa.isNotNull() & pb.isNotNull(), both).when(pa.isNotNull(), _free_in_structured(nb, pa)).when(pb.isNotNull(), _free_in_structured(na, pb)).otherwise(_free_match(na, nb, threshold))
 
@@ -59,7 +64,9 @@ def without_label(x: Column) -> Column:
 def for_repetition(question: Column, format_: Column) -> Column:
     """The part of a question in which repetitions are looked for."""
     body = without_label(F.trim(strip_tags(F.coalesce(question, F.lit("")))))
-    return F.when(format_ == "VERDADEIRO_FALSO", without_true_false(body)).otherwise(body)
+    whole = F.when(format_ == "VERDADEIRO_FALSO", without_true_false(body)).otherwise(body)
+    bare = ~question.rlike("[^A-Za-z0-9 ]") & ~F.contains(F.lower(question), F.lit("falso"))  # no tag, label or closing question
+    return F.when(bare, F.trim(question)).otherwise(whole)
 
 
 def riddle_line(x: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from tessera.functions import keys, text
 from tessera.operators import repetition
 
 ITEMS = "session string, position int, question string, answer string, format string, knowledge_id string, knowledge_key string, question_hash string, code string"
@@ -84,3 +87,35 @@ def test_nothing_repeats_nothing(spark):
     assert repetition.repetition_issues(spark.createDataFrame([], ITEMS), spark.createDataFrame([], HISTORY)).collect() == []
     rows = [("s", 0, None, None, None, None, None, None, None), ("s", 1, None, None, None, None, None, None, None)]
     assert repetition.repetition_issues(spark.createDataFrame(rows, ITEMS), spark.createDataFrame([], HISTORY)).collect() == []
+
+
+def test_similar_questions_are_looked_for_within_stretches(spark, monkeypatch):
+    monkeypatch.setattr(repetition, "STRETCH", 10)
+    r = random.Random(9)
+    items = [(s, p, " ".join(r.sample(["qual", "cidade", "maior", "rio", "longo", "mar", "fundo", "pais"], r.randrange(3, 6))), None, None, None, None, None, None) for s in ("a", "b", None) for p in range(75) for _ in range(r.randrange(1, 3))]
+    items += [("neg", p, "qual rio maior", None, None, None, None, None, None) for p in (-12, -5, -1, 0, 8, 17)]
+    rows = spark.createDataFrame(items, ITEMS)
+    asked = rows.select("session", F.col("position").cast("long").alias("position"), repetition.words(F.col("question")).alias("words"))
+    similar = repetition._similar_before(asked)
+    assert "sequence(" not in similar._jdf.queryExecution().optimizedPlan().toString()  # each row was sent to eight places before
+    expected = {(s, p) for s, p, q, *_ in items for t, o, before, *_ in items if s is not None and s == t and p - 8 <= o < p and jaccard(tokens(q), tokens(before)) >= 0.55}
+    assert {(x["session"], x["position"]) for x in similar.collect() if x["session"] is not None} == expected
+
+
+def test_structured_keys_are_not_paired_with_each_other(spark):
+    items = [("s", p, None, None, None, None, f"geo|lisboa|capital|r{p}", None, None) for p in range(6000)]  # 36 million pairs before
+    found = repetition.repetition_issues(spark.createDataFrame(items, ITEMS), spark.createDataFrame([("s", "used", "knowledge_key", "capital lisboa")], HISTORY)).collect()
+    assert {x["position"] for x in found} == set(range(6000)) and {x["code"] for x in found} == {"KNOWLEDGE_REPEATED"}
+
+
+def test_plain_texts_take_the_short_way_to_the_same(spark):
+    r = random.Random(6)
+    bits = ["a", "B", " ", "  ", "|", "<", ">", "é", "É", ":", "-", "?", ".", "\t", "\n", " ", "Falso", "verdadeiro ou falso", "Adivinha: ", "9"]
+    texts = [None, "", " ", *("".join(r.choice(bits[:1] * 3 + bits) for _ in range(r.randrange(1, 12))) for _ in range(3000))]
+    x, f = F.col("x"), F.col("f")
+    body = keys.without_label(F.trim(text.strip_tags(F.coalesce(x, F.lit("")))))
+    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\|"), text.normalize), lambda p: p != "")
+    bare = text.tokens(F.trim(F.regexp_replace(F.regexp_replace(text.strip_accents(F.lower(x)), r"[^a-z0-9\s-]", " "), r"\s+", " ")))
+    pairs = [(text.normalize_plain_first(x), text.normalize(x)), (keys.for_repetition(x, f), F.when(f == "VERDADEIRO_FALSO", keys.without_true_false(body)).otherwise(body)), (keys.parts_of(x), F.when(F.size(parts) >= 3, parts)), (repetition.words(x), bare)]
+    df = spark.createDataFrame([(t, k) for t in texts for k in ("VERDADEIRO_FALSO", "")], "x string, f string")
+    assert df.filter(~F.array(*[a.eqNullSafe(b) for a, b in pairs]).eqNullSafe(F.array(*[F.lit(True)] * 4))).limit(3).collect() == []
